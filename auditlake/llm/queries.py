@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import op2_bpe
+from auditlake.llm.decontaminate import OP6_SQL, op6_decontaminate
 from auditlake.llm.licenses import op10_licenses
 from auditlake.llm.sharding import op3_shards
 from auditlake.llm.token_file import op9_token_file
+from auditlake.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_shards": op3_shards,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op9_token_file": op9_token_file,
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL}
