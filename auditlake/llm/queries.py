@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import op2_bpe
 from auditlake.llm.decontaminate import OP6_SQL, op6_decontaminate
+from auditlake.llm.embeddings import op4_embeddings
+from auditlake.llm.jaccard import op1_jaccard
 from auditlake.llm.licenses import op10_licenses
+from auditlake.llm.lines import op5_lines
 from auditlake.llm.sharding import op3_shards
 from auditlake.llm.token_file import op9_token_file
 from auditlake.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_bpe": op2_bpe,
     "op3_shards": op3_shards,
+    "op4_embeddings": op4_embeddings,
+    "op5_lines": op5_lines,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op9_token_file": op9_token_file,
