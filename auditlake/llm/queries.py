@@ -10,6 +10,7 @@ from auditlake.llm.bpe import op2_bpe
 from auditlake.llm.decontaminate import OP6_SQL, op6_decontaminate
 from auditlake.llm.embeddings import op4_embeddings
 from auditlake.llm.jaccard import op1_jaccard
+from auditlake.llm.language_model import op8_language_model
 from auditlake.llm.licenses import op10_licenses
 from auditlake.llm.lines import op5_lines
 from auditlake.llm.sharding import op3_shards
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lines": op5_lines,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op8_language_model": op8_language_model,
     "op9_token_file": op9_token_file,
     "op10_licenses": op10_licenses,
 }
