@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,18 +57,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Edges that one task may join up by union-find (16 bytes each); more are contracted first.
+TAIL_EDGES = 100_000
+
+
+def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, rep) of every end of the edges: union-find over at most TAIL_EDGES of them."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+    ends = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([root(x) for x in ends], pa.int64())], ["a", "rep"])
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: rows (node, component), component the smallest node reached.
 
     ``nodes``: one column ``node`` of long, distinct; ``edges``: columns ``a``, ``b`` of long, any direction and
     repetition. Randomised contraction: in each round every vertex hooks to the member of its closed neighbourhood
-    with the smallest seeded hash, edges are relabelled, loops and repeats go, until no edge is left; the rounds'
-    maps are then composed backwards. Edges shrink by a constant factor a round, so the work stays linear, and no
-    step needs a vertex's neighbours together in one task.
+    with the smallest seeded hash, and edges are relabelled; loops and repeats go. Edges shrink by a constant factor a
+    round, and no step needs a vertex's neighbours together in one task. Once TAIL_EDGES or fewer are left, one task
+    joins them up. The rounds' maps are then composed backwards.
     """
     live = durable(edges.where("a <> b").select("a", "b").distinct())
     maps: list[DataFrame] = []
-    while not live.isEmpty():
+    while (n := live.count()) > TAIL_EDGES:
         seed = F.lit(7919 * (len(maps) + 1))
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", seed).alias("h"), F.col("b").alias("v"))).alias("m"))
@@ -76,6 +100,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         left, right = hooks.select("a", F.col("rep").alias("ra")), hooks.select(F.col("a").alias("b"), F.col("rep").alias("rb"))
         joined = live.join(left, "a").join(right, "b").where("ra <> rb")
         live = durable(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    if n:
+        maps.append(live.repartition(1).mapInArrow(joined_up, "a long, rep long"))
     if not maps:
         return nodes.select("node", F.col("node").alias("component"))
     label = maps[-1]
