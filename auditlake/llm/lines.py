@@ -21,6 +21,7 @@ from auditlake.llm.common import connected_components, durable, mix64, read_tabl
 from auditlake.llm.jaccard import WordHashes
 
 MIN_WORDS = 5  # shorter lines stay as they are
+LONGEST_WORD = 1000
 DISTANCE = 3
 EDIT_SIMILARITY = 0.9
 #: Bits of the five blocks: any DISTANCE = 3 changed bits leave two blocks whole.
@@ -35,12 +36,17 @@ def split_lines(text: str | None) -> list[str]:
 
 
 def simhashes(words: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
-    """A 64-bit SimHash of each line's words: a bit is set where most words' hashes set it."""
-    flat = np.fromiter((hashes[w] for line in words for w in line), np.uint64)
-    n = np.array([len(line) for line in words])
+    """A 64-bit SimHash of each line: a bit is set where most of its words' hashes set it.
+
+    A word weighs its length squared, as short words are in most lines and would draw all hashes together.
+    """
+    each = [w for line in words for w in line]
+    flat = np.fromiter(map(hashes.__getitem__, each), np.uint64, len(each))
+    weight = np.minimum(np.fromiter(map(len, each), np.int32, len(each)), LONGEST_WORD) ** 2
+    start = np.concatenate([[0], np.cumsum([len(line) for line in words])[:-1]])
     bits = np.unpackbits(mix64(flat).view(np.uint8).reshape(-1, 8), axis=1)
-    total = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=np.int32)
-    return np.packbits(2 * total > n[:, None], axis=1).view(np.uint64).reshape(-1)
+    total = np.add.reduceat(bits * weight[:, None], start, axis=0)
+    return np.packbits(2 * total > np.add.reduceat(weight, start)[:, None], axis=1).view(np.uint64).reshape(-1)
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
