@@ -64,7 +64,7 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(r)
                 lines.append(i)
                 digests.append(hashlib.blake2b(norm, digest_size=16).digest())
-                chars.append(len(norm))
+                chars.append(len(norm.decode("utf-8", "replace")))
         where = pa.array(at, pa.int64())
         sim = np.concatenate(sims).view(np.int64) if sims else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -90,7 +90,7 @@ def close_sims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, union = g["member"], Union(len(sim))
         for x in range(len(sim) - 1):
             fits = np.bitwise_count(sim[x + 1 :] ^ sim[x]) <= DISTANCE
-            fits &= np.minimum(size[x + 1 :], size[x]) >= EDIT_SIMILARITY * np.maximum(size[x + 1 :], size[x])
+            fits &= np.minimum(size[x + 1 :], size[x]) >= EDIT_SIMILARITY * np.maximum(size[x + 1 :], size[x]) - 1e-6
             if i != j:
                 fits &= own[x + 1 :] != own[x]
             out += [(1, members[x], members[x + 1 + y], 0) for y in np.flatnonzero(fits).tolist() if union.join(x, x + 1 + y)]
