@@ -23,6 +23,10 @@ def cells(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     across. A member is written g times, not once for each partner.
     """
     sizes = durable(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    return placed(entries, sizes, block)
+
+
+def placed(entries: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     few = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     g = F.ceil(F.col("m") / F.lit(block)).cast("int")
     held = entries.join(F.broadcast(sizes) if few else sizes, "bucket").select("bucket", "member", g.alias("g"))
@@ -32,6 +36,17 @@ def cells(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     return held.select("bucket", "member", "own", other).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member", "own")
 
 
+def pairs_and_cells(entries: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Buckets of two members as pairs (a, b), straight from their counts, and the larger ones as cells.
+
+    Most buckets that hold more than one member hold two, so only few entries are joined again.
+    """
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.min("member").alias("a"), F.max("member").alias("b")).where("m > 1")
+    sizes = durable(sizes)
+    large = sizes.where("m > 2").select("bucket", "m")
+    return sizes.where("m = 2 and a <> b").select("a", "b").distinct(), placed(entries, large, block)
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """A cell's rows next to each other in one task."""
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")

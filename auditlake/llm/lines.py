@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.buckets import RESULT, Union, cells, dealt, groups, result
-from auditlake.llm.common import connected_components, durable, mix64, read_table, words_of
+from auditlake.llm.buckets import RESULT, Union, cells, dealt, groups, pairs_and_cells, result
+from auditlake.llm.common import WORD_BYTES, connected_components, durable, mix64, read_table, words_of
 from auditlake.llm.jaccard import WordHashes
 
 MIN_WORDS = 5  # shorter lines stay as they are
-LONGEST_WORD = 1000
+LONGEST_WORD = 255
 DISTANCE = 3
 EDIT_SIMILARITY = 0.9
 #: Bits of the five blocks: any DISTANCE = 3 changed bits leave two blocks whole.
@@ -31,6 +31,10 @@ BROADCAST_ROWS = 200_000
 BROADCAST_LINES = 2_000_000
 
 
+#: As words are read, with line ends kept.
+LINE_BYTES = bytes(b if b == 10 else w for b, w in enumerate(WORD_BYTES))
+
+
 def split_lines(text: str | None) -> list[str]:
     return [] if text is None else text.split("\n")
 
@@ -43,10 +47,11 @@ def simhashes(words: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
     each = [w for line in words for w in line]
     flat = np.fromiter(map(hashes.__getitem__, each), np.uint64, len(each))
     weight = np.minimum(np.fromiter(map(len, each), np.int32, len(each)), LONGEST_WORD) ** 2
+    narrow = weight.astype(np.uint16)
     start = np.concatenate([[0], np.cumsum([len(line) for line in words])[:-1]])
     bits = np.unpackbits(mix64(flat).view(np.uint8).reshape(-1, 8), axis=1)
-    total = np.add.reduceat(bits * weight[:, None], start, axis=0)
-    return np.packbits(2 * total > np.add.reduceat(weight, start)[:, None], axis=1).view(np.uint64).reshape(-1)
+    total = np.add.reduceat(bits * narrow[:, None], start, axis=0, dtype=np.int64)
+    return np.packbits(2 * total > np.add.reduceat(weight, start, dtype=np.int64)[:, None], axis=1).view(np.uint64).reshape(-1)
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +60,8 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at, lines, digests, sims, chars = [], [], [], [], []
         for r, t in enumerate(b.column("text").to_pylist()):
-            found = [(i, w) for i, line in enumerate(split_lines(t)) if len(w := words_of(line)) >= MIN_WORDS]
+            raw = b"" if t is None else t.encode("utf-8", "surrogatepass").translate(LINE_BYTES)
+            found = [(i, w) for i, line in enumerate(raw.split(b"\n")) if len(w := line.split()) >= MIN_WORDS]
             if not found:
                 continue
             sims.append(simhashes([w for _, w in found], hashes))
@@ -165,8 +171,12 @@ def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     place = F.struct("key", "text_h", "line")
     lines = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("chars").alias("chars"))
     lines = durable(lines.withColumn("member", F.monotonically_increasing_id()))
-    met = durable(dealt(cells(lines.select(block_entries().alias("bucket"), "member")).join(lines.select("member", "sim", "chars"), "member")).mapInArrow(close_sims, RESULT))
-    near = met.select("a", "b")
+    marks = lines.select("member", "sim", "chars")
+    two, more = pairs_and_cells(lines.select(block_entries().alias("bucket"), "member"))
+    left, right = (marks.select(F.col("member").alias(m), F.col("sim").alias(f"sim_{m}"), F.col("chars").alias(f"chars_{m}")) for m in "ab")
+    two = two.join(left, "a").join(right, "b").where(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= DISTANCE)
+    two = two.where(F.least("chars_a", "chars_b") >= EDIT_SIMILARITY * F.greatest("chars_a", "chars_b") - 1e-6).select("a", "b")
+    near = durable(dealt(more.join(marks, "member")).mapInArrow(close_sims, RESULT).select("a", "b").unionByName(two))
     touched = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     candidates = durable(connected_components(touched, near).select(F.col("component").alias("bucket"), F.col("node").alias("member")))
     wanted = candidates.select("member").join(lines, "member").select("member", "sim", "first.*")
