@@ -200,7 +200,7 @@ def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with ``text`` lacking lines that occur before, and the counts
-    ``_n_lines``, ``_n_removed`` and ``_n_full`` (lines of MIN_WORDS words or more left).
+    ``_n_lines``, ``_n_removed`` and ``_n_full`` (lines of MIN_WORDS words or more left; null where none went).
 
     Order of occurrence: key (null first), text hash, line number. Lines of fewer than MIN_WORDS words never go. Null
     texts stay null and have no lines; an empty text is one short line. Rows equal in key and text are one document
@@ -209,19 +209,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     gone = dropped_lines(docs, key, text)
     few = (gone.agg(F.sum(F.size("gone") + 16)).first()[0] or 0) <= BROADCAST_LINES
     gone = F.broadcast(gone) if few else gone
-    d = docs.withColumn("_text_h", F.xxhash64(docs[text]))
-    d = d.join(gone, d[key].eqNullSafe(gone["dkey"]) & (d["_text_h"] == gone["dh"]), "left")
-    line = F.split(d[text], "\n", -1)
-    left = F.filter(line, lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-    d = d.withColumn("_left", F.when(F.col("gone").isNotNull(), left).otherwise(line))
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("key"), docs[text].alias("text"))
+    d = d.withColumn("text_h", F.xxhash64("text"))
+    d = d.join(gone, d["key"].eqNullSafe(gone["dkey"]) & (d["text_h"] == gone["dh"]), "left")
+    line = F.split("text", "\n", -1)
+    left = F.filter(line, lambda _, i: ~F.array_contains("gone", i))
+    d = d.withColumn("left", F.when(F.col("gone").isNotNull(), left))
     # Counting by the same word class as lines are normalised by
-    full = F.filter("_left", lambda x: F.regexp_count(x, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) >= MIN_WORDS)
-    out = d.withColumns({
-        "_n_lines": F.coalesce(F.size(line), F.lit(0)), "_n_removed": F.coalesce(F.size("gone"), F.lit(0)),
-        "_n_full": F.when(F.col("gone").isNull(), F.lit(None)).otherwise(F.size(full)),
-        text: F.when(F.col("gone").isNotNull(), F.array_join("_left", "\n")).otherwise(F.col(text)),
-    })
-    return out.select(*docs.columns, *(c for c in ("_n_lines", "_n_removed", "_n_full") if c not in docs.columns))
+    full = F.filter("left", lambda x: F.regexp_count(x, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) >= MIN_WORDS)
+    counts = {
+        "_n_lines": F.coalesce(F.size(line), F.lit(0)),
+        "_n_removed": F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0),
+        "_n_full": F.when(F.col("gone").isNotNull(), F.size(full)),
+    }
+    kept = F.when(F.col("gone").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("text"))
+    columns = [kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    return d.select(*columns, *(v.alias(c) for c, v in counts.items()))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
