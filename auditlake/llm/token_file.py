@@ -7,6 +7,7 @@ with ``bits`` bits each, least significant first; any id is reached through its
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -28,6 +29,8 @@ END_ID = 2
 FILE_TEXT_BYTES = 64 << 20  # text behind one file, held as ids by one task
 CACHED_CHUNKS = 700_000
 SEPARATOR = "<|endoftext|>"
+#: Letters that neither case folding nor normalisation changes, then ASCII marks but the apostrophe: one pre-token each.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -95,6 +98,8 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.parting = self.library.token_to_id(SEPARATOR)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -103,14 +108,44 @@ class ChunkEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: list[bytes], to: dict[bytes, bytes]) -> None:
-        for i in range(0, len(chunks), 500):
-            part = chunks[i : i + 500]
+        """Fill in the ids of new runs: plain words and marks by word ends, all others parted by a special token."""
+        plain: dict[str, bytes] = {}
+        parts: list[tuple[bytes, str, str]] = []
+        rest: list[bytes] = []
+        for c in chunks:
+            m = PLAIN.fullmatch(c.decode("utf-8", "surrogatepass"))
+            if m is None:
+                rest.append(c)
+                continue
+            word, marks = m.groups()
+            parts.append((c, word, marks))
+            for x in (word, marks):
+                if x and x not in plain:
+                    raw = x.encode()
+                    plain[x] = self.young.get(raw) or self.old.get(raw) or b""
+        self.learn_plain([x for x, ids in plain.items() if not ids], plain)
+        for c, word, marks in parts:
+            to[c] = plain[word] + plain[marks] if marks else plain[word]
+        for i in range(0, len(rest), 500):
+            part = rest[i : i + 500]
             text = f" {SEPARATOR} ".join(c.decode("utf-8", "surrogatepass") for c in part)
             ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(ids == self.parting)
             for c, p in zip(part, np.split(ids, cuts), strict=True):
                 to[c] = p[1:].tobytes() if len(p) and p[0] == self.parting else p.tobytes()
 
+    def learn_plain(self, pieces: list[str], to: dict[str, bytes]) -> None:
+        """Each piece is one pre-token, and only a pre-token's last id ends a word."""
+        for i in range(0, len(pieces), 500):
+            part = pieces[i : i + 500]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            raw = ids.tobytes()
+            at = 0
+            for x, stop in zip(part, (4 * stops).tolist(), strict=True):
+                to[x] = raw[at:stop]
+                at = stop
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         if len(self.young) >= CACHED_CHUNKS // 2:
