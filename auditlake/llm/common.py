@@ -105,6 +105,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if not maps:
         return nodes.select("node", F.col("node").alias("component"))
     label = maps[-1]
+    if len(maps) == 1 and n:  # union-find alone: representatives are smallest nodes already
+        named = durable(label).select(F.col("a").alias("node"), F.col("rep").alias("component"))
+        return nodes.join(F.broadcast(named), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     for earlier in maps[-2::-1]:
         later = label.select(F.col("a").alias("rep"), F.col("rep").alias("rep2"))
         label = earlier.join(later, "rep", "left").select("a", F.coalesce("rep2", "rep").alias("rep"))

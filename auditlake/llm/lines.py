@@ -1,7 +1,7 @@
 """Operator 5: fuzzy line deduplication.
 
-Lines are normalised to their words. A 64-bit SimHash of each distinct line is cut into five blocks; lines within
-DISTANCE bits agree on two blocks or more, so joining on each pair of blocks finds them all. Candidates are verified by
+Lines are normalised to their words. A 64-bit SimHash of each distinct line is cut into six blocks; lines within
+DISTANCE bits agree on three blocks or more, so joining on each three blocks finds them all. Candidates are verified by
 edit similarity, and of every connected group of lines the first occurrence in the corpus stays.
 """
 
@@ -24,8 +24,9 @@ MIN_WORDS = 5  # shorter lines stay as they are
 LONGEST_WORD = 255
 DISTANCE = 3
 EDIT_SIMILARITY = 0.9
-#: Bits of the five blocks: any DISTANCE = 3 changed bits leave two blocks whole.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Bits of the six blocks: any DISTANCE = 3 changed bits leave three blocks whole. Keys of 31 bits or more keep chance
+#: meetings of unrelated lines rare among hundreds of millions of lines.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Rows up to which a side is broadcast (some 60 bytes each, removed lines 4); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 BROADCAST_LINES = 2_000_000
@@ -80,11 +81,15 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def block_entries() -> Column:
-    """The ten (pair of blocks, their bits) keys of a SimHash, as longs."""
+    """The twenty (three blocks, their bits) keys of a SimHash, as longs."""
     def bits(block: tuple[int, int]) -> Column:
         return F.shiftrightunsigned("sim", block[0]).bitwiseAND(F.lit((1 << block[1]) - 1))
 
-    keys = [F.shiftleft(bits(a), 13).bitwiseOR(bits(b)) + F.lit(i << 27) for i, (a, b) in enumerate(combinations(BLOCKS, 2))]
+    def key(i: int, three: tuple[tuple[int, int], ...]) -> Column:
+        a, b, c = map(bits, three)
+        return F.shiftleft(a, 22).bitwiseOR(F.shiftleft(b, 11)).bitwiseOR(c).bitwiseOR(F.lit(i << 33))
+
+    keys = [key(i, three) for i, three in enumerate(combinations(BLOCKS, 3))]
     return F.explode(F.array(*keys))
 
 
