@@ -27,8 +27,8 @@ INSULTS = """asshole bastard bitch clown coward creep crap cretin cunt damn desp
 garbage idiot imbecile jackass jerk liar loser lunatic moron motherfucker pathetic pig prick psycho retard scum shit slut stupid sucker
 trash ugly vermin whore worthless""".split()
 #: Words that make a hit a quotation or a report; words that aim it at someone.
-REPORTED = frozenset("said says quote quoted quotes called wrote reported word term phrase according claims sagte schrieb zitat dit citation dijo cita".split())
-AIMED = frozenset("you your yours youre he she they them are is du ihr dein sie tu vous ton votre eres usted tus".split())
+REPORTED = frozenset(b"said says quote quoted quotes called wrote reported word term phrase according claims sagte schrieb zitat dit citation dijo cita".split())
+AIMED = frozenset(b"you your yours youre he she they them are is du ihr dein sie tu vous ton votre eres usted tus".split())
 TRAIN_ROWS = 20_000  # bound on the labelled rows that a model is fitted on
 STEM_LENGTHS = (4, 5, 6)
 MIN_ROWS = 4  # toxic rows that a learnt term needs
@@ -106,9 +106,16 @@ class Matcher:
         # Edits leave most pairs of letters as they are: a word with no pair of any term can't be near one
         self.pairs = {t[i : i + 2] for t in INSULTS if len(t) >= 5 for i in range(len(t) - 1)}
 
+    def hits(self, words: list[bytes]) -> dict[bytes, Hit]:
+        """The distinct words that hit, with their hits."""
+        distinct = set(words)
+        if len(self.seen) + len(distinct) > CACHED_WORDS:
+            self.seen.clear()
+        for w in distinct.difference(self.seen):
+            self.seen[w] = self.find(w.decode("utf-8", "replace"))
+        return {w: h for w in distinct if (h := self.seen[w]) is not None}
+
     def find(self, word: str) -> Hit | None:
-        if word in self.seen:
-            return self.seen[word]
         hit = self.trie.exact(word)
         if hit is None and 5 <= len(word) <= 16 and word.isascii():
             folded = word.translate(FOLD)
@@ -117,21 +124,19 @@ class Matcher:
             if hit is None and sum(folded[i : i + 2] in self.pairs for i in range(len(folded) - 1)) >= len(folded) - 3:
                 hit = self.spelled.fuzzy(folded, 1)
                 hit = Hit(hit.weight * 0.5, hit.distance) if hit else None
-        if len(self.seen) >= CACHED_WORDS:
-            self.seen.clear()
-        self.seen[word] = hit
         return hit
 
 
 def features(text: str | None, m: Matcher) -> list[float]:
     """Counts and sums over a whole text's hits; all 0 where none is."""
-    words = [w.decode("utf-8", "replace") for w in words_of(text)]
-    hits = [(i, h) for i, h in enumerate(map(m.find, words)) if h is not None]
-    if not hits:
+    words = words_of(text)
+    found = m.hits(words)
+    if not found:
         return [0.0] * FEATURES
-    quoted: set[str] = set()
+    hits = [(i, found[w]) for i, w in enumerate(words) if w in found]
+    quoted: set[bytes] = set()
     for q in QUOTES.findall(text):
-        quoted.update(w.decode("utf-8", "replace") for w in words_of(q))
+        quoted.update(words_of(q))
     plain = near = said = aimed = inside = 0
     best = total = 0.0
     for i, h in hits:
