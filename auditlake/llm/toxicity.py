@@ -103,8 +103,15 @@ class Matcher:
         self.trie, self.seen = Trie(terms), {}
         spelled = Trie({t: w for t, w in terms.items() if not t.endswith("*") and t.isascii() and len(t) >= 5 and t in INSULTS})
         self.spelled = spelled
-        # Edits leave most pairs of letters as they are: a word with no pair of any term can't be near one
-        self.pairs = {t[i : i + 2] for t in INSULTS if len(t) >= 5 for i in range(len(t) - 1)}
+        # One edit leaves a term's first or second half whole, at the word's start or end
+        long = [t for t in INSULTS if len(t) >= 5]
+        self.starts = {(len(t), t[: len(t) // 2]) for t in long}
+        self.ends = {(len(t), t[len(t) // 2 :]) for t in long}
+
+    def near_a_term(self, word: str) -> bool:
+        """False only where no spelled term is within one edit."""
+        n = len(word)
+        return any((m, word[: m // 2]) in self.starts or (m, word[n - m + m // 2 :]) in self.ends for m in (n - 1, n, n + 1))
 
     def hits(self, words: list[bytes]) -> dict[bytes, Hit]:
         """The distinct words that hit, with their hits."""
@@ -121,7 +128,7 @@ class Matcher:
             folded = word.translate(FOLD)
             if folded != word:
                 hit = self.trie.exact(folded)
-            if hit is None and sum(folded[i : i + 2] in self.pairs for i in range(len(folded) - 1)) >= len(folded) - 3:
+            if hit is None and self.near_a_term(folded):
                 hit = self.spelled.fuzzy(folded, 1)
                 hit = Hit(hit.weight * 0.5, hit.distance) if hit else None
         return hit

@@ -299,3 +299,14 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < got.count() < 200 and "ids_sha256" in got.columns
+
+
+def test_no_word_within_one_edit_of_a_term_is_passed_over():
+    from auditlake.llm.toxicity import INSULTS, Matcher
+
+    m = Matcher(dict.fromkeys(INSULTS, 6.0))
+    for t in (t for t in INSULTS if len(t) >= 5):
+        for i in range(len(t) + 1):
+            for near in (t[:i] + "q" + t[i:], t[:i] + "q" + t[i + 1 :], t[:i] + t[i + 1 :]):
+                if len(near) >= 5:
+                    assert m.near_a_term(near) and m.hits([near.encode()])
