@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import durable
+from auditlake.llm.common import stored
 
 BLOCK = 512
 #: Buckets up to which their sizes are broadcast (some 30 bytes each); beyond, the join shuffles.
@@ -22,12 +22,12 @@ def cells(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     holds blocks i and j. Every two members of a bucket share a cell: (i, i) for a block's own pairs, (i, j) for those
     across. A member is written g times, not once for each partner.
     """
-    sizes = durable(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    sizes = stored(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     return placed(entries, sizes, block)
 
 
 def placed(entries: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    few = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = sizes.count() <= BROADCAST_ROWS
     g = F.ceil(F.col("m") / F.lit(block)).cast("int")
     held = entries.join(F.broadcast(sizes) if few else sizes, "bucket").select("bucket", "member", g.alias("g"))
     own = F.pmod(F.xxhash64("member", F.lit(3)), F.col("g")).cast("int")
@@ -42,7 +42,7 @@ def pairs_and_cells(entries: DataFrame, block: int = BLOCK) -> tuple[DataFrame,
     Most buckets that hold more than one member hold two, so only few entries are joined again.
     """
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.min("member").alias("a"), F.max("member").alias("b")).where("m > 1")
-    sizes = durable(sizes)
+    sizes = stored(sizes)
     large = sizes.where("m > 2").select("bucket", "m")
     return sizes.where("m = 2 and a <> b").select("a", "b").distinct(), placed(entries, large, block)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a written table: smaller than a checkpoint, and read by column in few tasks."""
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,39 +88,44 @@ def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([root(x) for x in ends], pa.int64())], ["a", "rep"])
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: rows (node, component), component the smallest node reached.
 
-    ``nodes``: one column ``node`` of long, distinct; ``edges``: columns ``a``, ``b`` of long, any direction and
-    repetition. Randomised contraction: in each round every vertex hooks to the member of its closed neighbourhood
+    ``nodes``: one column ``node`` of long, distinct, or None for the ends of all edges but loops; ``edges``: columns
+    ``a``, ``b`` of long, any direction and repetition. Randomised contraction: in each round every vertex hooks to the member of its closed neighbourhood
     with the smallest seeded hash, and edges are relabelled; loops and repeats go. Edges shrink by a constant factor a
     round, and no step needs a vertex's neighbours together in one task. Once TAIL_EDGES or fewer are left, one task
     joins them up. The rounds' maps are then composed backwards.
     """
-    live = durable(edges.where("a <> b").select("a", "b").distinct())
+    live = stored(edges.where("a <> b").select("a", "b").distinct())
     maps: list[DataFrame] = []
     while (n := live.count()) > TAIL_EDGES:
         seed = F.lit(7919 * (len(maps) + 1))
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", seed).alias("h"), F.col("b").alias("v"))).alias("m"))
         own = F.struct(F.xxhash64("a", seed).alias("h"), F.col("a").alias("v"))
-        hooks = durable(hooks.select("a", F.least("m", own)["v"].alias("rep")))
+        hooks = stored(hooks.select("a", F.least("m", own)["v"].alias("rep")))
         maps.append(hooks)
         left, right = hooks.select("a", F.col("rep").alias("ra")), hooks.select(F.col("a").alias("b"), F.col("rep").alias("rb"))
         joined = live.join(left, "a").join(right, "b").where("ra <> rb")
-        live = durable(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        live = stored(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if n:
         maps.append(live.repartition(1).mapInArrow(joined_up, "a long, rep long"))
     if not maps:
-        return nodes.select("node", F.col("node").alias("component"))
+        return placed_in(nodes, live.select(F.col("a").alias("node"), F.col("b").alias("component")))  # no rows to place
     label = maps[-1]
     if len(maps) == 1 and n:  # union-find alone: representatives are smallest nodes already
-        named = durable(label).select(F.col("a").alias("node"), F.col("rep").alias("component"))
-        return nodes.join(F.broadcast(named), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        return placed_in(nodes, stored(label).select(F.col("a").alias("node"), F.col("rep").alias("component")), few=True)
     for earlier in maps[-2::-1]:
         later = label.select(F.col("a").alias("rep"), F.col("rep").alias("rep2"))
         label = earlier.join(later, "rep", "left").select("a", F.coalesce("rep2", "rep").alias("rep"))
-    label = durable(label)
+    label = stored(label)
     least = label.groupBy("rep").agg(F.min("a").alias("component"))
-    named = label.join(least, "rep").select(F.col("a").alias("node"), "component")
-    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return placed_in(nodes, label.join(least, "rep").select(F.col("a").alias("node"), "component"))
+
+
+def placed_in(nodes: DataFrame | None, named: DataFrame, few: bool = False) -> DataFrame:
+    """``named`` for every node, a node without a component being its own; ``few``: of at most two ends an edge of TAIL_EDGES."""
+    if nodes is None:
+        return named
+    return nodes.join(F.broadcast(named) if few else named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.buckets import RESULT, Union, cells, dealt, groups, result
-from auditlake.llm.common import connected_components, durable, mix64, read_table
+from auditlake.llm.common import connected_components, mix64, read_table, stored
 
 COSINE = 0.93
 TABLES = 12
@@ -139,20 +139,20 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = v.where(usable)
-    classes = durable(good.groupBy("label", "embedding").agg(F.min("id").alias("member"), F.count("*").alias("n")))
+    classes = stored(good.groupBy("label", "embedding").agg(F.min("id").alias("member"), F.count("*").alias("n")))
     # Rows that repeat a key with other vectors: the class is named by its own number, not by the key
-    classes = durable(classes.withColumn("least", F.col("member")).withColumn("member", F.monotonically_increasing_id()))
+    classes = stored(classes.withColumn("least", F.col("member")).withColumn("member", F.monotonically_increasing_id()))
     kind = dict(v.dtypes)["label"]
     entries = classes.mapInArrow(entries_of, f"label {kind}, dims int, tab int, cell long, member long")
     bucket = F.struct("label", "dims", "tab", "cell").alias("bucket")
     placed = cells(entries.select(bucket, "member").distinct())
     full = placed.join(classes.select("member", "embedding", "n"), "member")
     full = full.select("*", F.col("bucket.tab").alias("tab"), F.col("bucket.cell").alias("cell"))
-    found = durable(dealt(full).mapInArrow(compare, RESULT))
+    found = stored(dealt(full).mapInArrow(compare, RESULT))
     links = found.where("kind = 0").groupBy("a").agg(F.sum("n").alias("n_links"))
     parts = connected_components(classes.select(F.col("member").alias("node")), found.where("kind = 1").select("a", "b"))
     named = classes.join(parts, classes["member"] == parts["node"]).join(links, F.col("member") == links["a"], "left")
-    named = durable(named.select("label", "embedding", "n", "least", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = stored(named.select("label", "embedding", "n", "least", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("label", "embedding", (F.col("n_links") + F.col("n") - 1).alias("n_links"), "component_id")
     linked = good.join(named, ["label", "embedding"]).select("id", "n_links", "component_id")

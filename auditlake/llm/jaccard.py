@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.buckets import RESULT, Union, cells, dealt, groups, result
-from auditlake.llm.common import connected_components, durable, mix64, read_table, words_of
+from auditlake.llm.common import connected_components, mix64, read_table, stored, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -203,32 +203,30 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     kind = dict(docs.dtypes)[key]
     d = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    rows = durable(d.mapInArrow(signed, f"key {kind}, digest binary, sig binary"))
+    rows = stored(d.mapInArrow(signed, f"key {kind}, digest binary, sig binary"))
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.first("sig").alias("sig"))
-    classes = durable(classes.withColumn("member", F.monotonically_increasing_id()))
+    classes = stored(classes.withColumn("member", F.monotonically_increasing_id()))
     hashed = classes.where("sig is not null and least is not null").select("member", "sig")
     edges = None
     for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
         entries = hashed.mapInArrow(prefix_entries(depth), "bucket long, member long")
-        met = durable(dealt(cells(entries).join(hashed, "member")).mapInArrow(agreeing(depth), RESULT))
+        met = stored(dealt(cells(entries).join(hashed, "member")).mapInArrow(agreeing(depth), RESULT))
         edges = met.where("kind = 1").select("a", "b")
         sums = met.where("kind = 0").agg(F.sum("a").alias("seen"), F.sum("b").alias("all")).first()
         if not sums["all"] or sums["seen"] >= TARGET_RECALL * sums["all"]:
             break
-    touched = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    candidates = durable(connected_components(touched, edges).select(F.col("component").alias("bucket"), F.col("node").alias("member")))
-    wanted = durable(candidates.select("member").join(classes.select("member", "least", "digest", "n"), "member"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    candidates = connected_components(None, edges).select(F.col("component").alias("bucket"), F.col("node").alias("member"))
+    wanted = stored(candidates.join(classes.select("member", "least", "digest", "n"), "member"))
+    few = wanted.count() <= BROADCAST_ROWS
     named = d.join(F.broadcast(wanted) if few else wanted, d["key"] == wanted["least"]).select("text", "digest", "member", "n")
     sets = named.mapInArrow(with_shingles, "member long, n long, shingles binary").dropDuplicates(["member"])
-    found = durable(dealt(cells(candidates).join(sets, "member")).mapInArrow(verified, RESULT))
+    found = stored(dealt(cells(wanted.select("bucket", "member")).join(sets, "member")).mapInArrow(verified, RESULT))
     links = found.where("kind = 0").groupBy("a").agg(F.sum("n").alias("links"))
     linked = found.where("kind = 1").select("a", "b")
-    ends = linked.select(F.col("a").alias("node")).union(linked.select("b")).distinct()
-    parts = connected_components(ends, linked)
+    parts = connected_components(None, linked)
     least = parts.join(classes, parts["node"] == classes["member"]).groupBy("component").agg(F.min("least").alias("component_id"))
     grouped = parts.join(least, "component").join(links, F.col("node") == F.col("a"), "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    grouped = durable(grouped)
+    grouped = stored(grouped)
     info = classes.select("digest", "least", "n", "member").join(grouped, F.col("member") == F.col("node"), "left")
     info = info.select("digest", F.col("least").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = rows.select("key", "digest").join(info, "digest", "left")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.buckets import RESULT, Union, cells, dealt, groups, pairs_and_cells, result
-from auditlake.llm.common import WORD_BYTES, connected_components, durable, mix64, read_table, words_of
+from auditlake.llm.common import WORD_BYTES, connected_components, mix64, read_table, stored, words_of
 from auditlake.llm.jaccard import WordHashes
 
 MIN_WORDS = 5  # shorter lines stay as they are
@@ -172,35 +172,32 @@ def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(dkey, dh, gone): the numbers of the lines that go, for each key and text hash that loses any."""
     kind = dict(docs.dtypes)[key]
     d = docs.select(docs[key].alias("key"), docs[text].alias("text")).withColumn("text_h", F.xxhash64("text"))
-    rows = durable(d.mapInArrow(line_rows, f"key {kind}, text_h long, line int, digest binary, sim long, chars int"))
+    rows = stored(d.mapInArrow(line_rows, f"key {kind}, text_h long, line int, digest binary, sim long, chars int"))
     place = F.struct("key", "text_h", "line")
     lines = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("chars").alias("chars"))
-    lines = durable(lines.withColumn("member", F.monotonically_increasing_id()))
+    lines = stored(lines.withColumn("member", F.monotonically_increasing_id()))
     marks = lines.select("member", "sim", "chars")
     two, more = pairs_and_cells(lines.select(block_entries().alias("bucket"), "member"))
     left, right = (marks.select(F.col("member").alias(m), F.col("sim").alias(f"sim_{m}"), F.col("chars").alias(f"chars_{m}")) for m in "ab")
     two = two.join(left, "a").join(right, "b").where(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= DISTANCE)
     two = two.where(F.least("chars_a", "chars_b") >= EDIT_SIMILARITY * F.greatest("chars_a", "chars_b") - 1e-6).select("a", "b")
-    near = durable(dealt(more.join(marks, "member")).mapInArrow(close_sims, RESULT).select("a", "b").unionByName(two))
-    touched = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    candidates = durable(connected_components(touched, near).select(F.col("component").alias("bucket"), F.col("node").alias("member")))
-    wanted = candidates.select("member").join(lines, "member").select("member", "sim", "first.*")
-    wanted = durable(wanted)
+    near = stored(dealt(more.join(marks, "member")).mapInArrow(close_sims, RESULT).select("a", "b").unionByName(two))
+    candidates = connected_components(None, near).select(F.col("component").alias("bucket"), F.col("node").alias("member"))
+    wanted = stored(candidates.join(lines, "member").select("bucket", "member", "sim", "first.*"))
     by_doc = wanted.groupBy(F.col("key").alias("wkey"), F.col("text_h").alias("wh")).agg(F.collect_list(F.struct("member", "line")).alias("wanted"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = wanted.count() <= BROADCAST_ROWS
     by_doc = F.broadcast(by_doc) if few else by_doc
     texts = d.join(by_doc, d["key"].eqNullSafe(by_doc["wkey"]) & (d["text_h"] == by_doc["wh"])).select("text", "wanted")
     norms = texts.mapInArrow(norm_lines, "member long, norm string").dropDuplicates(["member"])
-    full = cells(candidates).join(norms, "member").join(wanted.select("member", "sim"), "member")
-    found = durable(dealt(full).mapInArrow(verified, RESULT)).select("a", "b")
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    parts = connected_components(ends, found)
+    full = cells(wanted.select("bucket", "member")).join(norms, "member").join(wanted.select("member", "sim"), "member")
+    found = stored(dealt(full).mapInArrow(verified, RESULT)).select("a", "b")
+    parts = connected_components(None, found)
     info = lines.join(parts, lines["member"] == parts["node"], "left").select("digest", "first", "n", F.coalesce("component", "member").alias("part"), F.col("component").isNotNull().alias("grouped"))
-    info = durable(info.where("n > 1 or grouped"))
+    info = stored(info.where("n > 1 or grouped"))
     first = info.groupBy("part").agg(F.min("first").alias("stays"))
     again = info.join(first, "part").select("digest", "stays")
     gone = rows.join(again, "digest").where(~place.eqNullSafe(F.col("stays")))
-    return durable(gone.groupBy(F.col("key").alias("dkey"), F.col("text_h").alias("dh")).agg(F.array_sort(F.collect_set("line")).alias("gone")))
+    return stored(gone.groupBy(F.col("key").alias("dkey"), F.col("text_h").alias("dh")).agg(F.array_sort(F.collect_set("line")).alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
