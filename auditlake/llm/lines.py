@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.buckets import RESULT, Union, cells, dealt, groups, pairs_and_cells, result
-from auditlake.llm.common import WORD_BYTES, connected_components, mix64, read_table, stored, words_of
+from auditlake.llm.common import WORD_BYTES, connected_components, mix64, parallelism, read_table, stored, words_of
 from auditlake.llm.jaccard import WordHashes
 
 MIN_WORDS = 5  # shorter lines stay as they are
@@ -30,6 +30,7 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Rows up to which a side is broadcast (some 60 bytes each, removed lines 4); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 BROADCAST_LINES = 2_000_000
+LINES_A_TASK = 50_000
 
 
 #: As words are read, with line ends kept.
@@ -177,7 +178,9 @@ def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("chars").alias("chars"))
     lines = stored(lines.withColumn("member", F.monotonically_increasing_id()))
     marks = lines.select("member", "sim", "chars")
-    two, more = pairs_and_cells(lines.select(block_entries().alias("bucket"), "member"))
+    # Twenty keys a line: few enough lines a task for its counts to fit in memory
+    spread = lines.select("member", "sim").repartition(max(parallelism(docs.sparkSession), -(-lines.count() // LINES_A_TASK)))
+    two, more = pairs_and_cells(spread.select(block_entries().alias("bucket"), "member"))
     left, right = (marks.select(F.col("member").alias(m), F.col("sim").alias(f"sim_{m}"), F.col("chars").alias(f"chars_{m}")) for m in "ab")
     two = two.join(left, "a").join(right, "b").where(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= DISTANCE)
     two = two.where(F.least("chars_a", "chars_b") >= EDIT_SIMILARITY * F.greatest("chars_a", "chars_b") - 1e-6).select("a", "b")
