@@ -85,7 +85,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = words_of(t)
             digests.append(digest(t, words) if t else None)
             signatures.append(signature(shingles(words, hashes)).tobytes() if words else None)
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["key", "digest", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text_h"), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["key", "text_h", "digest", "sig"])
 
 
 def prefix_entries(depth: int):
@@ -191,22 +191,24 @@ def with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: key, class_id, n_links, component_id, kept.
+    """One row for each row of ``docs``: key, text_h (the text's hash), class_id, n_links, component_id, kept.
 
     Words: A-Z lower-cased, class [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]; shingles: SHINGLE words, all words of a shorter
     text. Texts of equal words are a class, named by its smallest key; ``n_links`` counts the other rows whose class is
     the same or has a Jaccard similarity of SIMILARITY or more; ``component_id`` is the smallest key reachable by
-    links, and ``kept`` marks the row that has it. Texts that differ, but have no word, link with nothing; null and
-    empty texts link with nothing at all, and each is kept. Of rows repeating key and text all are returned, each
-    marked alike. Null keys: the row is kept if it links with nothing, else as a group's member without a name.
-    Other columns aren't read. Pairs are compared inside bounded cells and never written out.
+    links, and ``kept`` marks the row that has it; where a key repeats with different texts of a group, the one with
+    the smallest text hash. Texts that differ, but have no word, link with nothing; null and empty texts link with
+    nothing at all, and each is kept. Rows repeating key and text are one document: all are returned, each marked
+    alike. A null key comes after all others, and names a group only where no member has a key. Other columns aren't
+    read. Pairs are compared inside bounded cells and never written out.
     """
     kind = dict(docs.dtypes)[key]
-    d = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    rows = stored(d.mapInArrow(signed, f"key {kind}, digest binary, sig binary"))
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    d = docs.select(docs[key].alias("key"), docs[text].alias("text")).withColumn("text_h", F.xxhash64("text"))
+    rows = stored(d.mapInArrow(signed, f"key {kind}, text_h long, digest binary, sig binary"))
+    place = F.struct(F.col("key").isNull().alias("unnamed"), "key", "text_h")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(place).alias("least"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("member", F.monotonically_increasing_id()))
-    hashed = classes.where("sig is not null and least is not null").select("member", "sig")
+    hashed = classes.where("sig is not null").select("member", "sig")
     edges = None
     for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
         entries = hashed.mapInArrow(prefix_entries(depth), "bucket long, member long")
@@ -218,25 +220,26 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     candidates = connected_components(None, edges).select(F.col("component").alias("bucket"), F.col("node").alias("member"))
     wanted = stored(candidates.join(classes.select("member", "least", "digest", "n"), "member"))
     few = wanted.count() <= BROADCAST_ROWS
-    named = d.join(F.broadcast(wanted) if few else wanted, d["key"] == wanted["least"]).select("text", "digest", "member", "n")
+    same = d["key"].eqNullSafe(wanted["least"]["key"]) & (d["text_h"] == wanted["least"]["text_h"])
+    named = d.join(F.broadcast(wanted) if few else wanted, same).select("text", "digest", "member", "n")
     sets = named.mapInArrow(with_shingles, "member long, n long, shingles binary").dropDuplicates(["member"])
     found = stored(dealt(cells(wanted.select("bucket", "member")).join(sets, "member")).mapInArrow(verified, RESULT))
     links = found.where("kind = 0").groupBy("a").agg(F.sum("n").alias("links"))
     linked = found.where("kind = 1").select("a", "b")
     parts = connected_components(None, linked)
-    least = parts.join(classes, parts["node"] == classes["member"]).groupBy("component").agg(F.min("least").alias("component_id"))
-    grouped = parts.join(least, "component").join(links, F.col("node") == F.col("a"), "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    least = parts.join(classes, parts["node"] == classes["member"]).groupBy("component").agg(F.min("least").alias("stays"))
+    grouped = parts.join(least, "component").join(links, F.col("node") == F.col("a"), "left").select("node", "stays", F.coalesce("links", F.lit(0)).alias("links"))
     grouped = stored(grouped)
     info = classes.select("digest", "least", "n", "member").join(grouped, F.col("member") == F.col("node"), "left")
-    info = info.select("digest", F.col("least").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.select("key", "digest").join(info, "digest", "left")
+    info = info.select("digest", F.col("least.key").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("stays", "least").alias("stays"))
+    out = rows.select("key", "text_h", "digest").join(info, "digest", "left")
     lone = F.col("digest").isNull()
     return out.select(
-        F.col("key").alias(key), F.when(lone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(lone, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
-        (lone | F.col("key").eqNullSafe(F.col("component_id"))).alias("kept"),
+        F.col("key").alias(key), "text_h", F.when(lone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(lone, F.col("key")).otherwise(F.col("stays.key")).alias("component_id"),
+        (lone | (F.col("key").eqNullSafe(F.col("stays.key")) & (F.col("text_h") == F.col("stays.text_h")))).alias("kept"),
     )
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_texts(read_table(spark, sf_dir, "documents"))
+    return near_texts(read_table(spark, sf_dir, "documents")).drop("text_h")

@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, held_out, score, predicted (score >= THRESHOLD). Null and empty texts have no hit and score low.
+    """Per row: key, text_h (the text's hash), held_out, score, predicted (score >= THRESHOLD). Null and empty texts have no hit and score low.
 
     A map over the rows; repeated and null keys stay; other columns aren't read.
     """
@@ -235,12 +235,12 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
         for b in batches:
             x = np.array([features(t, m) + [1.0] for t in b["text"]]).reshape(len(b), FEATURES + 1)
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            yield pd.DataFrame({"key": b["key"], "held_out": held_out(b["key"]), "score": p, "predicted": (p >= THRESHOLD).astype("int32")})
+            yield pd.DataFrame({"key": b["key"], "text_h": b["text_h"], "held_out": held_out(b["key"]), "score": p, "predicted": (p >= THRESHOLD).astype("int32")})
 
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return rows.mapInPandas(run, f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_h"))
+    return rows.mapInPandas(run, f"key {kind}, text_h long, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return score_toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels"))).drop("text_h")

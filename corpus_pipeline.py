@@ -20,11 +20,18 @@ from auditlake.shipping import ship
 ORACLE_SQL = None
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id and text are those of a row (doc_id, text_h) of ``gone``."""
+    gone = gone.select(F.col("doc_id").alias("k"), "text_h").distinct()
+    same = docs["doc_id"].eqNullSafe(gone["k"]) & (F.xxhash64(docs["text"]) == gone["text_h"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go; a rejected key takes all its rows along. Null keys stay."""
+    """Documents that the model rejects go, each by its key and text."""
     ship(spark)
     scored = score_toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, scored.where("predicted = 1"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +43,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    """One document (key and text) of each group of near copies stays: the one with the smallest doc_id."""
     ship(spark)
-    gone = near_texts(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_texts(docs).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
     ship(spark)
-    found = decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("k"), "text_h").distinct()
-    same = docs["doc_id"].eqNullSafe(found["k"]) & (F.xxhash64(docs["text"]) == found["text_h"])
-    return docs.join(found, same, "left_anti").select(*docs.columns)
+    return without(docs, decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,3 +310,23 @@ def test_no_word_within_one_edit_of_a_term_is_passed_over():
             for near in (t[:i] + "q" + t[i:], t[:i] + "q" + t[i + 1 :], t[:i] + t[i + 1 :]):
                 if len(near) >= 5:
                     assert m.near_a_term(near) and m.hits([near.encode()])
+
+
+def test_rows_of_a_repeated_or_null_key_are_judged_each(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    a, b, c, e = (prose(rng, 60) for _ in "abce")
+    near = c.rsplit(" ", 1)[0] + " other"
+    rows = [(3, b), (5, a), (5, b), (9, a), (7, c), (7, near), (None, e), (None, e + " more"), (None, a), (8, None), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, d, "").collect()}
+    assert {(3, b), (5, a), (8, None), (8, "")} <= left and len(left) == 6
+    assert len({(7, c), (7, near)} & left) == 1 and len({(None, e), (None, e + " more")} & left) == 1
+    bad = "idiot moron " * 10
+    rows = [(i, bad + str(i) if i % 2 else prose(rng, 20)) for i in range(80)] + [(500, bad + "x"), (500, a), (None, bad), (None, b)]
+    labels = [(i, i % 2) for i in range(80)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.toxicity(spark, d, f"file://{tmp_path}").collect()}
+    assert left == {r for r in rows if r[0] is not None and r[0] < 80 and r[0] % 2 == 0} | {(500, a), (None, b)}
