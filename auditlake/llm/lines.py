@@ -205,7 +205,7 @@ def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with ``text`` lacking lines that occur before, and the counts
-    ``_n_lines``, ``_n_removed`` and ``_n_full`` (lines of MIN_WORDS words or more left; null where none went).
+    ``_n_lines``, ``_n_removed`` and ``_n_worded`` (lines with a word that are left; null where none went).
 
     Order of occurrence: key (null first), text hash, line number. Lines of fewer than MIN_WORDS words never go. Null
     texts stay null and have no lines; an empty text is one short line. Rows equal in key and text are one document
@@ -220,12 +220,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     line = F.split("text", "\n", -1)
     left = F.filter(line, lambda _, i: ~F.array_contains("gone", i))
     d = d.withColumn("left", F.when(F.col("gone").isNotNull(), left))
-    # Counting by the same word class as lines are normalised by
-    full = F.filter("left", lambda x: F.regexp_count(x, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) >= MIN_WORDS)
+    # By the same word class as lines are normalised by
+    worded = F.filter("left", lambda x: x.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     counts = {
         "_n_lines": F.coalesce(F.size(line), F.lit(0)),
         "_n_removed": F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0),
-        "_n_full": F.when(F.col("gone").isNotNull(), F.size(full)),
+        "_n_worded": F.when(F.col("gone").isNotNull(), F.size(worded)),
     }
     kept = F.when(F.col("gone").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("text"))
     columns = [kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]

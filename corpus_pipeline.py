@@ -35,9 +35,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents that lost lines and have no full line left. ``n_chars`` follows the text."""
+    """Repeated lines go; so do documents that lost lines and have no line with a word left. ``n_chars`` follows the text."""
     ship(spark)
-    out = dedup_lines(docs).where("_n_removed = 0 or _n_full > 0")
+    out = dedup_lines(docs).where("_n_removed = 0 or _n_worded > 0")
     chars = F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(*docs.columns)
 

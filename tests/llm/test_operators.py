@@ -330,3 +330,13 @@ def test_rows_of_a_repeated_or_null_key_are_judged_each(spark, tmp_path):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     left = {(r.doc_id, r.text) for r in corpus_pipeline.toxicity(spark, d, f"file://{tmp_path}").collect()}
     assert left == {r for r in rows if r[0] is not None and r[0] < 80 and r[0] % 2 == 0} | {(500, a), (None, b)}
+
+
+def test_short_lines_outlive_the_long_lines_of_their_document(spark):
+    import corpus_pipeline
+
+    shared = "a heading of six words here"
+    rows = [(1, shared + "\nfirst text"), (2, shared + "\nmilk\neggs and flour"), (3, shared), (4, shared + "\n\n---"), (5, ""), (6, None)]
+    d = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, d, "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("milk\neggs and flour", 19), 5: ("", 0), 6: (None, 0)}
