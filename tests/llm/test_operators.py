@@ -340,3 +340,21 @@ def test_short_lines_outlive_the_long_lines_of_their_document(spark):
     d = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, d, "").collect()}
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("milk\neggs and flour", 19), 5: ("", 0), 6: (None, 0)}
+
+
+def test_lines_of_edit_similarity_alone(spark, docs):
+    rows = sorted(docs.select("doc_id", "text").distinct().collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    found = [(r.doc_id, b" ".join(w).decode()) for r in rows for x in lines.split_lines(r.text) if len(w := words_of(x)) >= lines.MIN_WORDS]
+    names = list(dict.fromkeys(n for _, n in found))
+    group = list(range(len(names)))
+    for x in range(len(names)):
+        for y in range(x):
+            if lines.similar(names[x], names[y]):
+                group = [group[y] if g == group[x] else g for g in group]
+    seen, gone = set(), Counter()
+    for i, n in found:
+        g = group[names.index(n)]
+        gone[i] += g in seen
+        seen.add(g)
+    assert len(set(group)) < len(names)
+    assert {r.doc_id: r._n_removed for r in lines.dedup_lines(docs).collect()} == {r.doc_id: gone[r.doc_id] for r in rows}
