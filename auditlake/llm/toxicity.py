@@ -34,6 +34,7 @@ STEM_LENGTHS = (4, 5, 6)
 MIN_ROWS = 4  # toxic rows that a learnt term needs
 MIN_ODDS = 4.0  # log odds that a learnt term needs
 MAX_TERMS = 3000
+FUZZY_TERM, FUZZY_STEM = 5, 6  # letters from which terms and stems are met with one edit; most short words are near a shorter one
 CONTEXT = 5
 THRESHOLD = 0.3
 CACHED_WORDS = 300_000
@@ -69,7 +70,8 @@ class Trie:
         return best
 
     def fuzzy(self, word: str, most: int) -> Hit | None:
-        """The best whole term within ``most`` edits: states of the word's automaton, a row each, walked down the trie.
+        """The best term within ``most`` edits of the word, or stem within ``most`` edits of a beginning of it that the
+        word carries on: states of the word's automaton, a row each, walked down the trie.
 
         A state is the row of edit distances between the trie path and every beginning of the word; a branch ends
         where no entry is within the limit.
@@ -80,6 +82,8 @@ class Trie:
             node, row = stack.pop()
             if "$" in node and row[-1] <= most and (best is None or (row[-1], -node["$"]) < (best.distance, -best.weight)):
                 best = Hit(node["$"], row[-1])
+            if "*" in node and (d := min(row[:-1], default=most + 1)) <= most and (best is None or (d, -node["*"]) < (best.distance, -best.weight)):
+                best = Hit(node["*"], d)
             for c, below in node.items():
                 if c in "$*" or not isinstance(below, dict):
                     continue
@@ -92,26 +96,29 @@ class Trie:
 
 
 FOLD = str.maketrans("013457@$", "oieastas")
+#: Runs of word characters and the two signs that FOLD reads as letters, with one of these at least.
+DISGUISED = re.compile(r"[\w@$]*[@$][\w@$]*")
 QUOTES = re.compile("[\"“”„«»‘’'][^\"“”„«»\n]{0,300}[\"“”„«»]")
 FEATURES = 9
 
 
 class Matcher:
-    """Words to hits, with a bounded cache; fuzzy search only for ASCII words of five letters or more."""
+    """Words to hits, with a bounded cache; one edit for terms of FUZZY_TERM letters and stems of FUZZY_STEM or more."""
 
     def __init__(self, terms: dict[str, float]):
         self.trie, self.seen = Trie(terms), {}
-        spelled = Trie({t: w for t, w in terms.items() if not t.endswith("*") and t.isascii() and len(t) >= 5 and t in INSULTS})
-        self.spelled = spelled
-        # One edit leaves a term's first or second half whole, at the word's start or end
-        long = [t for t in INSULTS if len(t) >= 5]
-        self.starts = {(len(t), t[: len(t) // 2]) for t in long}
-        self.ends = {(len(t), t[len(t) // 2 :]) for t in long}
+        whole = {t for t in terms if not t.endswith("*") and len(t) >= FUZZY_TERM}
+        stems = {t for t in terms if t.endswith("*") and len(t) > FUZZY_STEM}
+        self.spelled = Trie({t: terms[t] for t in whole | stems})
+        # Within one edit, a word and a term are equal once each lacks one letter or none
+        self.whole, self.stems = ({v for t in ts for v in lacking(t.rstrip("*"))} for ts in (whole, stems))
+        self.sizes = sorted({len(t) - 1 + d for t in stems for d in (-1, 0, 1)})
 
     def near_a_term(self, word: str) -> bool:
-        """False only where no spelled term is within one edit."""
-        n = len(word)
-        return any((m, word[: m // 2]) in self.starts or (m, word[n - m + m // 2 :]) in self.ends for m in (n - 1, n, n + 1))
+        """False only where no spelled term is within one edit, and no spelled stem of a beginning."""
+        if not self.whole.isdisjoint(lacking(word)):
+            return True
+        return any(not self.stems.isdisjoint(lacking(word[:n])) for n in self.sizes if n <= len(word))
 
     def hits(self, words: list[bytes]) -> dict[bytes, Hit]:
         """The distinct words that hit, with their hits."""
@@ -124,7 +131,7 @@ class Matcher:
 
     def find(self, word: str) -> Hit | None:
         hit = self.trie.exact(word)
-        if hit is None and 5 <= len(word) <= 16 and word.isascii():
+        if hit is None and len(word) >= FUZZY_TERM - 1:
             folded = word.translate(FOLD)
             if folded != word:
                 hit = self.trie.exact(folded)
@@ -133,9 +140,23 @@ class Matcher:
                 hit = Hit(hit.weight * 0.5, hit.distance) if hit else None
         return hit
 
+    def unmasked(self, text: str) -> str:
+        """The text with letters for '@' and '$' in words that are terms then; other words as they are."""
+        def plain(found: re.Match) -> str:
+            word = found[0].translate(FOLD)
+            return word if any(self.trie.exact(w.decode("utf-8", "replace")) for w in words_of(word)) else found[0]
+
+        return DISGUISED.sub(plain, text) if "@" in text or "$" in text else text
+
+
+def lacking(word: str) -> list[str]:
+    """The word, and it without each one of its letters."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
 
 def features(text: str | None, m: Matcher) -> list[float]:
     """Counts and sums over a whole text's hits; all 0 where none is."""
+    text = text and m.unmasked(text)
     words = words_of(text)
     found = m.hits(words)
     if not found:

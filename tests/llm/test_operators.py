@@ -358,3 +358,16 @@ def test_lines_of_edit_similarity_alone(spark, docs):
         seen.add(g)
     assert len(set(group)) < len(names)
     assert {r.doc_id: r._n_removed for r in lines.dedup_lines(docs).collect()} == {r.doc_id: gone[r.doc_id] for r in rows}
+
+
+def test_misspelt_learnt_terms_are_met():
+    from auditlake.llm.toxicity import INSULTS, Matcher, features
+
+    m = Matcher(dict.fromkeys(INSULTS, 6.0) | {"crétine": 5.0, "dummkopf": 5.0, "grobna*": 5.0, "grob*": 3.0})
+    for word in ("idot", "sh1t", "crétne", "cretine", "crétinne", "dumkopf", "dummkopff", "gribnaxyz", "grbnaxyz", "grobbnaxyz", "idi0t"):
+        assert m.find(word) is not None, word
+    for word in ("ship", "alpha", "kopf", "gribxyz", "naïveté"):
+        assert m.find(word) is None, word
+    for text in ("you $lut", "an @sshole", "cr@p"):
+        assert features(text, m)[0] == 1.0, text
+    assert features("mail alpha@example.com for $5", m)[0] == 0.0
