@@ -2,9 +2,9 @@
 
 A token's probability is its class's under the network times its own within the class. Frequent words are classes of
 their own, others share classes by their last letters; within a class words follow their training counts, with a
-Good-Turing share for words not seen. The network (GRU, numpy) is trained by truncated backpropagation on a fixed share
-of the training documents, which grows with the corpus: every part trains from the same weights, and the parts' weights
-are averaged, for some rounds. Scoring carries the state across windows over whole documents.
+Good-Turing share for words not seen. The network (GRU, numpy) is trained by truncated backpropagation on all
+training documents, each in one of some rounds: every part of a round trains from the same weights, and the parts'
+weights are averaged. Scoring carries the state across windows over whole documents.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import durable, parallelism, read_table
+from auditlake.llm.common import durable, read_table
 
 CLASSES = 128
 OWN = 64  # classes of one token: the end, then the most frequent words
 HIDDEN = 20
 HEAD = 100_000  # most frequent words, whose counts every task holds; the rest are joined
 ROUNDS = 3
-SHARE = 20  # one training document in so many trains the network, all rounds together
+PART_TOKENS = 500_000  # of a part on average, whatever the number of shuffle partitions
 STREAMS, WINDOW = 32, 16
 RATE = 0.01
 BATCH_DOCS, SCORE_WINDOW = 256, 64
@@ -104,7 +104,10 @@ def step(p: dict[str, np.ndarray], previous: np.ndarray, h: np.ndarray) -> tuple
 
 
 def gradients(p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Backpropagation through one window (streams x steps), truncated at its start; the state it ends with."""
+    """Backpropagation through one window (streams x steps), truncated at its start; the state it ends with.
+
+    A target of -1 is filling and teaches nothing.
+    """
     kept, states = [], []
     for t in range(previous.shape[1]):
         h, *rest = step(p, previous[:, t], h)
@@ -115,8 +118,10 @@ def gradients(p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray
     logits -= logits.max(axis=1, keepdims=True)
     d = np.exp(logits)
     d /= d.sum(axis=1, keepdims=True)
-    d[np.arange(len(d)), target.T.ravel()] -= 1
-    d /= len(d)
+    wanted = target.T.ravel()
+    d[np.arange(len(d)), wanted] -= 1
+    d[wanted < 0] = 0
+    d /= max(1, int((wanted >= 0).sum()))
     grad = {"v": hs.T @ d, "b": d.sum(axis=0), "u": np.zeros_like(p["u"]), "x": np.zeros_like(p["x"])}
     dhs, dh = (d @ p["v"].T).reshape(previous.shape[1], len(h), HIDDEN), np.zeros_like(h)
     for t in range(previous.shape[1] - 1, -1, -1):
@@ -133,11 +138,13 @@ def gradients(p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray
 
 
 def train(p: dict[str, np.ndarray], classes: np.ndarray) -> dict[str, np.ndarray]:
-    """One pass over a sequence of classes (documents with their ends), as parallel streams, by Adam."""
-    n = (len(classes) - 1) // (STREAMS * WINDOW) * WINDOW
+    """One pass over a sequence of classes (documents with their ends), as parallel streams, the last filled up, by Adam."""
+    n = -(-(len(classes) - 1) // STREAMS)
+    filling = np.full(STREAMS * n + 1 - len(classes), -1, classes.dtype)
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     h, at = np.zeros((STREAMS, HIDDEN), np.float32), 0
-    previous, target = classes[: STREAMS * n].reshape(STREAMS, n), classes[1 : STREAMS * n + 1].reshape(STREAMS, n)
+    target = np.concatenate([classes[1:], filling]).reshape(STREAMS, n)
+    previous = np.concatenate([classes[:-1], filling * 0]).reshape(STREAMS, n)
     for t in range(0, n, WINDOW):
         grad, h = gradients(p, previous[:, t : t + WINDOW], target[:, t : t + WINDOW], h)
         at += 1
@@ -243,7 +250,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     unseen = (ones + 0.5) / (mass + 1)
     unseen[:OWN] = 0.0
     unseen[OWN:][mass[OWN:] == 0] = 1.0
-    weights = fit_network(training, sent, fresh(np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES))))
+    weights = fit_network(training, n, sent, fresh(np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES))))
     denominator = n + 0.5 * (v + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         head_base = np.log10((head.counts + 0.5) / denominator)
@@ -292,25 +299,25 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def fit_network(training: DataFrame, sent, weights: dict[str, np.ndarray]) -> np.ndarray:
-    """ROUNDS of parallel training and averaging; each round takes its own part of the sampled documents."""
+def fit_network(training: DataFrame, n: int, sent, weights: dict[str, np.ndarray]) -> np.ndarray:
+    """ROUNDS of parallel training and averaging over the n tokens; each document is in one round."""
     current = flat(weights)
-    pick = F.pmod(F.xxhash64("key", F.lit(8)), F.lit(SHARE * ROUNDS))
-    sample = durable(training.withColumn("round", pick).where(F.col("round") < ROUNDS).repartition(parallelism(training.sparkSession)))
+    rounds = training.withColumn("round", F.pmod(F.xxhash64("key", "text", F.lit(8)), F.lit(ROUNDS)))
+    parts = max(1, -(-n // (ROUNDS * PART_TOKENS)))
     for number in range(ROUNDS):
         start = current
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = sent.value
-            parts = [sequence_of(t, head)[0] for b in batches for t in b.column("text").to_pylist()]
-            classes = np.concatenate([np.zeros(1, np.int64), *parts])
-            if len(classes) <= STREAMS * WINDOW:
+            texts = [sequence_of(t, head)[0] for b in batches for t in b.column("text").to_pylist()]
+            if not texts:
                 return
+            classes = np.concatenate([np.zeros(1, np.int64), *texts])
             w = flat(train(unflat(start), classes)).astype(np.float64)
             n = np.full(len(w), float(len(classes)))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w * n), pa.array(n)], ["at", "w", "n"])
 
-        trained = sample.where(F.col("round") == number).select("text").mapInArrow(run, "at long, w double, n double")
+        trained = rounds.where(F.col("round") == number).select("text").repartition(parts).mapInArrow(run, "at long, w double, n double")
         mean = trained.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).orderBy("at").collect()  # one row a weight
         if mean:
             current = np.array([r["w"] for r in mean])

@@ -371,3 +371,15 @@ def test_misspelt_learnt_terms_are_met():
     for text in ("you $lut", "an @sshole", "cr@p"):
         assert features(text, m)[0] == 1.0, text
     assert features("mail alpha@example.com for $5", m)[0] == 0.0
+
+
+def test_every_training_token_trains_the_network(spark):
+    start = language_model.fresh(np.zeros(language_model.CLASSES))
+    for n in (2, 40, 513, 1100):
+        classes = np.array([0] + [1] * (n - 1) + [7], np.int64)  # the last class occurs once, at the very end
+        p = language_model.train({k: a.copy() for k, a in start.items()}, classes)
+        assert p["b"][7] > p["b"][8], n
+    few = spark.createDataFrame([(i, "one two three") for i in range(4)], "key long, text string")
+    head = language_model.Head([language_model.END, b"one", b"two", b"three"], [4] * 4)
+    got = language_model.fit_network(few, 16, spark.sparkContext.broadcast(head), start)
+    assert not np.allclose(got, language_model.flat(start))
