@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import stored
+from auditlake.llm.common import parallelism, stored
 
 BLOCK = 512
 #: Buckets up to which their sizes are broadcast (some 30 bytes each); beyond, the join shuffles.
@@ -48,8 +48,8 @@ def pairs_and_cells(entries: DataFrame, block: int = BLOCK) -> tuple[DataFrame,
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """A cell's rows next to each other in one task."""
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    """A cell's rows next to each other in one task; a fixed number of tasks, as the work in them is not in their bytes."""
+    return rows.repartition(parallelism(rows.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("bucket", "i", "j")) -> Iterator[tuple[tuple, dict]]:

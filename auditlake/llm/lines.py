@@ -22,16 +22,19 @@ MIN_WORDS = 5  # shorter lines stay as they are
 EDIT_SIMILARITY = 0.9
 #: Runs of five characters; of similar lines 0.45 to 1 are common, of others few. Recall measured: see the README.
 GRAM = 5
-BANDS, VALUES = 24, 5
+BANDS, VALUES = 20, 5
 HASHES = BANDS * VALUES
-#: Sketches of candidates differ in at most so many of HASHES values: at 0.45 in common more is 3.7 sigma off.
-APART = 70
+KEY_BYTES = 5
+FAMILIES = 4  # hashes of a run; each deals its bins
+#: Sketches of candidates differ in at most so many of HASHES values, as many as at 0.41 in common on average.
+APART = 44
 WORDS = -(-HASHES // 32)  # longs of a sketch
 PAIRS = 0x5555555555555555  # the low bit of each two
-#: Rows up to which a side is broadcast (some 60 bytes each, removed lines 4); beyond, the join shuffles.
+#: Lines up to which their places are broadcast (some 60 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
-BROADCAST_LINES = 2_000_000
 LINES_A_TASK = 50_000
+FEW_TRIED = 4  # comparisons of a line that fail before lower bounds are worked out for the rest
+SEEN_LINES = 500_000  # digests a task remembers
 
 
 #: As words are read, with line ends kept.
@@ -43,35 +46,67 @@ def split_lines(text: str | None) -> list[str]:
 
 
 _rng = np.random.default_rng(7)
-XORS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-ODDS = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+FAMILY_ODDS = _rng.integers(0, 1 << 63, FAMILIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _rng.integers(0, 1 << 63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALT = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
+#: Where an empty bin looks for a value, one try after the other: the same bins for every line.
+TRIES = np.stack([_rng.permutation(HASHES) for _ in range(24)])
+EMPTY = 0xFFFFFFFF
 
 
 def signatures(norms: list[str]) -> np.ndarray:
-    """HASHES MinHash values of each line's runs of GRAM characters; a shorter line is filled up with zeros."""
+    """HASHES MinHash values of each line's runs of GRAM characters; a shorter line is filled up with zeros.
+
+    One-permutation hashing: each of FAMILIES hashes deals the runs to HASHES / FAMILIES bins, of which each keeps its
+    least; an empty bin takes another's value, found in the same order for every line.
+    """
     filled = [n if len(n) >= GRAM else n.ljust(GRAM, "\0") for n in norms]
     chars = np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     total = np.zeros(len(chars) - GRAM + 1, np.uint64)
     for i in range(GRAM):
         total += chars[i : len(total) + i] * PLACES[i]
-    runs = (mix64(total) >> np.uint64(32)).astype(np.uint32)
-    out, at = np.full((len(norms), HASHES), 0xFFFFFFFF, np.uint32), 0
-    for r, n in enumerate(filled):
-        own = runs[at : at + len(n) - GRAM + 1]
-        for i in range(0, len(own), 512):
-            np.minimum(out[r], ((own[i : i + 512, None] ^ XORS) * ODDS).min(axis=0), out=out[r])
-        at += len(n)
+    size = np.array([len(n) for n in filled])
+    line = np.repeat(np.arange(len(filled)), size)
+    inside = np.ones(len(chars), bool)  # a run that would cross into the next line is none
+    for i in range(1, GRAM):
+        inside[np.cumsum(size) - i] = False
+    runs, line = mix64(total)[inside[: len(total)]], line[: len(total)][inside[: len(total)]].astype(np.uint64)
+    bins, out = np.uint64(HASHES // FAMILIES), np.full(len(norms) * HASHES, EMPTY, np.uint32)
+    base = line * np.uint64(HASHES)
+    for f in range(FAMILIES):
+        h = runs * FAMILY_ODDS[f]
+        slot = ((h >> np.uint64(32)) * bins >> np.uint64(32)) * np.uint64(FAMILIES) + base
+        np.minimum.at(out, slot.view(np.int64) + f, h.astype(np.uint32))
+    out = out.reshape(-1, HASHES)
+    first = out.copy()
+    for step in TRIES:
+        r, c = np.nonzero(out == EMPTY)
+        if not len(r):
+            break
+        out[r, c] = first[r, step[c]]
+    r, c = np.nonzero(out == EMPTY)
+    out[r, c] = first.min(axis=1)[r]
     return out
 
 
 def keys_of(sig: np.ndarray) -> np.ndarray:
-    """The BANDS keys of 32 bits of each signature."""
+    """The BANDS keys of each signature, of KEY_BYTES bytes."""
     key, values = np.tile(SALT, (len(sig), 1)), sig.reshape(-1, BANDS, VALUES)
     for i in range(VALUES):
         key = mix64(key * np.uint64(31) + values[:, :, i])
-    return (key >> np.uint64(32)).astype(np.uint32)
+    return key >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def narrow_keys(keys: np.ndarray) -> list[bytes]:
+    """Each row's keys without their empty upper bytes."""
+    cut = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(len(keys), BANDS, 8)[:, :, :KEY_BYTES])
+    return [x.tobytes() for x in cut]
+
+
+def wide_keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").reshape(-1)
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
@@ -88,38 +123,107 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text_h, line, digest, bands, sketch, chars) of every line of MIN_WORDS words or more."""
+    """(key, text_h, line, digest, bands, sketch, chars) of every line with MIN_WORDS words or more; what follows from the
+    digest only where a task meets it first, by a bounded memory of those met."""
+    seen: set[bytes] = set()
     for b in batches:
-        at, lines, digests, norms = [], [], [], []
-        for r, t in enumerate(b.column("text").to_pylist()):
-            raw = b"" if t is None else t.encode("utf-8", "surrogatepass").translate(LINE_BYTES)
-            for i, line in enumerate(raw.split(b"\n")):
+        at, lines, digests, new, norms = [], [], [], [], []
+        for r, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+            for i, line in enumerate((t or b"").translate(LINE_BYTES).split(b"\n")):
                 if len(w := line.split()) >= MIN_WORDS:
                     norm = b" ".join(w)
+                    digest = hashlib.blake2b(norm, digest_size=16).digest()
+                    if digest not in seen:
+                        seen.add(digest)
+                        new.append(len(at))
+                        norms.append(norm.decode("utf-8", "replace"))
                     at.append(r)
                     lines.append(i)
-                    digests.append(hashlib.blake2b(norm, digest_size=16).digest())
-                    norms.append(norm.decode("utf-8", "replace"))
-        bands, marks = [], []
-        for i in range(0, len(norms), 1000):
-            sig = signatures(norms[i : i + 1000])
-            bands += [k.tobytes() for k in keys_of(sig)]
-            marks += [x.tobytes() for x in sketches(sig)]
+                    digests.append(digest)
+        if len(seen) > SEEN_LINES:
+            seen.clear()
+        bands: list[bytes | None] = [None] * len(at)
+        marks, chars = bands.copy(), bands.copy()
+        for i in range(0, len(norms), 500):
+            sig = signatures(norms[i : i + 500])
+            for x, k, m, n in zip(new[i : i + 500], narrow_keys(keys_of(sig)), sketches(sig), norms[i : i + 500]):
+                bands[x], marks[x], chars[x] = k, m.tobytes(), len(n)
         where = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [b.column("key").take(where), b.column("text_h").take(where), pa.array(lines, pa.int32()), pa.array(digests, pa.binary()),
-             pa.array(bands, pa.binary()), pa.array(marks, pa.binary()), pa.array(list(map(len, norms)), pa.int32())],
+             pa.array(bands, pa.binary()), pa.array(marks, pa.binary()), pa.array(chars, pa.int32())],
             ["key", "text_h", "line", "digest", "bands", "sketch", "chars"],
         )
 
 
-def band_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, member): the BANDS keys of each line, as longs."""
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, first all lowest ones: numbers that are near each other then compress well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def packed_entries(parts: int):
+    """(part, members, keys): band keys dealt to parts, each part's of some 100,000 lines in one row: sorted keys as
+    differences, and the members they belong to."""
+
+    def dealt_out(members: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, member = np.concatenate(keys), np.repeat(np.concatenate(members), BANDS)
+        part, rest = key % np.uint64(parts), key // np.uint64(parts)
+        order = np.lexsort((rest, part))
+        part, rest, member = part[order].astype(np.int64), rest[order], member[order]
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = [*cut[1:].tolist(), len(part)]
+        made = [[planes(x[i:j]) for i, j in zip(cut.tolist(), ends)] for x in (member, np.diff(rest, prepend=np.uint64(0)))]
+        first = [int(x) for x in rest[cut]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[cut], pa.int32()), pa.array(first, pa.int64()), pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary())], ["part", "first", "members", "keys"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        for b in batches:
+            if b.num_rows:
+                members.append(b.column("member").to_numpy(zero_copy_only=False))
+                keys.append(wide_keys(b"".join(b.column("bands").to_pylist())))
+                if sum(map(len, members)) >= 100_000:
+                    yield dealt_out(members, keys)
+                    members, keys = [], []
+        if members:
+            yield dealt_out(members, keys)
+
+    return run
+
+
+def repeated_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, member) of a part's keys that more than one member has, the part's number in the bucket's upper bits."""
+    held: dict[int, tuple[list, list]] = {}
     for b in batches:
-        keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS).astype(np.int64)
-        keys |= np.arange(BANDS, dtype=np.int64) << 32
-        members = np.repeat(b.column("member").to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(members)], ["bucket", "member"])
+        for part, first, m, k in zip(*(b.column(c).to_pylist() for c in ("part", "first", "members", "keys"))):
+            members, keys = held.setdefault(part, ([], []))
+            members.append(unplaned(m, "<i8"))
+            steps = unplaned(k, "<u8").copy()
+            steps[0] = first
+            keys.append(np.cumsum(steps, dtype=np.uint64))
+    while held:
+        part, (m, k) = held.popitem()
+        members, keys = np.concatenate(m), np.concatenate(k)
+        m.clear()
+        k.clear()
+        order = np.lexsort((members, keys))
+        members, keys = members[order], keys[order]
+        once = np.ones(len(keys), bool)  # tasks that met the same line give the same entries
+        once[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
+        members, keys = members[once], keys[once]
+        again = np.zeros(len(keys), bool)
+        again[1:] = keys[1:] == keys[:-1]
+        again[:-1] |= again[1:].copy()
+        bucket = mix64(keys[again] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(members[again])], ["bucket", "member"])
 
 
 def sketched(column: list[bytes]) -> np.ndarray:
@@ -176,10 +280,57 @@ def similar(a: str, b: str) -> bool:
     return edit_distance(a, b) <= (1 - EDIT_SIMILARITY) * max(len(a), len(b)) + 1e-9
 
 
-def counts_of(line: str) -> np.ndarray:
-    """How often a line has each pair of characters, pairs hashed to 512 places: an edit changes four counts by one at most."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    return np.bincount(((c[:-1] * PLACES[0] + c[1:] * PLACES[1]) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.int32)
+PIECE = 64  # characters of one machine word
+LANES = 1 << 22  # characters searched at once
+
+
+def letters_of(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def least_edits(x: str, others: list[str], most: int) -> np.ndarray:
+    """For each other line a lower bound of its edit distance to ``x``, sharp where the distance is ``most`` or less.
+
+    ``x`` is cut into pieces of 64 characters. An alignment within ``most`` edits puts each piece at most so far from its
+    own place, so the piece's best match in that window (Myers' search, all pieces and lines side by side) costs no more
+    than its part of the alignment, and the sum no more than the whole.
+    """
+    alphabet, code = np.unique(letters_of(x), return_inverse=True)
+    pieces, n = -(-len(x) // PIECE), len(alphabet) + 1
+    place = np.arange(len(x))
+    masks = np.zeros((pieces, n), np.uint64)
+    np.bitwise_or.at(masks, (place // PIECE, code), np.uint64(1) << (place % PIECE).astype(np.uint64))
+    masks = masks.reshape(-1)
+    last = np.full(pieces, PIECE - 1, np.uint64)
+    last[-1] = (len(x) - 1) % PIECE
+    window = PIECE + 2 * most
+    out = np.zeros(len(others), np.int64)
+    step = max(1, LANES // (window * pieces))
+    for at in range(0, len(others), step):
+        part = [letters_of(y) for y in others[at : at + step]]
+        padded = np.full((len(part), pieces * PIECE + 2 * most), n - 1, np.int32)
+        for row, y in zip(padded, part):
+            found = np.minimum(np.searchsorted(alphabet, y), n - 2)
+            y = np.where(alphabet[found] == y, found, n - 1)[: len(row) - most]
+            row[most : most + len(y)] = y
+        text = np.lib.stride_tricks.sliding_window_view(padded, window, axis=1)[:, ::PIECE][:, :pieces]
+        text = np.ascontiguousarray((text + (np.arange(pieces, dtype=np.int32) * n)[None, :, None]).transpose(2, 0, 1)).reshape(window, -1)
+        shift = np.tile(last, len(part))
+        score = np.tile(last.astype(np.int64) + 1, len(part))
+        up, down, least, one = np.full(len(score), ~np.uint64(0)), np.zeros(len(score), np.uint64), score.copy(), np.uint64(1)
+        for column in text:
+            eq = masks[column]
+            diagonal = (((eq & up) + up) ^ up) | eq
+            eq |= down
+            rise, fall = down | ~(diagonal | up), up & diagonal
+            score += ((rise >> shift) & one).view(np.int64)
+            score -= ((fall >> shift) & one).view(np.int64)
+            np.minimum(least, score, out=least)
+            rise <<= one
+            up = (fall << one) | ~(eq | rise)
+            down = rise & eq
+        out[at : at + step] = least.reshape(len(part), pieces).sum(axis=1)
+    return out
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,19 +339,31 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (_, i, j), g in groups(batches):
         sketch, own, lines = sketched(g["sketch"]), np.array(g["own"]), g["norm"]
         members, union, size = g["member"], Union(len(lines)), np.array(list(map(len, lines)))
-        counts = np.stack([counts_of(n) for n in lines])
         for x in range(len(lines) - 1):
-            near = differing(sketch[x + 1 :], sketch[x]) <= APART
+            apart = differing(sketch[x + 1 :], sketch[x])
+            near = apart <= APART
             edits = (1 - EDIT_SIMILARITY) * np.maximum(size[x + 1 :], size[x]) + 1e-6
             near &= np.abs(size[x + 1 :] - size[x]) <= edits
             if i != j:
                 near &= own[x + 1 :] != own[x]
             at = np.flatnonzero(near)
-            at = at[np.abs(counts[at + x + 1] - counts[x]).sum(axis=1) <= 4 * edits[at]]
-            for y in (at + x + 1).tolist():
-                if union.root(x) != union.root(y) and similar(lines[x], lines[y]):
+            at = at[np.argsort(apart[at], kind="stable")].tolist()  # the nearest first: what they connect needs no comparison
+            tried = 0
+            while at:
+                y = at.pop(0) + x + 1
+                if union.root(x) == union.root(y):
+                    continue
+                if similar(lines[x], lines[y]):
                     union.join(x, y)
                     out.append((1, members[x], members[y], 0))
+                    tried = 0
+                    continue
+                tried += 1
+                if tried == FEW_TRIED:  # many that may all be too far: most can be told apart together
+                    at = [z for z in at if union.root(x) != union.root(z + x + 1)]
+                    if len(at) > FEW_TRIED:
+                        bound = least_edits(lines[x], [lines[z + x + 1] for z in at], int(edits[at].max()))
+                        at = [z for z, n in zip(at, bound) if n <= edits[z]]
         if len(out) > 5000:
             yield result(out)
             out = []
@@ -225,30 +388,32 @@ def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     d = docs.select(docs[key].alias("key"), docs[text].alias("text")).withColumn("text_h", F.xxhash64("text"))
     rows = stored(d.mapInArrow(line_rows, f"key {kind}, text_h long, line int, digest binary, bands binary, sketch binary, chars int"))
     place = F.struct("key", "text_h", "line")
-    lines = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("chars").alias("chars"))
-    lines = stored(lines.withColumn("member", F.monotonically_increasing_id()))
-    marks = lines.select("member", "sketch", "chars")
-    # BANDS keys a line: few enough lines a task for its counts to fit in memory
-    spread = lines.select("member", "bands").repartition(max(parallelism(docs.sparkSession), -(-lines.count() // LINES_A_TASK)))
-    two, more = pairs_and_cells(spread.mapInArrow(band_entries, "bucket long, member long"))
+    lines = stored(rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumn("member", F.xxhash64("digest")))
+    marked = rows.where("bands is not null").withColumn("member", F.xxhash64("digest"))
+    parts = max(parallelism(docs.sparkSession), -(-lines.count() // LINES_A_TASK))
+    packed = marked.select("member", "bands").mapInArrow(packed_entries(parts), "part int, first long, members binary, keys binary")
+    again = stored(packed.repartitionById(parts, F.col("part")).mapInArrow(repeated_entries, "bucket long, member long"))
+    marks = marked.select("member", "sketch", "chars").join(again.select("member").distinct(), "member", "left_semi")
+    marks = stored(marks.dropDuplicates(["member"]))  # lines of one member, rare as they are, are all compared below
+    two, more = pairs_and_cells(again)
     left, right = (marks.select(F.col("member").alias(m), F.col("sketch").alias(f"sketch_{m}"), F.col("chars").alias(f"chars_{m}")) for m in "ab")
     two = two.join(left, "a").join(right, "b").where(F.least("chars_a", "chars_b") >= EDIT_SIMILARITY * F.greatest("chars_a", "chars_b") - 1e-6)
     two = two.select("a", "b", "sketch_a", "sketch_b").mapInArrow(close_pairs, "a long, b long")
     near = stored(dealt(more.join(marks, "member")).mapInArrow(close_lines, RESULT).select("a", "b").unionByName(two))
     candidates = connected_components(None, near).select(F.col("component").alias("bucket"), F.col("node").alias("member"))
-    wanted = stored(candidates.join(lines, "member").select("bucket", "member", "sketch", "first.*"))
+    wanted = candidates.join(marks.select("member", "sketch"), "member").join(lines, "member").drop("member", "n")
+    wanted = stored(wanted.select("bucket", "sketch", "digest", "first.*").withColumn("member", F.monotonically_increasing_id()))
     by_doc = wanted.groupBy(F.col("key").alias("wkey"), F.col("text_h").alias("wh")).agg(F.collect_list(F.struct("member", "line")).alias("wanted"))
-    few = wanted.count() <= BROADCAST_ROWS
-    by_doc = F.broadcast(by_doc) if few else by_doc
+    by_doc = F.broadcast(by_doc) if wanted.count() <= BROADCAST_ROWS else by_doc
     texts = d.join(by_doc, d["key"].eqNullSafe(by_doc["wkey"]) & (d["text_h"] == by_doc["wh"])).select("text", "wanted")
     norms = texts.mapInArrow(norm_lines, "member long, norm string").dropDuplicates(["member"])
-    full = cells(wanted.select("bucket", "member")).join(norms, "member").join(wanted.select("member", "sketch"), "member")
+    full = cells(wanted.select("bucket", "member"), 256).join(norms, "member").join(wanted.select("member", "sketch"), "member")
     found = stored(dealt(full).mapInArrow(verified, RESULT)).select("a", "b")
     parts = connected_components(None, found)
-    info = lines.join(parts, lines["member"] == parts["node"], "left").select("digest", "first", "n", F.coalesce("component", "member").alias("part"), F.col("component").isNotNull().alias("grouped"))
-    info = stored(info.where("n > 1 or grouped"))
-    first = info.groupBy("part").agg(F.min("first").alias("stays"))
-    again = info.join(first, "part").select("digest", "stays")
+    named = wanted.select("digest", "member").join(parts, F.col("member") == F.col("node")).select("digest", "component")
+    info = stored(lines.join(named, "digest", "left").where("n > 1 or component is not null").select("digest", "first", "component"))
+    first = info.where("component is not null").groupBy("component").agg(F.min("first").alias("stays"))
+    again = info.join(first, "component", "left").select("digest", F.coalesce("stays", "first").alias("stays"))
     gone = rows.select("key", "text_h", "line", "digest").join(again, "digest").where(~place.eqNullSafe(F.col("stays")))
     return stored(gone.groupBy(F.col("key").alias("dkey"), F.col("text_h").alias("dh")).agg(F.array_sort(F.collect_set("line")).alias("gone")))
 
@@ -262,12 +427,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     and lose the same lines. Columns of ``docs`` keep their names; the three counts replace columns so named.
     """
     gone = dropped_lines(docs, key, text)
-    few = (gone.agg(F.sum(F.size("gone") + 16)).first()[0] or 0) <= BROADCAST_LINES
-    gone = F.broadcast(gone) if few else gone
-    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("key"), docs[text].alias("text"))
-    d = d.withColumn("text_h", F.xxhash64("text"))
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("key"), F.xxhash64(docs[text]).alias("text_h"))
     d = d.join(gone, d["key"].eqNullSafe(gone["dkey"]) & (d["text_h"] == gone["dh"]), "left")
-    line = F.split("text", "\n", -1)
+    line = F.split(F.col("row")[text], "\n", -1)
     left = F.filter(line, lambda _, i: ~F.array_contains("gone", i))
     d = d.withColumn("left", F.when(F.col("gone").isNotNull(), left))
     # By the same word class as lines are normalised by
@@ -277,11 +439,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         "_n_removed": F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0),
         "_n_worded": F.when(F.col("gone").isNotNull(), F.size(worded)),
     }
-    kept = F.when(F.col("gone").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("text"))
+    kept = F.when(F.col("gone").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("row")[text])
     columns = [kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
     return d.select(*columns, *(v.alias(c) for c, v in counts.items()))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with repeated lines taken out: doc_id, n_lines, n_removed and the text that is left."""
     out = dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.greatest("_n_lines", F.lit(0)).cast("long").alias("n_lines"), F.greatest("_n_removed", F.lit(0)).cast("long").alias("n_removed"), "text")

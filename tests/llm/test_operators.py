@@ -189,28 +189,6 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == row[-1]
 
 
-def test_lines(spark, docs, empty):
-    rows = sorted(docs.select("doc_id", "text").distinct().collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
-    found = [(i, j, b" ".join(w)) for i, r in enumerate(rows) for j, x in enumerate(lines.split_lines(r.text)) if len(w := words_of(x)) >= lines.MIN_WORDS]
-    names = sorted({n for *_, n in found}, key=lambda n: next(k for k, f in enumerate(found) if f[2] == n))
-    sims = np.concatenate([lines.simhashes([n.split()], jaccard.WordHashes()) for n in names])
-    group = list(range(len(names)))
-    for x in range(len(names)):
-        for y in range(x):
-            if int(np.bitwise_count(sims[x] ^ sims[y])) <= lines.DISTANCE and lines.similar(names[x].decode(), names[y].decode()):
-                group = [group[y] if g == group[x] else g for g in group]
-    seen, gone = set(), Counter()
-    for i, _, n in found:
-        g = group[names.index(n)]
-        gone[i] += g in seen
-        seen.add(g)
-    got = lines.dedup_lines(docs)
-    assert got.columns[: len(docs.columns)] == docs.columns and got.count() == docs.count()
-    removed = {r.doc_id: r._n_removed for r in got.collect()}
-    assert removed == {r.doc_id: gone[i] for i, r in enumerate(rows)}
-    assert lines.dedup_lines(empty).count() == 0
-
-
 def test_decontamination(spark, docs, items, empty):
     got = decontaminate.decontaminate(docs, items).collect()
     want_items = [(r.item_id, words_of(r.text)) for r in items.collect() if r.item_id is not None and words_of(r.text)]
@@ -342,22 +320,48 @@ def test_short_lines_outlive_the_long_lines_of_their_document(spark):
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("milk\neggs and flour", 19), 5: ("", 0), 6: (None, 0)}
 
 
-def test_lines_of_edit_similarity_alone(spark, docs):
+def test_lines_of_edit_similarity_alone(spark, docs, empty):
+    """Counts and whole texts against a comparison of all pairs of lines, without any candidate search."""
     rows = sorted(docs.select("doc_id", "text").distinct().collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
-    found = [(r.doc_id, b" ".join(w).decode()) for r in rows for x in lines.split_lines(r.text) if len(w := words_of(x)) >= lines.MIN_WORDS]
-    names = list(dict.fromkeys(n for _, n in found))
+    found = [(r.doc_id, j, b" ".join(w).decode()) for r in rows for j, x in enumerate(lines.split_lines(r.text)) if len(w := words_of(x)) >= lines.MIN_WORDS]
+    names = list(dict.fromkeys(n for *_, n in found))
     group = list(range(len(names)))
     for x in range(len(names)):
         for y in range(x):
             if lines.similar(names[x], names[y]):
                 group = [group[y] if g == group[x] else g for g in group]
-    seen, gone = set(), Counter()
-    for i, n in found:
+    seen, gone = set(), set()
+    for i, j, n in found:
         g = group[names.index(n)]
-        gone[i] += g in seen
+        if g in seen:
+            gone.add((i, j))
         seen.add(g)
     assert len(set(group)) < len(names)
-    assert {r.doc_id: r._n_removed for r in lines.dedup_lines(docs).collect()} == {r.doc_id: gone[r.doc_id] for r in rows}
+    out = lines.dedup_lines(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count() and lines.dedup_lines(empty).count() == 0
+    want = {r.doc_id: None if r.text is None else "\n".join(x for j, x in enumerate(r.text.split("\n")) if (r.doc_id, j) not in gone) for r in rows}
+    got = out.collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert {r.doc_id: r._n_removed for r in got} == {r.doc_id: sum(i == r.doc_id for i, _ in gone) for r in rows}
+
+
+def test_recall_of_similar_lines():
+    """Of lines with up to a twelfth of their characters edited, all over the line, most share a key with their origin."""
+    rng = random.Random(8)
+    met = []
+    for n in (8, 15, 30, 80):
+        pairs = []
+        for _ in range(150):
+            a = prose(rng, n)
+            b = list(a)
+            for _ in range(rng.randrange(1, max(2, len(a) // 12))):
+                b[rng.randrange(len(b))] = rng.choice("abcdefgh ")
+            pairs.append((a, "".join(b)))
+        pairs = [(a, b) for a, b in pairs if lines.similar(a, b)]
+        x, y = (lines.signatures([p[i] for p in pairs]) for i in (0, 1))
+        shared = (lines.keys_of(x) == lines.keys_of(y)).any(axis=1)
+        met.append((shared & (lines.differing(lines.sketches(x), lines.sketches(y)) <= lines.APART)).mean())
+    assert min(met) > 0.8 and sum(met) / len(met) > 0.85, met
 
 
 def test_misspelt_learnt_terms_are_met():
