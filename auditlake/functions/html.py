@@ -28,10 +28,17 @@ OTHER_WALLS = frozenset("table select button".split())
 #: Elements whose text is kept, beside those with one of these attributes.
 WITH_TEXT = frozenset("a button h1 h2 h3 h4 h5 h6 label script summary title".split())
 TEXT_ATTRIBUTES = ("id", "onclick", "role", "tabindex")
+#: Elements whose content is no text of the body.
+UNSEEN = frozenset("head noscript script style svg template title".split())
+PATH_PARTS = 6
 
 
 class Element(NamedTuple):
-    """``pre``: place in document order; ``last``: the largest place inside; ``form`` and ``label``: the outermost ones around it."""
+    """``pre``: place in document order; ``last``: the largest place inside; ``form`` and ``label``: the outermost ones around it.
+
+    ``path``: up to PATH_PARTS tags from the element up, the nearest id ending it; among siblings of its tag an element
+    is told by its number. ``html`` and ``body`` are left out.
+    """
 
     pre: int
     last: int
@@ -43,6 +50,7 @@ class Element(NamedTuple):
     form: int | None
     label: int | None
     alt_inside: bool
+    path: str = ""
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -60,13 +68,37 @@ class Open:
     def __init__(self, pre: int, tag: str, attrs: dict[str, str], parent: Open | None, piece: int):
         self.pre, self.tag, self.attrs, self.parent, self.piece = pre, tag, attrs, parent, piece
         self.alt = False
+        self.unseen = tag in UNSEEN or (parent is not None and parent.unseen)
         own = {t: pre if tag == t else None for t in ("form", "label")}
         self.form = parent.form if parent and parent.form is not None else own["form"]
         self.label = parent.label if parent and parent.label is not None else own["label"]
 
 
 def elements(page: str | None) -> list[Element]:
-    """All elements in document order. Null and empty pages have none.
+    """All elements in document order. Null and empty pages have none."""
+    return read(page)[0]
+
+
+def with_paths(found: list[Element]) -> list[Element]:
+    siblings: dict[tuple[int | None, str], int] = {}
+    number = []
+    for e in found:
+        n = siblings[e.parent, e.tag] = siblings.get((e.parent, e.tag), 0) + 1
+        number.append(n)
+    parts: list[list[str]] = []
+    for e, n in zip(found, number):
+        if e.tag in ("html", "body"):
+            parts.append([])
+        elif e.attrs.get("id"):
+            parts.append([f"{e.tag}#{e.attrs['id']}"])
+        else:
+            own = e.tag + (f":nth-of-type({n})" if siblings[e.parent, e.tag] > 1 else "")
+            parts.append([*(parts[e.parent][1 - PATH_PARTS :] if e.parent is not None else []), own])
+    return [e._replace(path=" > ".join(p)) for e, p in zip(found, parts)]
+
+
+def read(page: str | None) -> tuple[list[Element], str]:
+    """All elements in document order, and the body's text without scripts, styles and the like.
 
     Elements that the text leaves out (html, head, body, tbody) aren't made up, and formatting isn't carried into the
     next paragraph. Content of ``noscript`` is text. A form inside a form is ignored, as are end tags with no start.
@@ -74,6 +106,7 @@ def elements(page: str | None) -> list[Element]:
     page = page or ""
     done: list[Element | None] = []
     pieces: list[str] = []
+    body: list[str] = []
     stack: list[Open] = []
 
     def close() -> None:
@@ -100,6 +133,8 @@ def elements(page: str | None) -> list[Element]:
     def shown(text: str) -> None:
         if text:
             pieces.append(unescape(text))
+            if not (stack and stack[-1].unseen):
+                body.append(pieces[-1])
 
     at = 0
     while m := TOKEN.search(page, at):
@@ -130,10 +165,12 @@ def elements(page: str | None) -> list[Element]:
         elif tag in RAW or tag in PLAIN:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else len(page)
-            body = page[at:stop]
-            pieces.append(body if tag in RAW else unescape(body))
+            inner = page[at:stop] if tag in RAW else unescape(page[at:stop])
+            pieces.append(inner)
+            if not e.unseen:
+                body.append(inner)
             at = stop
     shown(page[at:])
     while stack:
         close()
-    return [e for e in done if e is not None]
+    return with_paths([e for e in done if e is not None]), " ".join("".join(body).split())

@@ -130,7 +130,125 @@ def content_type_allowed(header: Column, rules: list[str]) -> Column:
 
 
 def looks_like_html(body: Column) -> Column:
-    """An HTML beginning after marks, comments and prolog; or an HTML tag within the first 4096 characters."""
+    """An HTML tag within the first 4096 characters, whatever follows its name; or a doctype with any space after marks and prolog."""
     head = F.left(body, F.lit(4096))
-    start = r"(?is)^\x{FEFF}?(?:\s|<!--.*?-->|<\?xml[^>]*\?>)*<(?:!doctype\s+html|html|head|body)\b"
-    return head.rlike(start) | head.rlike(r"(?i)<(?:!doctype html|html|head|body|div|p)[\s>]")
+    start = r"(?is)^\x{FEFF}?(?:\s|<!--.*?-->|<\?xml[^>]*\?>)*<!doctype\s+html(?![A-Za-z0-9_])"
+    return head.rlike(start) | head.rlike(r"(?i)<html|<!doctype html|<body|<head|<div|<p[\s>]")
+
+
+def hex_int(c: Column) -> Column:
+    return F.conv(c, 16, 10).cast("long")
+
+
+def ipv4_normalise(host: Column) -> Column:
+    """A host of one to four decimal, octal (0…) or hexadecimal (0x…) numbers as a dotted quad; null for any other.
+
+    All numbers but the last are one byte each, the last fills what is left.
+    """
+    number = r"(?:0[xX][0-9a-fA-F]*|[0-9]+)"
+
+    def value(x: Column) -> Column:
+        hexed, octal = F.lower(x).startswith("0x"), x.rlike("^0[0-7]+$")
+        bad = x.rlike("^0[0-9]*[89]") | (F.char_length(x) > 13)
+        return F.when(bad, F.lit(None)).when(hexed, F.coalesce(hex_int(F.substring(x, 3, 11)), F.lit(0))).when(octal, F.conv(x, 8, 10).cast("long")).otherwise(x.try_cast("long"))
+
+    def quad(n: Column) -> Column:
+        size = F.size(n)
+        small = F.forall(F.slice(n, 1, size - 1), lambda v: v < 256)
+        room = F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), size)
+        last = F.element_at(n, -1)
+        whole = F.aggregate(F.slice(n, 1, size - 1), F.lit(0).cast("long"), lambda acc, v: acc * 256 + v) * room + last
+        known = F.forall(n, lambda v: v.isNotNull()) & small & (last < room)
+        part = lambda k: F.shiftright(whole, k).bitwiseAND(255).cast("string")
+        return F.when(known, F.concat_ws(".", part(24), part(16), part(8), part(0)))
+
+    trimmed = F.regexp_replace(host, r"\.\z", "")
+    return F.when(trimmed.rlike(rf"^{number}(?:\.{number}){{0,3}}\z"), bind(F.transform(F.split(trimmed, r"\."), value), quad))
+
+
+def expand_ipv6(ip: Column) -> Column:
+    """The eight groups of an IPv6 address as an array of ints, null if it is none; a zone is cut off, a dotted tail is two groups."""
+
+    def grouped(s: Column) -> Column:
+        halves = F.split(s, "::", -1)
+        parts = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":", -1))
+        head, rest = parts(F.element_at(halves, 1)), F.when(F.size(halves) == 2, parts(F.element_at(halves, -1))).otherwise(F.array().cast("array<string>"))
+
+        def filled_up(x: Column) -> Column:
+            missing = 8 - F.size(x["head"]) - F.size(x["rest"])
+            fits = F.when(x["halves"] == 1, missing == 0).when(x["halves"] == 2, missing >= 0).otherwise(F.lit(False))
+            every = F.concat(x["head"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), x["rest"])
+            return F.when(fits & F.forall(every, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")), F.transform(every, lambda g: hex_int(g).cast("int")))
+
+        return bind(F.struct(head.alias("head"), rest.alias("rest"), F.size(halves).alias("halves")), filled_up)
+
+    plain = F.regexp_replace(ip, "%.*$", "")
+    tail = F.regexp_extract(plain, r"([0-9]+\.[0-9.]+)$", 1)
+    byte = lambda i: F.split_part(tail, F.lit("."), F.lit(i)).try_cast("int")
+    pair = lambda i: F.lower(F.hex(byte(i) * 256 + byte(i + 1)))
+    dotted = F.concat(F.regexp_replace(plain, r"[0-9]+\.[0-9.]+$", ""), pair(1), F.lit(":"), pair(3))
+    usable = F.when(tail == "", plain).when(tail.rlike(IPV4), dotted)
+    return F.when(F.contains(plain, F.lit(":")), bind(usable, grouped))
+
+
+def classify_ipv6(ip: Column) -> Column:
+    """``global`` or ``blocked``; what is no address is blocked. Addresses that carry an IPv4 one go by that."""
+
+    def judged(g: Column) -> Column:
+        at = lambda i: g[i]
+        zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+        carried = lambda hi, lo: classify_ipv4(F.concat_ws(".", *[x.cast("string") for v in (at(hi), at(lo)) for x in (F.shiftright(v, 8), v.bitwiseAND(255))]))
+        return (
+            F.when(g.isNull() | (zero(7) & at(7).isin(0, 1)), "blocked")
+            .when(zero(5) & (at(5) == 0xFFFF), carried(6, 7))
+            .when(zero(6), carried(6, 7))
+            .when((at(0) == 0x64) & (at(1) == 0xFF9B) & F.forall(F.slice(g, 3, 4), lambda x: x == 0), carried(6, 7))
+            .when(at(0) == 0x2002, carried(1, 2))
+            .when((at(0) == 0x2001) & at(1).isin(0, 0x0DB8), "blocked")
+            .when(at(0).bitwiseAND(0xE000) == 0x2000, "global")
+            .otherwise("blocked")
+        )
+
+    return bind(expand_ipv6(ip), judged)
+
+
+def classify_address(ip: Column) -> Column:
+    return F.when(F.contains(ip, F.lit(":")), classify_ipv6(ip)).otherwise(F.coalesce(classify_ipv4(ip), F.lit("blocked")))
+
+
+def all_global(addresses: Column) -> Column:
+    """Whether there is an address and every one is global; null addresses and arrays are not."""
+    return F.coalesce((F.size(addresses) > 0) & F.forall(addresses, lambda a: F.coalesce(classify_address(a) == "global", F.lit(False))), F.lit(False))
+
+
+def capture_headers(headers: Column, dropped: tuple[str, ...] = ("set-cookie", "set-cookie2", "authorization", "proxy-authorization"), most: int = 2048) -> Column:
+    """Names in lower case, without the ``dropped`` ones, values cut to ``most`` characters; names that fall together keep the last value."""
+    lower = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.left(e["value"], F.lit(most)).alias("value")))
+    kept = F.filter(lower, lambda e: ~e["key"].isin(*dropped))
+    last = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def url_resolve(href: Column, base: Column) -> Column:
+    """A reference against an http(s) base, without fragment; null where it is no http(s) URL.
+
+    Covers absolute, scheme-relative, absolute-path, query-only and relative-path references with dot segments.
+    """
+    h = F.regexp_replace(trim_space(href), "#.*$", "")
+    path = F.regexp_extract(base, URL, 3)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    raw = F.when(h == "", path_query(base)).when(h.startswith("/"), h).when(h.startswith("?"), F.concat(F.when(path == "", "/").otherwise(path), h)).otherwise(F.concat(folder, h))
+
+    def clean(p: Column) -> Column:
+        only, query = F.regexp_extract(p, r"^([^?]*)", 1), F.regexp_extract(p, r"(\?.*)$", 1)
+        segments = F.split(F.substring(only, 2, 1 << 20), "/", -1)
+        none = F.array().cast("array<string>")
+        walked = F.aggregate(
+            segments, none, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+        )
+        folderish = F.element_at(segments, -1).isin(".", "..")
+        return F.concat(F.lit("/"), F.array_join(F.when(folderish, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"), query)
+
+    absolute = F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
+    web = absolute.rlike(r"(?i)^https?://[^/?#]")
+    return F.when(absolute.isNotNull(), F.when(web, F.concat(origin(absolute), bind(path_query(absolute), clean)))).otherwise(F.concat(origin(base), bind(raw, clean)))

@@ -18,15 +18,21 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
+def beginning(c: Column, most: int) -> Column:
+    """As much of a text as its first ``most`` characters after collapsing need, and two more."""
+    no = SPACE[:1] + "^" + SPACE[1:]
+    return F.regexp_extract(c, rf"^(?:{SPACE}*+{no}){{0,{most + 2}}}", 0)
+
+
 def excerpt(c: Column, most: int = 300) -> Column:
     """Collapsed text; beyond ``most`` characters it is cut and ends in an ellipsis."""
-    t = collapse(c)
+    t = collapse(beginning(c, most))
     return F.when(F.char_length(t) > most, F.concat(F.left(t, F.lit(most - 1)), F.lit("…"))).otherwise(t)
 
 
 def escape_attr(c: Column, most: int = 60) -> Column:
     """Collapsed text, cut before it is escaped for an attribute."""
-    out = F.left(collapse(c), F.lit(most))
+    out = F.left(collapse(beginning(c, most)), F.lit(most))
     for raw, safe in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
     return out
@@ -37,6 +43,16 @@ def slug(c: Column, most: int = 40) -> Column:
     return F.regexp_replace(F.left(s, F.lit(most)), r"_+\z", "")
 
 
+def json_string(c: Column) -> Column:
+    """A JSON string literal that is safe inside a script: ``< > &`` and the line separators are escaped as well."""
+    escapes = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
+    escapes += [(x, f"\\u{ord(x):04x}") for x in "<>&\u2028\u2029"]
+    escapes += [(chr(i), f"\\u{i:04x}") for i in range(32) if chr(i) not in "\n\r\t\b\f"]
+    for raw, safe in escapes:
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
 def schema_type(tag: Column, kind: Column) -> Column:
     """JSON type of a form control."""
     k = F.lower(F.coalesce(kind, F.lit("text")))

@@ -8,17 +8,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.html import Element, elements
+from auditlake.functions.html import Element, read
 from auditlake.sources.cuts import cut
 
-ROW = "pre int, last int, depth int, parent int, tag string, attrs map<string,string>, text string, form int, label int, alt_inside boolean"
-ARROW = [pa.int32()] * 4 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
+ROW = "pre int, last int, depth int, parent int, tag string, attrs map<string,string>, text string, form int, label int, alt_inside boolean, path string"
+ARROW = [pa.int32()] * 4 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
 PIECE = 20_000  # elements of one batch
 EXCLUDED_TYPES = ("hidden", "submit", "button", "reset", "image")
 
 
 def shred(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row for each element: ``page_id`` and the fields of ``Element``. Pages without elements give no row."""
+    """One row for each element: ``page_id`` and the fields of ``Element``; and one, of tag ``#page``, with the body's text.
+
+    Null and empty pages have that row alone, its text empty.
+    """
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,7 +29,8 @@ def shred(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
             at: list[int] = []
             rows: list[Element] = []
             for r, page in enumerate(b.column("html").to_pylist()):
-                found = elements(page)
+                found, body = read(page)
+                found.append(Element(len(found), len(found), 0, None, "#page", {}, body, None, None, False))
                 at += [r] * len(found)
                 rows += found
                 if len(rows) >= PIECE:

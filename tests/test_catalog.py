@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from auditlake.operators import limiter, robots, scoring
-from auditlake.plans import catalog, pages  # noqa: F401
+from auditlake.plans import audits, catalog, pages  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 
