@@ -27,9 +27,9 @@ HIDDEN = 20
 HEAD = 100_000  # most frequent words, whose counts every task holds; the rest are joined
 ROUNDS = 3
 PART_TOKENS = 500_000  # of a part on average, whatever the number of shuffle partitions
-STREAMS, WINDOW = 32, 16
-RATE = 0.01
-BATCH_DOCS, SCORE_WINDOW = 256, 64
+STREAMS, WINDOW = 256, 16
+RATE = 0.02
+BATCH_DOCS, SCORE_WINDOW = 1024, 32
 FLUSH_WORDS = 300_000
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 END = b""  # no token of a text is empty
@@ -124,6 +124,7 @@ def gradients(p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray
     d /= max(1, int((wanted >= 0).sum()))
     grad = {"v": hs.T @ d, "b": d.sum(axis=0), "u": np.zeros_like(p["u"]), "x": np.zeros_like(p["x"])}
     dhs, dh = (d @ p["v"].T).reshape(previous.shape[1], len(h), HIDDEN), np.zeros_like(h)
+    inputs = np.empty((previous.shape[1], len(h), 3 * HIDDEN), hs.dtype)
     for t in range(previous.shape[1] - 1, -1, -1):
         before, g, z, r, n = kept[t]
         dh = dh + dhs[t]
@@ -131,9 +132,13 @@ def gradients(p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray
         dz = dh * (before - n) * z * (1 - z)
         dr = dn * g[:, 2 * HIDDEN :] * r * (1 - r)
         dx, dg = np.concatenate([dz, dr, dn], axis=1), np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(grad["x"], previous[:, t], dx)
+        inputs[t] = dx
         grad["u"] += before.T @ dg
         dh = np.where(previous[:, t, None] == 0, np.float32(0), dh * z + dg @ p["u"].T)
+    seen = previous.T.ravel()
+    order = np.argsort(seen, kind="stable")
+    first = np.flatnonzero(np.diff(seen[order], prepend=-1))
+    grad["x"][seen[order][first]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], first)
     return grad, h
 
 
@@ -217,6 +222,25 @@ def sequence_of(text: str | None, head: Head) -> tuple[np.ndarray, np.ndarray, l
     return classes, found, words
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Up to ``most`` words with their counts, the most frequent first; a step of counts that doesn't fit whole stays out.
+
+    Steps are eighths of a doubling, so that a few hundred rows say how far down ``most`` words reach, and no more than
+    these words come to the driver.
+    """
+    step = F.floor(F.log2("c") * 8).cast("int")
+    fits, floor = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        fits += r["n"]
+        if fits > most:
+            break
+        floor = r["step"]
+    if floor is None:
+        return []
+    rows = counts.where(step >= floor).collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -231,8 +255,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     counts = training.select("text").mapInArrow(count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = durable(counts)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    head = Head([bytes(r["word"]) for r in top], [r["c"] for r in top])
+    top = most_frequent(counts, HEAD)
+    head = Head([w for w, _ in top], [c for _, c in top])
     sent = spark.sparkContext.broadcast(head)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
