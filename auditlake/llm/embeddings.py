@@ -45,11 +45,13 @@ def nearest_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def projections(dims: int) -> np.ndarray:
-    """TABLES x BLOCKS orthonormal frames of eight rows (fewer dimensions: Gaussian rows), scaled to lattice units."""
+    """TABLES x BLOCKS orthonormal frames in lattice units: of more than eight dimensions eight are drawn and scaled up to
+    keep distances on average, fewer are turned into eight and keep them exactly."""
     rng = np.random.default_rng([SEED, dims])
-    out = rng.standard_normal((TABLES, BLOCKS, dims, 8))
     if dims >= 8:
-        out = np.linalg.qr(out)[0] * np.sqrt(dims / 8)
+        out = np.linalg.qr(rng.standard_normal((TABLES, BLOCKS, dims, 8)))[0] * np.sqrt(dims / 8)
+    else:
+        out = np.swapaxes(np.linalg.qr(rng.standard_normal((TABLES, BLOCKS, 8, dims)))[0], -1, -2)
     return out / CELL
 
 
@@ -131,13 +133,14 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     """One row for each row of ``vectors``: key, n_links, component_id, kept.
 
     Only rows of equal, non-null labels and equal dimensions are compared. Null, empty or zero vectors, and those with
-    null or non-finite components, link with nothing, nor do rows without key or label. Equal vectors form a class,
+    null or non-finite components, link with nothing, nor do rows without label. A row without key is a neighbour like any other, but names no
+    component (null where none of its members has a key) and is never kept. Equal vectors form a class,
     whose members link with each other (each row with all others of its class, counted once) without being paired.
     Other columns aren't read. Cells bound what a task holds; no pair is written out.
     """
     v = vectors.select(vectors[key].alias("id"), vectors[label].alias("label"), vectors[embedding].cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    usable = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = v.where(usable)
     classes = stored(good.groupBy("label", "embedding").agg(F.min("id").alias("member"), F.count("*").alias("n")))
     # Rows that repeat a key with other vectors: the class is named by its own number, not by the key
