@@ -1,20 +1,19 @@
 """Operator 10: license scan by ordered signature rules.
 
 Rules are regular expressions over a text's words (A-Z lower-cased, parted by single spaces). A rule runs only where
-all its keywords occur. Detections are ranked by priority and length; one that lies inside a better one of another
-label is suppressed. Three fixed phrases form the base; their labels always stay.
+all its keywords occur. Detections are ranked by priority and length; one that lies inside a better one is
+suppressed. Three fixed phrases form the base; their labels always stay.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.common import read_table, words_of
@@ -28,12 +27,12 @@ FAMILIES = {
     "isc": (r"isc", "isc", ()),
     "zlib": (r"zlib(?: libpng)?", "zlib", ()),
     "apache": (r"apache(?: software)?", "apache", ("1.0", "1.1", "2")),
-    "gpl": (r"(?:gnu )?(?:general public|gpl)", "g", ("1", "2", "3")),
-    "lgpl": (r"(?:gnu )?(?:lesser|library) (?:general public|gpl)|lgpl", "l", ("2", "2.1", "3")),
-    "agpl": (r"(?:gnu )?affero (?:general public|gpl)|agpl", "a", ("1", "3")),
-    "mpl": (r"(?:mozilla public|mpl)", "m", ("1.0", "1.1", "2")),
-    "epl": (r"(?:eclipse public|epl)", "e", ("1.0", "2")),
-    "cddl": (r"(?:common development and distribution|cddl)", "d", ("1.0", "1.1")),
+    "gpl": (r"(?:gnu )?(?:general public|gpl)", "gpl|general public", ("1", "2", "3")),
+    "lgpl": (r"(?:gnu )?(?:lesser|library) (?:general public|gpl)|lgpl", "lgpl|lesser|library", ("2", "2.1", "3")),
+    "agpl": (r"(?:gnu )?affero (?:general public|gpl)|agpl", "agpl|affero", ("1", "3")),
+    "mpl": (r"(?:mozilla public|mpl)", "mpl|mozilla", ("1.0", "1.1", "2")),
+    "epl": (r"(?:eclipse public|epl)", "epl|eclipse", ("1.0", "2")),
+    "cddl": (r"(?:common development and distribution|cddl)", "cddl|common development", ("1.0", "1.1")),
     "bsd-2-clause": (r"(?:bsd 2 clause|simplified bsd|freebsd)", "bsd", ()),
     "bsd-3-clause": (r"(?:bsd 3 clause|new bsd|modified bsd|revised bsd)", "bsd", ()),
     "bsd-4-clause": (r"(?:bsd 4 clause|original bsd)", "bsd", ()),
@@ -41,22 +40,22 @@ FAMILIES = {
     "boost": (r"boost(?: software)?", "boost", ("1.0",)),
     "artistic": (r"artistic", "artistic", ("1.0", "2")),
     "unlicense": (r"unlicen[sc]e", "unlicen", ()),
-    "wtfpl": (r"(?:wtfpl|do what the fuck you want to public)", "wt", ()),
-    "eupl": (r"(?:european union public|eupl)", "eu", ("1.1", "1.2")),
-    "ofl": (r"(?:sil )?open font|ofl", "o", ("1.1",)),
-    "odbl": (r"(?:open (?:data commons )?open database|open database|odbl)", "od", ("1.0",)),
-    "gfdl": (r"(?:gnu )?free documentation|gfdl", "f", ("1.2", "1.3")),
+    "wtfpl": (r"(?:wtfpl|do what the fuck you want to public)", "wtfpl|do what the", ()),
+    "eupl": (r"(?:european union public|eupl)", "eupl|european union", ("1.1", "1.2")),
+    "ofl": (r"(?:sil )?open font|ofl", "ofl|open font", ("1.1",)),
+    "odbl": (r"(?:open (?:data commons )?open database|open database|odbl)", "odbl|open d", ("1.0",)),
+    "gfdl": (r"(?:gnu )?free documentation|gfdl", "gfdl|free documentation", ("1.2", "1.3")),
     "postgresql": (r"postgresql", "postgresql", ()),
-    "psf": (r"(?:python software foundation|psf)", "p", ("2",)),
+    "psf": (r"(?:python software foundation|psf)", "psf|python software", ("2",)),
     "php": (r"php", "php", ("3.0", "3.01")),
-    "ms-pl": (r"(?:microsoft public|ms pl)", "m", ()),
-    "osl": (r"(?:open software|osl)", "o", ("2.1", "3.0")),
-    "afl": (r"(?:academic free|afl)", "a", ("2.1", "3.0")),
+    "ms-pl": (r"(?:microsoft public|ms pl)", "ms pl|microsoft public", ()),
+    "osl": (r"(?:open software|osl)", "osl|open software", ("2.1", "3.0")),
+    "afl": (r"(?:academic free|afl)", "afl|academic free", ("2.1", "3.0")),
     "cecill": (r"cecill", "cecill", ("1.0", "2", "2.1")),
-    "upl": (r"(?:universal permissive|upl)", "u", ("1.0",)),
-    "ncsa": (r"(?:university of illinois|ncsa)", "n", ()),
-    "bsl": (r"(?:business source|busl)", "bus", ("1.1",)),
-    "sspl": (r"(?:server side public|sspl)", "s", ("1",)),
+    "upl": (r"(?:universal permissive|upl)", "upl|universal permissive", ("1.0",)),
+    "ncsa": (r"(?:university of illinois|ncsa)", "ncsa|university of illinois", ()),
+    "bsl": (r"(?:business source|busl)", "busl|business source", ("1.1",)),
+    "sspl": (r"(?:server side public|sspl)", "sspl|server side public", ("1",)),
     "elastic": (r"elastic", "elastic", ("2",)),
     "openrail": (r"(?:creativeml )?open ?rail m?", "rail", ()),
     "llama": (r"llama(?: \d)? community", "llama", ()),
@@ -96,7 +95,7 @@ WEIGHT = {"spdx": 0.95, "notice": 0.9, "url": 0.85, "versioned": 0.9, "licensed"
 class Rule(NamedTuple):
     label: str
     kind: str
-    keywords: tuple[str, ...]
+    keywords: tuple[tuple[str, ...], ...]  # one of each must occur
     pattern: re.Pattern
 
 
@@ -110,7 +109,7 @@ def rules() -> tuple[Rule, ...]:
     out = []
 
     def add(label: str, kind: str, body: str, *keywords: str) -> None:
-        out.append(Rule(label, kind, keywords, word_pattern(body)))
+        out.append(Rule(label, kind, tuple(tuple(k.split("|")) for k in keywords), word_pattern(body)))
 
     for stem, (name, keyword, versions) in FAMILIES.items():
         short = stem.replace("-", " ")
@@ -120,7 +119,9 @@ def rules() -> tuple[Rule, ...]:
             add(label, "versioned", rf"(?:{name})(?: licen[sc]e)? (?:version |v ?)?{spoken}(?: licen[sc]e)?", keyword, "licen")
             add(label, "versioned", rf"(?:{name})(?: licen[sc]e)? v{spoken}", keyword, "licen")
             add(label, "licensed", rf"licensed under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)? (?:version |v ?)?{spoken}", "licensed", keyword)
-            add(label, "url", rf"(?:www )?[a-z]+ org licen[sc]es? (?:licen[sc]e |{short} )?{spoken}(?: txt| html)?", stem.split("-")[0], " org ")
+            first = short.split()[0]
+            add(label, "url", rf"{first} org licen[sc]es? (?:licen[sc]e )?{spoken}(?: txt| html)?", first, " org ")
+            add(label, "url", rf"(?:gnu|opensource|spdx|eclipse|mozilla) org licen[sc]es? (?:old licen[sc]es )?{short} {spoken}(?: txt| html)?", first, " org ")
         add(stem, "spdx", rf"spdx licen[sc]e identifier {short}", "spdx")
         add(stem, "licensed", rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)?", "under", keyword)
         add(stem, "named", rf"(?:{name}) licen[sc]e", keyword, "licen")
@@ -139,16 +140,22 @@ def rules() -> tuple[Rule, ...]:
 
 
 def suppress(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Of (start, stop, priority, rule), those not inside a better one: higher priority, longer, or the earlier rule."""
-    starts: list[int] = []
-    stops: list[int] = []
-    kept = []
+    """Of (start, stop, priority, rule), those not inside a better one, of any label: higher priority, longer, or the earlier rule.
+
+    A tree of largest stops over the starts tells in log n steps whether one kept so far begins no later and ends no sooner.
+    """
+    rank = {x: i + 1 for i, x in enumerate(sorted({d[0] for d in found}))}
+    tree, kept = [0] * (len(rank) + 1), []
     for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[3], d[0])):
-        i = bisect_right(starts, d[0])
-        if i and max(stops[:i]) >= d[1]:
+        i, most = rank[d[0]], 0
+        while i:
+            most, i = max(most, tree[i]), i & (i - 1)
+        if most >= d[1]:
             continue
-        starts.insert(i, d[0])
-        stops.insert(i, d[1])
+        i = rank[d[0]]
+        while i < len(tree):
+            tree[i] = max(tree[i], d[1])
+            i += i & -i
         kept.append(d)
     return sorted(kept)
 
@@ -161,27 +168,27 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int,
     for phrase, label in BASE.items():
         at = line.find(f" {phrase} ")
         while at >= 0:
-            base.append((line.count(" ", 0, at), label))
+            base.append((at, label))
             at = line.find(f" {phrase} ", at + 1)
     if not base and not any(k in line for k in GATE):
         return len(words), base, [], 0.0
     found = []
     for i, r in enumerate(rules()):
-        if all(k in line for k in r.keywords):
+        if all(any(k in line for k in ks) for ks in r.keywords):
             found += [(m.start(), m.end(), PRIORITY[r.kind], i) for m in r.pattern.finditer(line)]
     spans, miss = [], 1.0
-    if found:
-        kept = suppress(found)
-        spaces = list(accumulate((c == " " for c in line), initial=0))
-        for start, stop, _, i in kept:
-            r = rules()[i]
-            spans.append((spaces[start] - 1, line.count(" ", start, stop) + 1, r.label, r.kind))
-            miss *= 1 - WEIGHT[r.kind]
+    spaces = list(accumulate((c == " " for c in line), initial=0)) if base or found else []
+    base = [(spaces[at], label) for at, label in base]
+    for start, stop, _, i in suppress(found):
+        r = rules()[i]
+        spans.append((spaces[start] - 1, spaces[stop] - spaces[start] + 1, r.label, r.kind))
+        miss *= 1 - WEIGHT[r.kind]
     for _ in base:
         miss *= 1 - WEIGHT["base"]
     return len(words), sorted(base), spans, round(1 - miss, 6)
 
 
+SPANS = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("label", pa.string()), ("kind", pa.string())]))
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -193,23 +200,28 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", with
     """
     kind = dict(docs.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, t in zip(b["key"], b["text"]):
+            rows, found = [], []
+            for t in b.column("text").to_pylist():
                 n, base, spans, score = scan(t)
                 own = sorted({label for _, label in base})
                 every = sorted({*own, *(s[2] for s in spans)})
                 places = [w for w, _ in base]
-                row = [k, n, len(base), min(places, default=None), max(places, default=None), ",".join(own), ",".join(every), score]
-                rows.append(row + [[{"word": s[0], "words": s[1], "label": s[2], "kind": s[3]} for s in spans]] * with_spans)
+                rows.append((n, len(base), min(places, default=None), max(places, default=None), ",".join(own), ",".join(every), score))
+                found.append([{"word": s[0], "words": s[1], "label": s[2], "kind": s[3]} for s in spans])
+            cols = list(zip(*rows)) or [()] * 7
+            out = [b.column("key"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]))]
             names = ["key", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-            out = pd.DataFrame(rows, columns=names + ["spans"] * with_spans)
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+            if with_spans:
+                out.append(pa.array(found, SPANS))
+                names.append("spans")
+            yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"key {kind}, {SCHEMA}" + ", spans array<struct<word:long,words:long,label:string,kind:string>>" * with_spans
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInPandas(run, schema).withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of ``documents``, one row each."""
     return scan_licenses(read_table(spark, sf_dir, "documents"))
