@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -158,11 +158,11 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """
     kind = dict(docs.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for b in batches:
             n, sha, back, ids_out, text_out = [], [], [], [], []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 ids = bpe.encode(t)
                 decoded = bpe.decode(ids)
                 n.append(len(ids) // 4)
@@ -171,16 +171,19 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 if with_values:
                     ids_out.append(np.frombuffer(ids, "<u4").astype(np.int32))
                     text_out.append(decoded)
-            out = {"key": b["key"], "n_tokens": n, "ids_sha256": sha, "decoded_sha256": back}
-            yield pd.DataFrame(out | ({"ids": ids_out, "decoded": text_out} if with_values else {}))
+            cols = [b.column("key"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+            if with_values:
+                cols += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(text_out, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
 
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, decoded string" if with_values else ""
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ``documents``, one row each."""
     import public_tokenizers
 
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

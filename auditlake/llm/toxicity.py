@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,9 +182,9 @@ def features(text: str | None, m: Matcher) -> list[float]:
     return [1.0, math.log1p(plain), math.log1p(near), said / n, inside / n, aimed / n, best / 10, math.log1p(total) / 3, min(1.0, 20 * n / len(words))]
 
 
-def held_out(key: pd.Series) -> np.ndarray:
+def held_out(keys: list) -> list[bool]:
     """crc32 of the key as text, modulo 4, is 2; a null key counts as the empty text."""
-    return np.array([zlib.crc32(b"" if k is None or k != k else str(int(k)).encode()) % 4 == 2 for k in key], dtype=bool)
+    return [zlib.crc32(b"" if k is None else str(k).encode()) % 4 == 2 for k in keys]
 
 
 class Model(NamedTuple):
@@ -251,17 +252,19 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     """
     kind, w = dict(docs.dtypes)[key], np.array(model.weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(model.terms)
         for b in batches:
-            x = np.array([features(t, m) + [1.0] for t in b["text"]]).reshape(len(b), FEATURES + 1)
+            x = np.array([features(t, m) + [1.0] for t in b.column("text").to_pylist()]).reshape(b.num_rows, FEATURES + 1)
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            yield pd.DataFrame({"key": b["key"], "text_h": b["text_h"], "held_out": held_out(b["key"]), "score": p, "predicted": (p >= THRESHOLD).astype("int32")})
+            cols = [b.column("key"), b.column("text_h"), pa.array(held_out(b.column("key").to_pylist()), pa.bool_()), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "text_h", "held_out", "score", "predicted"])
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_h"))
-    return rows.mapInPandas(run, f"key {kind}, text_h long, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, text_h long, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of ``documents`` by a model of the labelled ones that aren't held out."""
     docs = read_table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels"))).drop("text_h")

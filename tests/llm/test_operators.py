@@ -387,3 +387,56 @@ def test_every_training_token_trains_the_network(spark):
     head = language_model.Head([language_model.END, b"one", b"two", b"three"], [4] * 4)
     got = language_model.fit_network(few, 16, spark.sparkContext.broadcast(head), start)
     assert not np.allclose(got, language_model.flat(start))
+
+
+def test_wide_keys_beside_null_ones_stay_exact(spark):
+    wide = (1 << 53) + 1
+    d = spark.createDataFrame([(wide, "you idiot under the MIT license"), (None, "x")], "doc_id long, text string")
+    model = toxicity.Model({"idiot": 6.0}, [1.0] * (toxicity.FEATURES + 1))
+    for got in (bpe.encode_decode(d, PATH), toxicity.score_toxicity(d, model), licenses.scan_licenses(d, with_spans=True)):
+        assert {r.doc_id for r in got.collect()} == {wide, None}
+
+
+def test_token_files_of_null_keys_one_hot_key_and_none(spark, tmp_path):
+    rows = [(None, "b"), (7, "one two"), (None, None)] + [(7, "one two")] * 40 + [(7, f"three {i}") for i in range(40)] + [(-3, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    token_file.write_token_files(d, f"file://{tmp_path}/n", PATH, file_bytes=100)
+    got = sorted(token_file.read_token_files(spark, f"file://{tmp_path}/n").collect(), key=lambda r: r.start)
+    assert [r.key for r in got] == [None, None, -3] + [7] * 81
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    token_file.write_token_files(d.limit(0), f"file://{tmp_path}/e", PATH)
+    assert token_file.read_token_files(spark, f"file://{tmp_path}/e").count() == 0
+
+
+@pytest.mark.parametrize("dims", [2, 4, 8, 64, 768])
+def test_lattice_recall(dims):
+    rng = np.random.default_rng(dims)
+    a = embeddings.units(rng.standard_normal((400, dims)))
+    b = rng.standard_normal((400, dims))
+    b = embeddings.units(b - (b * a).sum(1, keepdims=True) * a)
+    c = np.sqrt(1 - 0.93**2) * b + 0.93 * a  # at the threshold itself
+    x, y = embeddings.lattice_keys(a), embeddings.lattice_keys(embeddings.units(c))
+    met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3))
+    assert met.mean() >= 0.97
+
+
+def test_vectors_without_a_key_are_neighbours(spark):
+    d = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.01], 1), (9, [0.0, 1.0], 1), (None, [0.0, -1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = {(r.vec_id, r.n_links): (r.component_id, r.kept) for r in embeddings.near_vectors(d).collect()}
+    assert got == {(None, 1): (4, False), (4, 1): (4, True), (9, 0): (9, True), (None, 0): (None, False)}
+
+
+def test_license_base_places_by_a_plain_scan(texts):
+    rng = random.Random(9)
+    words = "under the mit license apache version 2 cc by nc x".split()
+    for t in [*texts, *(" ".join(rng.choices(words, k=60)) for _ in range(200)), "CC-BY-NC " * 300]:
+        w = [x.decode("utf-8", "replace") for x in words_of(t)]
+        want = sorted((i, label) for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+        n, base, _, score = licenses.scan(t)
+        assert (n, base) == (len(w), want) and 0 <= score <= 1
+
+
+def test_contained_detections_go():
+    assert licenses.suppress([(0, 9, 2, 5), (2, 5, 1, 1), (0, 9, 2, 7), (3, 12, 1, 2), (0, 9, 1, 0)]) == [(0, 9, 2, 5), (3, 12, 1, 2)]
+    assert "php-3.0" not in {s[2] for s in licenses.scan("The php manual, see example.org/licenses/3.0")[2]}
+    assert "gpl-3" in {s[2] for s in licenses.scan("see gnu.org/licenses/gpl-3.0.html")[2]}
