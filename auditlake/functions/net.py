@@ -132,7 +132,7 @@ def content_type_allowed(header: Column, rules: list[str]) -> Column:
 def looks_like_html(body: Column) -> Column:
     """An HTML tag within the first 4096 characters, whatever follows its name; or a doctype with any space after marks and prolog."""
     head = F.left(body, F.lit(4096))
-    start = r"(?is)^\x{FEFF}?(?:\s|<!--.*?-->|<\?xml[^>]*\?>)*<!doctype\s+html(?![A-Za-z0-9_])"
+    start = r"(?is)^\x{FEFF}?(?:\s++|<!--.*?-->|<\?xml[^>]*\?>)*+<!doctype\s+html(?![A-Za-z0-9_])"
     return head.rlike(start) | head.rlike(r"(?i)<html|<!doctype html|<body|<head|<div|<p[\s>]")
 
 

@@ -64,6 +64,12 @@ def product_token(c: Column) -> Column:
     return F.regexp_extract(F.lower(trim_space(c)), r"^[^\s/]*", 0)
 
 
+def allowed_fields(sent: Column, names: tuple[str, ...], most: int) -> Column:
+    """Of a map of strings the entries of these names, their values cut to ``most`` characters; null values are empty."""
+    kept = F.map_filter(sent, lambda k, _: k.isin(*names))
+    return F.transform_values(kept, lambda _, v: F.left(F.coalesce(v, F.lit("")), F.lit(most)))
+
+
 def client_key(forwarded: Column) -> Column:
     """The first address of a forwarding header, else ``anon``."""
     return F.coalesce(F.nullif(F.trim(F.split_part(forwarded, F.lit(","), F.lit(1))), F.lit("")), F.lit("anon"))

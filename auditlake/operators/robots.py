@@ -42,6 +42,6 @@ def robots_allowed(parsed: DataFrame, asked: DataFrame) -> DataFrame:
     met = q.join(agents, "site").where((F.col("agent") == F.col("t")) | (F.col("agent") == "*"))
     own = F.max((F.col("agent") == F.col("t")).cast("int")).over(Window.partitionBy("site", "token", "path"))
     chosen = met.withColumn("own", own).where((F.col("own") == 0) | (F.col("agent") == F.col("t"))).select("site", "token", "path", "group_no").distinct()
-    hit = chosen.join(rules, ["site", "group_no"]).where(F.expr("path rlike regex") if "regex" in rules.columns else F.rlike("path", pattern_regex(F.col("pattern"))))
+    hit = chosen.join(rules, ["site", "group_no"]).where(F.rlike("path", pattern_regex(F.col("pattern"))))
     best = hit.groupBy("site", "token", "path").agg(F.max_by("allow", F.struct(F.char_length("pattern").alias("n"), F.col("allow"))).alias("allow"))
     return q.join(best, ["site", "token", "path"], "left").select("site", "token", "path", F.coalesce("allow", F.lit(True)).alias("allowed"))

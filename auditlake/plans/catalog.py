@@ -147,29 +147,35 @@ def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-CONTROLS = [("input", None), ("input", "Number"), ("input", "range"), ("input", "checkbox"), ("input", "email"), ("select", "number"), ("textarea", None)]
+TAG, KIND = "CASE event_id % 4 WHEN 0 THEN 'select' WHEN 1 THEN 'textarea' ELSE 'input' END", "CASE event_id % 7 WHEN 0 THEN 'Number' WHEN 1 THEN 'range' WHEN 2 THEN 'checkbox' WHEN 3 THEN event_type WHEN 4 THEN 'EMAIL' END"
 
 
-@query(f"WITH c(tag, kind) AS ({values(CONTROLS)}) SELECT tag, kind, CASE WHEN tag <> 'input' THEN 'string' WHEN lower(coalesce(kind, 'text')) IN ('number', 'range') THEN 'number' WHEN lower(coalesce(kind, 'text')) = 'checkbox' THEN 'boolean' ELSE 'string' END AS schema_type FROM c")
+@query(f"SELECT event_id, CASE WHEN tag <> 'input' THEN 'string' WHEN lower(coalesce(kind, 'text')) IN ('number', 'range') THEN 'number' WHEN lower(coalesce(kind, 'text')) = 'checkbox' THEN 'boolean' ELSE 'string' END AS schema_type FROM (SELECT event_id, {TAG} AS tag, {KIND} AS kind FROM events)")
 def schema_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.createDataFrame(CONTROLS, "tag string, kind string")
-    return c.select("tag", "kind", text.schema_type(F.col("tag"), F.col("kind")).alias("schema_type"))
+    return table(spark, sf_dir, "events").select("event_id", text.schema_type(F.expr(TAG), F.expr(KIND)).alias("schema_type"))
 
 
-AGENTS = [("GPTBot/1.2 (+url)",), ("  ClaudeBot  ",), ("*",), ("Bing bot",), ("",), ("PerplexityBot/",)]
-
-
-@query(f"WITH a(agent) AS ({values(AGENTS)}) SELECT agent, regexp_extract(lower(trim(agent)), '^[^ /]*', 0) AS token FROM a")
+@query("SELECT doc_id, regexp_extract(lower(trim(left(text, 40))), '^[^\\s/]*', 0) AS token FROM documents")
 def product_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(AGENTS, "agent string").select("agent", text.product_token(F.col("agent")).alias("token"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.product_token(F.left("text", F.lit(40))).alias("token"))
 
 
-FORWARDED = [("1.2.3.4, 5.6.7.8",), (None,), ("",), ("9.9.9.9",), (" 7.7.7.7 , 1.1.1.1",)]
+FORWARDED = "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' 10.0.' || (user_id % 256) || '.1 , 5.6.7.8' ELSE '10.1.' || (user_id % 256) || '.2' END"
 
 
-@query(f"WITH a(forwarded) AS ({values(FORWARDED)}) SELECT forwarded, coalesce(nullif(trim(split_part(forwarded, ',', 1)), ''), 'anon') AS client FROM a")
+@query(f"SELECT event_id, coalesce(nullif(trim(split_part({FORWARDED}, ',', 1)), ''), 'anon') AS client FROM events")
 def client_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(FORWARDED, "forwarded string").select("forwarded", text.client_key(F.col("forwarded")).alias("client"))
+    return table(spark, sf_dir, "events").select("event_id", text.client_key(F.expr(FORWARDED)).alias("client"))
+
+
+FIELDS = ("name", "email", "phone", "date", "time", "party_size", "notes")
+
+
+@query("""SELECT conv_id, turn, 'name=' || left(role, 200) || ';notes=' || left(text, 200) AS kept FROM conversations""")
+def reserve_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = F.create_map(F.lit("notes"), F.col("text"), F.lit("admin"), F.lit("true"), F.lit("name"), F.col("role"))
+    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.allowed_fields(sent, FIELDS, 200).alias("m"))
+    return p.select("conv_id", "turn", F.concat(F.lit("name="), F.col("m")["name"], F.lit(";notes="), F.col("m")["notes"]).alias("kept"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) > 2048 AS truncated, CAST(least(strlen(text), 2048) AS BIGINT) AS kept FROM documents")
@@ -193,17 +199,20 @@ def classify_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "ip", net.classify_ipv4(F.col("ip")).alias("class"))
 
 
-URLS = [
-    ("https://example.com/a?b#c", None), ("http://example.com:443/", None), ("ftp://example.com/", "scheme"), ("https://u:p@example.com/", "userinfo"), ("https://example.com:8443/", "port"),
-    ("https://localhost/", "blocked-host"), ("https://a.internal/x", "blocked-host"), ("https://10.1.2.3/", "blocked-host"), ("https://8.8.8.8/", None), ("no url", "invalid-url"),
-    ("https://intranet/", "blocked-host"), ("https://a..b.com/", "blocked-host"), ("HTTPS://EXAMPLE.ORG", None), ("https://169.254.169.254/latest", "blocked-host"), ("https://printer.local/", "blocked-host"),
-]
+#: The page's URL, or one of the same text in a form that isn't fetched.
+ASKED_URL = """CASE page_id % 9 WHEN 1 THEN regexp_replace(url, '^https?', 'ftp') WHEN 2 THEN regexp_replace(url, '://', '://u:p@') WHEN 3 THEN 'https://h' || page_id || '.example.com:' || (440 + page_id % 5) || '/'
+WHEN 4 THEN 'https://' || (page_id * 37 % 256) || '.' || (page_id * 11 % 256) || '.0.9/x' WHEN 5 THEN 'no url ' || page_id WHEN 6 THEN 'https://a' || page_id || '.internal/' WHEN 7 THEN 'https://intranet' || page_id || '/' WHEN 8 THEN 'https://a..b' || page_id || '.com/' ELSE url END"""
 
 
-@query(f"WITH u(url, reason) AS ({values(URLS)}) SELECT url, reason FROM u")
+@query(f"""WITH u AS (SELECT page_id, {ASKED_URL} AS u FROM pages), v AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS auth FROM u),
+w AS (SELECT *, regexp_extract(auth, ':([0-9]+)$', 1) AS port, lower(regexp_extract(regexp_replace(auth, '^.*@', ''), '^([^:]*)', 1)) AS host FROM v),
+x AS (SELECT *, regexp_matches(host, '^[0-9]+(\\.[0-9]+){{3}}$') AS quad, TRY_CAST(split_part(host, '.', 1) AS INT) AS a, TRY_CAST(split_part(host, '.', 2) AS INT) AS b FROM w)
+SELECT page_id, u AS url, CASE WHEN scheme = '' OR (scheme IN ('http', 'https') AND auth = '') THEN 'invalid-url' WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN auth LIKE '%@%' THEN 'userinfo'
+ WHEN port NOT IN ('', '80', '443') THEN 'port' WHEN quad AND (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b IN (0, 168)) OR (a = 198 AND b IN (18, 19, 51)) OR (a = 203 AND b = 0)) THEN 'blocked-host'
+ WHEN NOT quad AND (host IN ('localhost', 'metadata') OR host LIKE '%.internal' OR host LIKE '%.local' OR host LIKE '%.localhost' OR host LIKE '%.arpa' OR host LIKE '%..%' OR host NOT LIKE '%.%') THEN 'blocked-host' END AS reason FROM x""")
 def validate_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = spark.createDataFrame([(x[0],) for x in URLS], "url string")
-    return u.select("url", net.reject_reason(F.col("url")).alias("reason"))
+    u = table(spark, sf_dir, "pages").select("page_id", F.expr(ASKED_URL).alias("url"))
+    return u.select("page_id", "url", net.reject_reason(F.col("url")).alias("reason"))
 
 
 @query("""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS origin,
@@ -222,29 +231,27 @@ def normalise_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", net.normalise_url(raw).alias("n")).select("page_id", "n.ok", "n.value")
 
 
-HEADERS = [
-    ("text/html; charset=UTF-8", "text/html", "utf-8", True), ("TEXT/HTML", "text/html", None, True), ("application/xhtml+xml;charset=\"iso-8859-1\"", "application/xhtml+xml", "iso-8859-1", True),
-    ("application/json", "application/json", None, False), ("nonsense", None, None, False), (None, None, None, False), ("text/plain; x=1; charset = 'ascii'", "text/plain", "ascii", False),
-]
+TYPE = """CASE page_id % 7 WHEN 0 THEN 'text/html; charset=UTF-8' WHEN 1 THEN 'TEXT/HTML' WHEN 2 THEN 'application/xhtml+xml;charset=' || chr(34) || 'iso-8859-' || (page_id % 9) || chr(34) WHEN 3 THEN 'application/v' || page_id || '+json'
+WHEN 4 THEN 'nonsense ' || page_id WHEN 5 THEN 'text/plain; x=1; charset = ascii' END"""
+MIME_SQL = f"""h AS (SELECT page_id, {TYPE} AS header FROM pages), m AS (SELECT *, CASE WHEN regexp_matches(lower(trim(split_part(header, ';', 1))), '^[a-z0-9][a-z0-9!#$&^_.+-]*/[a-z0-9][a-z0-9!#$&^_.+-]*$') THEN lower(trim(split_part(header, ';', 1))) END AS mime FROM h)"""
 
 
-@query(f"WITH h(header, mime, charset, allowed) AS ({values(HEADERS)}) SELECT header, mime, charset FROM h")
+@query(f"WITH {MIME_SQL} SELECT page_id, mime, CASE WHEN mime IS NOT NULL THEN nullif(lower(trim(regexp_extract(header, '(?i);\\s*charset\\s*=([^;]*)', 1), ' ''\"')), '') END AS charset FROM m")
 def media_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = spark.createDataFrame([(x[0],) for x in HEADERS], "header string")
-    return h.select("header", net.media_type(F.col("header")).alias("mime"), net.charset(F.col("header")).alias("charset"))
+    return table(spark, sf_dir, "pages").select("page_id", net.media_type(F.expr(TYPE)).alias("mime"), net.charset(F.expr(TYPE)).alias("charset"))
 
 
-@query(f"WITH h(header, mime, charset, allowed) AS ({values(HEADERS)}) SELECT header, allowed FROM h")
+@query(f"WITH {MIME_SQL} SELECT page_id, coalesce(mime IN ('text/html', 'application/xhtml+xml') OR mime LIKE 'font/%', false) AS allowed FROM m")
 def content_type_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = spark.createDataFrame([(x[0],) for x in HEADERS], "header string")
-    return h.select("header", net.content_type_allowed(F.col("header"), ["text/html", "application/xhtml+xml"]).alias("allowed"))
+    return table(spark, sf_dir, "pages").select("page_id", net.content_type_allowed(F.expr(TYPE), ["text/html", "application/xhtml+xml", "font/*"]).alias("allowed"))
+
+
+BEGUN = """CASE page_id % 5 WHEN 0 THEN '<!-- x -->' || chr(10) || '<!DOCTYPE  html>y' WHEN 1 THEN '{' || page_id || '}' WHEN 2 THEN repeat(' ', CAST(4070 + page_id % 50 AS INT)) || '<header>' WHEN 3 THEN 'a <divider/>' ELSE html END"""
 
 
-@query("SELECT page_id, page_id % 3 <> 1 AS html FROM pages")
+@query(f"SELECT page_id, regexp_matches(left(b, 4096), '(?i)<html|<!doctype html|<body|<head|<div|<p[\\s>]') OR regexp_matches(left(b, 4096), '(?is)^(\\s|<!--.*?-->|<\\?xml[^>]*\\?>)*<!doctype\\s+html\\b') AS html FROM (SELECT page_id, {BEGUN} AS b FROM pages)")
 def looks_like_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("page_id") % 3
-    body = F.when(v == 0, F.col("html")).when(v == 1, F.lit('{"a": 1}')).otherwise(F.concat(F.lit("<!-- x -->\n<!DOCTYPE  html>"), F.lit("x")))
-    return table(spark, sf_dir, "pages").select("page_id", net.looks_like_html(body).alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", net.looks_like_html(F.expr(BEGUN)).alias("html"))
 
 
 # ---- limiter ----------------------------------------------------------------------------------------------------
@@ -262,24 +269,26 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- robots -----------------------------------------------------------------------------------------------------
 
-BODIES = [
-    ("a", "User-agent: *\nDisallow: /private\nAllow: /private/open\n\nUser-agent: GPTBot/1.0\nUser-agent: CCBot\nDisallow: /\nSitemap: https://a/s.xml"),
-    ("b", "# only a note\nUser-agent: *\nDisallow:"),
-    ("c", "User-agent: *\nDisallow: /*.pdf$\nDisallow: /q?x=*y\nAllow: /*.pdf$"),
-    ("d", "nothing here"),
-]
-#: (site, token, path, allowed), worked out by hand.
-ASKED = [
-    ("a", "GPTBot", "/x", False), ("a", "ccbot", "/", False), ("a", "Other", "/private/x", False), ("a", "Other", "/private/open/1", True), ("a", "Other", "/", True),
-    ("b", "GPTBot", "/x", True), ("c", "any", "/a.pdf", True), ("c", "any", "/a.pdfx", True), ("c", "any", "/q?x=1y", False), ("d", "any", "/", True),
-]
+#: Rules by page id: one for all, one for a crawler of its own group, wildcards with an end, none.
+RULES = """CASE page_id % 4 WHEN 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /a' || chr(10) || 'Allow: /*e' WHEN 1 THEN 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || 'User-agent: GPTBot/1.0' || chr(10) || 'User-agent: CCBot' || chr(10) || 'Disallow: /p'
+WHEN 2 THEN '# note' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /*' || (page_id % 10) || '$' || chr(10) || 'Disallow:' ELSE 'nothing here' END"""
+PATH_SQL = """CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END || regexp_extract(url, '(\\?[^#]*)', 1)"""
 
 
-@query(f"WITH q(site, token, path, allowed) AS ({values(ASKED)}) SELECT * FROM q")
+@query(f"""WITH q AS (SELECT page_id, token, {PATH_SQL} AS path FROM pages CROSS JOIN (VALUES ('ccbot/2'), ('Other'), ('GPTBot')) t(token))
+SELECT page_id, token, path, CASE page_id % 4 WHEN 0 THEN path LIKE '/%e%' OR path NOT LIKE '/a%' WHEN 1 THEN token <> 'Other' AND path NOT LIKE '/p%' WHEN 2 THEN NOT (path LIKE '/%' || (page_id % 10)) ELSE true END AS allowed FROM q""")
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = robots.parse_robots(spark.createDataFrame(BODIES, "site string, body string"))
-    asked = spark.createDataFrame([x[:3] for x in ASKED], "site string, token string, path string")
-    return robots.robots_allowed(parsed, asked)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("site"), F.expr(RULES).alias("body"), net.path_query(F.col("url")).alias("path"))
+    asked = pages.select("site", F.explode(F.array(*map(F.lit, ("ccbot/2", "Other", "GPTBot")))).alias("token"), "path")
+    return robots.robots_allowed(robots.parse_robots(pages.select("site", "body")), asked).withColumnRenamed("site", "page_id")
+
+
+@query("""WITH b AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS k, page_id % 10 AS d FROM pages)
+SELECT page_id, group_no, kind, replace(value, '#', CAST(d AS VARCHAR)) AS value FROM b JOIN (VALUES (0, 1, 'user-agent', '*'), (0, 1, 'disallow', '/a'), (0, 1, 'allow', '/*e'), (1, 1, 'user-agent', '*'), (1, 1, 'disallow', '/'),
+(1, 2, 'user-agent', 'gptbot'), (1, 2, 'user-agent', 'ccbot'), (1, 2, 'disallow', '/p'), (2, 1, 'user-agent', '*'), (2, 1, 'disallow', '/*#$'), (2, 1, 'disallow', '')) v(k, group_no, kind, value) USING (k)""")
+def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = table(spark, sf_dir, "pages").select(F.col("page_id").alias("site"), F.expr(RULES).alias("body"))
+    return robots.parse_robots(bodies).select(F.col("site").alias("page_id"), F.col("group_no").cast("int").alias("group_no"), "kind", "value")
 
 
 SLOTS = ("18:00", "18:30", "19:00", "19:30", "20:00", "20:30")
