@@ -1,10 +1,11 @@
 """Operator 8: document log-likelihood under a gated recurrent language model.
 
-A token's probability is its class's under the network times its own within the class. Frequent words are classes of
-their own, others share classes by their last letters; within a class words follow their training counts, with a
-Good-Turing share for words not seen. The network (GRU, numpy) is trained by truncated backpropagation on all
-training documents, each in one of some rounds: every part of a round trains from the same weights, and the parts'
-weights are averaged. Scoring carries the state across windows over whole documents.
+A token's probability is its class's under the network times its own within the class, both by a softmax over the same
+state. Frequent words are classes of their own, others share classes by their last letters. Within a shared class the
+LEARNT most frequent words have output weights each; all others of the class share one slot, in which they follow their
+training counts, with a Good-Turing share for words not seen. The network (GRU, numpy) is trained by truncated
+backpropagation on all training documents, each in one of some rounds: every part of a round trains from the same
+weights, and the parts' weights are averaged. Scoring carries the state across windows over whole documents.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from auditlake.llm.common import durable, read_table
 CLASSES = 128
 OWN = 64  # classes of one token: the end, then the most frequent words
 HIDDEN = 20
+LEARNT = 4096  # words of shared classes with output weights
 HEAD = 100_000  # most frequent words, whose counts every task holds; the rest are joined
 ROUNDS = 3
-PART_TOKENS = 500_000  # of a part on average, whatever the number of shuffle partitions
+PART_TOKENS = 1_000_000  # of a part on average, whatever the number of shuffle partitions
 STREAMS, WINDOW = 256, 16
 RATE = 0.02
 BATCH_DOCS, SCORE_WINDOW = 1024, 32
@@ -68,25 +70,27 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the network ----------------------------------------------------------------------------------------------
 
 
-def fresh(class_log: np.ndarray) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(8)
+def fresh(class_log: np.ndarray, slot_log: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """First weights, which give the shares by counts: of classes, and of the slots inside shared classes."""
+    rng, slots = np.random.default_rng(8), np.zeros(0) if slot_log is None else slot_log
     return {
         "x": (rng.standard_normal((CLASSES, 3 * HIDDEN)) * 0.1).astype(np.float32),
         "u": (rng.standard_normal((HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32),
         "v": (rng.standard_normal((HIDDEN, CLASSES)) * 0.05).astype(np.float32),
         "b": class_log.astype(np.float32),
+        "w": np.zeros((len(slots), HIDDEN), np.float32),
+        "c": slots.astype(np.float32),
     }
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in ("x", "u", "v", "b")])
+    return np.concatenate([a.ravel() for a in p.values()])
 
 
-def unflat(w: np.ndarray) -> dict[str, np.ndarray]:
-    shapes, out, at = {"x": (CLASSES, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "v": (HIDDEN, CLASSES), "b": (CLASSES,)}, {}, 0
-    for k, s in shapes.items():
-        n = int(np.prod(s))
-        out[k], at = w[at : at + n].reshape(s).astype(np.float32), at + n
+def unflat(w: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, a in like.items():
+        out[k], at = w[at : at + a.size].reshape(a.shape).astype(np.float32), at + a.size
     return out
 
 
@@ -103,10 +107,28 @@ def step(p: dict[str, np.ndarray], previous: np.ndarray, h: np.ndarray) -> tuple
     return n + z * (h - n), h, g, z, r, n
 
 
-def gradients(p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def inside(p: dict[str, np.ndarray], hs: np.ndarray, slots: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, slice, np.ndarray]]:
+    """For each shared class met: the rows of ``hs`` whose slot is in it, the slots in the class, its slots, their logits.
+
+    ``first`` has each shared class's first slot and, at last, the number of slots; a slot of -1 is none.
+    """
+    rows = np.flatnonzero(slots >= 0)
+    of = np.searchsorted(first, slots[rows], "right") - 1
+    order = np.argsort(of, kind="stable")
+    rows, of = rows[order], of[order]
+    cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+    for start, stop in zip(cuts, [*cuts[1:], len(of)]):
+        part, at = rows[start:stop], slice(first[of[start]], first[of[start] + 1])
+        logits = hs[part] @ p["w"][at].T + p["c"][at]
+        yield part, slots[part] - at.start, at, logits - logits.max(axis=1, keepdims=True)
+
+
+def gradients(
+    p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray, h: np.ndarray, slots: np.ndarray | None = None, first: np.ndarray | None = None
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Backpropagation through one window (streams x steps), truncated at its start; the state it ends with.
 
-    A target of -1 is filling and teaches nothing.
+    A target of -1 is filling and teaches nothing. ``slots`` are the targets' slots inside their classes, -1: none.
     """
     kept, states = [], []
     for t in range(previous.shape[1]):
@@ -121,9 +143,19 @@ def gradients(p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray
     wanted = target.T.ravel()
     d[np.arange(len(d)), wanted] -= 1
     d[wanted < 0] = 0
-    d /= max(1, int((wanted >= 0).sum()))
-    grad = {"v": hs.T @ d, "b": d.sum(axis=0), "u": np.zeros_like(p["u"]), "x": np.zeros_like(p["x"])}
-    dhs, dh = (d @ p["v"].T).reshape(previous.shape[1], len(h), HIDDEN), np.zeros_like(h)
+    n_wanted = max(1, int((wanted >= 0).sum()))
+    d /= n_wanted
+    grad = {"v": hs.T @ d, "b": d.sum(axis=0)} | {k: np.zeros_like(p[k]) for k in ("u", "x", "w", "c")}
+    dhs, dh = d @ p["v"].T, np.zeros_like(h)
+    if slots is not None:
+        for rows, wanted, at, logits in inside(p, hs, slots.T.ravel(), first):
+            d = np.exp(logits)
+            d /= d.sum(axis=1, keepdims=True)
+            d[np.arange(len(d)), wanted] -= 1
+            d /= n_wanted
+            grad["w"][at], grad["c"][at] = d.T @ hs[rows], d.sum(axis=0)
+            dhs[rows] += d @ p["w"][at]
+    dhs = dhs.reshape(previous.shape[1], len(h), HIDDEN)
     inputs = np.empty((previous.shape[1], len(h), 3 * HIDDEN), hs.dtype)
     for t in range(previous.shape[1] - 1, -1, -1):
         before, g, z, r, n = kept[t]
@@ -137,12 +169,12 @@ def gradients(p: dict[str, np.ndarray], previous: np.ndarray, target: np.ndarray
         dh = np.where(previous[:, t, None] == 0, np.float32(0), dh * z + dg @ p["u"].T)
     seen = previous.T.ravel()
     order = np.argsort(seen, kind="stable")
-    first = np.flatnonzero(np.diff(seen[order], prepend=-1))
-    grad["x"][seen[order][first]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], first)
+    starts = np.flatnonzero(np.diff(seen[order], prepend=-1))
+    grad["x"][seen[order][starts]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], starts)
     return grad, h
 
 
-def train(p: dict[str, np.ndarray], classes: np.ndarray) -> dict[str, np.ndarray]:
+def train(p: dict[str, np.ndarray], classes: np.ndarray, slots: np.ndarray | None = None, first: np.ndarray | None = None, rate: float = RATE) -> dict[str, np.ndarray]:
     """One pass over a sequence of classes (documents with their ends), as parallel streams, the last filled up, by Adam."""
     n = -(-(len(classes) - 1) // STREAMS)
     filling = np.full(STREAMS * n + 1 - len(classes), -1, classes.dtype)
@@ -150,47 +182,56 @@ def train(p: dict[str, np.ndarray], classes: np.ndarray) -> dict[str, np.ndarray
     h, at = np.zeros((STREAMS, HIDDEN), np.float32), 0
     target = np.concatenate([classes[1:], filling]).reshape(STREAMS, n)
     previous = np.concatenate([classes[:-1], filling * 0]).reshape(STREAMS, n)
+    inner = None if slots is None else np.concatenate([slots[1:], filling]).reshape(STREAMS, n)
     for t in range(0, n, WINDOW):
-        grad, h = gradients(p, previous[:, t : t + WINDOW], target[:, t : t + WINDOW], h)
+        here = slice(t, t + WINDOW)
+        grad, h = gradients(p, previous[:, here], target[:, here], h, None if inner is None else inner[:, here], first)
         at += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         for k, g in grad.items():
             g = g / np.float32(max(1.0, norm))
             m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * g
             v[k] = np.float32(0.999) * v[k] + np.float32(0.001) * g * g
-            p[k] = p[k] - np.float32(RATE) * (m[k] / np.float32(1 - 0.9**at)) / (np.sqrt(v[k] / np.float32(1 - 0.999**at)) + np.float32(1e-8))
+            p[k] = p[k] - np.float32(rate) * (m[k] / np.float32(1 - 0.9**at)) / (np.sqrt(v[k] / np.float32(1 - 0.999**at)) + np.float32(1e-8))
     return p
 
 
-def class_scores(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log-probability of each document's classes, its state carried from window to window."""
+def class_scores(p: dict[str, np.ndarray], docs: list[np.ndarray], slots: list[np.ndarray] | None = None, first: np.ndarray | None = None) -> np.ndarray:
+    """Natural log-probability of each document's classes and slots, its state carried from window to window."""
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     for at in range(0, len(order), BATCH_DOCS):
         part = order[at : at + BATCH_DOCS]
         lengths = np.array([len(docs[i]) for i in part])
-        h, total, first = np.zeros((len(part), HIDDEN), np.float32), np.zeros(len(part)), np.zeros(len(part), np.int64)
+        h, total, last = np.zeros((len(part), HIDDEN), np.float32), np.zeros(len(part)), np.zeros(len(part), np.int64)
         for start in range(0, int(lengths[0]), SCORE_WINDOW):
             live = int((lengths > start).sum())
             width = min(SCORE_WINDOW, int(lengths[0]) - start)
-            target = np.zeros((live, width), np.int64)
+            target, inner = np.zeros((live, width), np.int64), np.full((live, width), -1)
             for r in range(live):
                 piece = docs[part[r]][start : start + width]
                 target[r, : len(piece)] = piece
-            states, targets, rows, previous = [], [], [], first[:live]
+                if slots is not None:
+                    inner[r, : len(piece)] = slots[part[r]][start : start + width]
+            states, targets, inners, rows, previous = [], [], [], [], last[:live]
             for t in range(width):
                 on = int((lengths[:live] > start + t).sum())
                 h[:on] = step(p, previous[:on], h[:on])[0]
                 states.append(h[:on].copy())
                 targets.append(target[:on, t])
+                inners.append(inner[:on, t])
                 rows.append(np.arange(on))
                 previous = target[:, t]
-            logits = np.concatenate(states) @ p["v"] + p["b"]
+            hs = np.concatenate(states)
+            logits = hs @ p["v"] + p["b"]
             top = logits.max(axis=1)
             norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
             picked = logits[np.arange(len(logits)), np.concatenate(targets)] - norm
+            if slots is not None:
+                for met, wanted, _, logits in inside(p, hs, np.concatenate(inners), first):
+                    picked[met] += logits[np.arange(len(met)), wanted] - np.log(np.exp(logits).sum(axis=1))
             total += np.bincount(np.concatenate(rows), picked.astype(np.float64), minlength=len(part))
-            first[:live] = previous
+            last[:live] = previous
         out[part] = total
     return out
 
@@ -207,19 +248,42 @@ class Head:
         self.index = {w: i for i, w in enumerate(words)}
         self.counts = np.array(counts, np.float64)
         self.classes = np.array([self.class_of(w) for w in words], np.int64)
+        shared = np.flatnonzero(self.classes >= OWN)
+        learnt = shared[:LEARNT]
+        sizes = 1 + np.bincount(self.classes[learnt] - OWN, minlength=CLASSES - OWN)
+        #: First slot of each shared class (that of its other words), then the number of slots.
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.slots = np.where(self.classes >= OWN, self.first[np.maximum(self.classes - OWN, 0)], -1)
+        order = learnt[np.argsort(self.classes[learnt], kind="stable")]
+        self.slots[order] = np.setdiff1d(np.arange(self.first[-1]), self.first[:-1])
+        self.learnt = np.zeros(len(words), bool)
+        self.learnt[learnt] = True
+
+    def slot_log(self, others: np.ndarray) -> np.ndarray:
+        """Logarithms of the slots' training counts, given those of each shared class's words without a slot of their own."""
+        mass = np.zeros(self.first[-1])
+        mass[self.first[:-1]] = others
+        mass[self.slots[self.learnt]] = self.counts[self.learnt]
+        return np.log(mass + 0.5)
+
+    def other_of(self, word: bytes) -> int:
+        """The shared class in whose common slot a word lies; -1: none, as it has a class or a slot of its own."""
+        k, at = self.class_of(word), self.index.get(word)
+        return -1 if k < OWN or (at is not None and self.learnt[at]) else k
 
     def class_of(self, word: bytes) -> int:
         return 0 if word == END else self.own.get(word) or shared_class(word)
 
 
-def sequence_of(text: str | None, head: Head) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Classes of a text's tokens; indices into the head (-1: none); the tokens."""
+def sequence_of(text: str | None, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Classes of a text's tokens; slots in them (-1: none); indices into the head (-1: none); the tokens."""
     words = tokens(text)
     found = np.fromiter(map(head.index.get, words, repeat(-1)), np.int64, len(words))
-    classes = head.classes[found] if len(head.classes) else np.zeros(len(words), np.int64)
-    for i in np.flatnonzero(found < 0).tolist():
-        classes[i] = head.class_of(words[i])
-    return classes, found, words
+    classes, slots = (head.classes[found], head.slots[found]) if len(head.classes) else (np.zeros(len(words), np.int64), np.full(len(words), -1))
+    rare = np.flatnonzero(found < 0)
+    classes[rare] = [head.class_of(words[i]) for i in rare.tolist()]
+    slots[rare] = np.where(classes[rare] >= OWN, head.first[np.maximum(classes[rare] - OWN, 0)], -1)
+    return classes, slots, found, words
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -262,31 +326,35 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = sent.value
         for b in batches:
-            k = np.fromiter(map(h.class_of, b.column("word").to_pylist()), np.int64, b.num_rows)
-            c = b.column("c").to_numpy(zero_copy_only=False)
-            sums, ones = np.bincount(k, c, CLASSES).astype(np.int64), np.bincount(k, c == 1, CLASSES).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums), pa.array(ones)], ["k", "c", "ones"])
-
-    sums = counts.mapInArrow(by_class, "k long, c long, ones long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("ones").alias("ones")).collect()
-    mass, ones = np.zeros(CLASSES), np.zeros(CLASSES)
+            words, c = b.column("word").to_pylist(), b.column("c").to_numpy(zero_copy_only=False)
+            k, other = (np.fromiter(map(f, words), np.int64, b.num_rows) for f in (h.class_of, h.other_of))
+            at = other[other >= 0]
+            sums = [np.bincount(k, c, CLASSES), np.bincount(at, c[other >= 0], CLASSES), np.bincount(at, c[other >= 0] == 1, CLASSES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), *(pa.array(x.astype(np.int64)) for x in sums)], ["k", "c", "others", "ones"])
+
+    added = [F.sum(x).alias(x) for x in ("c", "others", "ones")]
+    sums = counts.mapInArrow(by_class, "k long, c long, others long, ones long").groupBy("k").agg(*added).collect()  # CLASSES rows
+    mass, others, ones = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
-        mass[r["k"]], ones[r["k"]] = r["c"], r["ones"]
-    unseen = (ones + 0.5) / (mass + 1)
-    unseen[:OWN] = 0.0
-    unseen[OWN:][mass[OWN:] == 0] = 1.0
-    weights = fit_network(training, n, sent, fresh(np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES))))
+        mass[r["k"]], others[r["k"]], ones[r["k"]] = r["c"], r["others"], r["ones"]
+    #: Of a class's common slot: the share of words not seen.
+    unseen = np.where(others > 0, (ones + 0.5) / (others + 1), 1.0)
+    start = fresh(np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES)), head.slot_log(others[OWN:]))
+    weights = fit_network(training, n, sent, start)
     denominator = n + 0.5 * (v + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         head_base = np.log10((head.counts + 0.5) / denominator)
-        head_word = np.log10((1 - unseen[head.classes]) * head.counts / mass[head.classes]) if len(top) else head.counts
+        common = (head.classes >= OWN) & ~head.learnt
+        head_word = np.where(common, np.log10((1 - unseen[head.classes]) * head.counts / others[head.classes]), 0.0) if len(top) else head.counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, p = sent.value, unflat(weights)
+        h, p = sent.value, unflat(weights, start)
         for b in batches:
-            sequences, sums, offsets, words, times, classes = [], [], [0], [], [], []
+            sequences, slots, sums, offsets, words, times, classes = [], [], [], [0], [], [], []
             for t in b.column("text").to_pylist():
-                k, found, toks = sequence_of(t, h)
+                k, slot, found, toks = sequence_of(t, h)
                 sequences.append(k.astype(np.int16))
+                slots.append(slot.astype(np.int32))
                 inside = found[found >= 0]
                 sums.append((len(toks), len(inside), float(head_base[inside].sum()), float(head_word[inside].sum())))
                 rare = Counter(toks[i] for i in np.flatnonzero(found < 0).tolist())
@@ -294,7 +362,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 times += rare.values()
                 classes += map(h.class_of, rare)
                 offsets.append(len(words))
-            logs = class_scores(p, sequences) / np.log(10)
+            logs = class_scores(p, sequences, slots, h.first) / np.log(10)
             at = pa.array(offsets, pa.int32())
             cols = list(zip(*sums)) or [(), (), (), ()]
             rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32()), pa.array(classes, pa.int32())], ["word", "times", "k"])
@@ -306,11 +374,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     schema = f"key {kind}, n_tokens long, known long, base double, score double, rare array<struct<word:binary,times:int,k:int>>"
     rows = durable(d.mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
-    table = [(k, float(mass[k]), float(unseen[k])) for k in range(CLASSES)]
-    classes = F.broadcast(spark.createDataFrame(table, "k int, mass double, unseen double"))  # CLASSES rows
+    table = [(k, float(others[k]), float(unseen[k])) for k in range(CLASSES)]
+    classes = F.broadcast(spark.createDataFrame(table, "k int, others double, unseen double"))  # CLASSES rows
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.*").join(counts, "word", "left").join(classes, "k")
     c = F.coalesce("c", F.lit(0))
-    word = F.when(c > 0, F.log10((1 - F.col("unseen")) * c / F.col("mass"))).otherwise(F.log10("unseen"))
+    word = F.when(c > 0, F.log10((1 - F.col("unseen")) * c / F.col("others"))).otherwise(F.log10("unseen"))
     rare = rare.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(denominator)))).alias("more_base"),
@@ -333,18 +401,18 @@ def fit_network(training: DataFrame, n: int, sent, weights: dict[str, np.ndarray
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = sent.value
-            texts = [sequence_of(t, head)[0] for b in batches for t in b.column("text").to_pylist()]
+            texts = [sequence_of(t, head)[:2] for b in batches for t in b.column("text").to_pylist()]
             if not texts:
                 return
-            classes = np.concatenate([np.zeros(1, np.int64), *texts])
-            w = flat(train(unflat(start), classes)).astype(np.float64)
-            n = np.full(len(w), float(len(classes)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w * n), pa.array(n)], ["at", "w", "n"])
-
-        trained = rounds.where(F.col("round") == number).select("text").repartition(parts).mapInArrow(run, "at long, w double, n double")
-        mean = trained.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).orderBy("at").collect()  # one row a weight
-        if mean:
-            current = np.array([r["w"] for r in mean])
+            classes = np.concatenate([np.zeros(1, np.int64), *(k for k, _ in texts)])
+            slots = np.concatenate([np.full(1, -1), *(x for _, x in texts)])
+            w = flat(train(unflat(start, weights), classes, slots, head.first, RATE / 2**number))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), float(len(classes))))], ["at", "w", "n"])
+
+        trained = rounds.where(F.col("round") == number).select("text").repartition(parts).mapInArrow(run, "at long, w float, n double")
+        mean = trained.groupBy("at").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toArrow()  # one row a weight, fixed by the model's size
+        if mean.num_rows:
+            current = mean.sort_by("at").column("w").to_numpy()
     return current
 
 

@@ -440,3 +440,89 @@ def test_contained_detections_go():
     assert licenses.suppress([(0, 9, 2, 5), (2, 5, 1, 1), (0, 9, 2, 7), (3, 12, 1, 2), (0, 9, 1, 0)]) == [(0, 9, 2, 5), (3, 12, 1, 2)]
     assert "php-3.0" not in {s[2] for s in licenses.scan("The php manual, see example.org/licenses/3.0")[2]}
     assert "gpl-3" in {s[2] for s in licenses.scan("see gnu.org/licenses/gpl-3.0.html")[2]}
+
+
+def test_gradients_of_slots():
+    rng = np.random.default_rng(1)
+    first = np.array([0, 3, 4, 7])  # three shared classes of three, one and three slots
+    p = {k: a.astype(np.float64) for k, a in language_model.fresh(np.zeros(language_model.CLASSES), np.zeros(7)).items()}
+    p["w"] += rng.standard_normal(p["w"].shape) * 0.3
+    previous, slots = rng.integers(0, 5, (3, 6)), rng.integers(-1, 7, (3, 6))
+    of = np.searchsorted(first, slots, "right") - 1
+    target = np.where(slots < 0, 4, language_model.OWN + of)
+
+    def loss(q):
+        h, total = np.zeros((3, language_model.HIDDEN)), 0.0
+        for t in range(6):
+            h = language_model.step(q, previous[:, t], h)[0]
+            z = h @ q["v"] + q["b"]
+            total -= (z[np.arange(3), target[:, t]] - np.log(np.exp(z).sum(1))).sum()
+            for r in np.flatnonzero(slots[:, t] >= 0):
+                a, b = first[of[r, t]], first[of[r, t] + 1]
+                inner = q["w"][a:b] @ h[r] + q["c"][a:b]
+                total -= inner[slots[r, t] - a] - np.log(np.exp(inner).sum())
+        return total / 18
+
+    grad, _ = language_model.gradients(p, previous, target, np.zeros((3, language_model.HIDDEN)), slots, first)
+    for k, at in (("x", (1, 5)), ("u", (4, 7)), ("v", (2, 3)), ("b", (4,)), ("w", (0, 3)), ("w", (6, 8)), ("c", (2,)), ("c", (3,))):
+        up, down = ({n: a.copy() for n, a in p.items()} for _ in "ab")
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        assert abs(grad[k][at] - (loss(up) - loss(down)) / 2e-4) < 1e-7
+
+
+def test_model_scores_by_plain_steps(spark, monkeypatch):
+    """Scores, with a head and slots so few that words are joined too, against one step after another; all words' shares add up to 1."""
+    monkeypatch.setattr(language_model, "HEAD", 100)
+    monkeypatch.setattr(language_model, "LEARNT", 10)
+    rng = random.Random(4)
+    words = [f"w{i:03d}" for i in range(150)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(150)], k=rng.randrange(0, 70)))) for i in range(120)] + [(500, None), (None, "W001 never-seen")]
+    kept = {}
+    fit = language_model.fit_network
+
+    def spied(training, n, sent, weights):
+        kept.update(head=sent.value, start=weights, got=fit(training, n, sent, weights))
+        return kept["got"]
+
+    monkeypatch.setattr(language_model, "fit_network", spied)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score_documents(d).collect()}
+    head, p = kept["head"], language_model.unflat(kept["got"], kept["start"])
+    counts = Counter(t for k, text in rows if zlib.crc32(("" if k is None else str(k)).encode()) % 5 != 1 for t in language_model.tokens(text))
+    assert len(head.index) < len(counts) and head.learnt.sum() == 10
+    common = [w for w in counts if head.other_of(w) >= 0]
+    other, ones = Counter(), Counter()
+    for w in common:
+        other[head.other_of(w)] += counts[w]
+        ones[head.other_of(w)] += counts[w] == 1
+
+    def shares(h):
+        """Of each training word, and of all others of each class together."""
+        z = np.exp(h @ p["v"] + p["b"])
+        z, out = z / z.sum(), {}
+        for w in counts:
+            k = head.class_of(w)
+            out[w] = z[k]
+            if k >= language_model.OWN:
+                a, b = head.first[k - language_model.OWN], head.first[k - language_model.OWN + 1]
+                inner = np.exp(p["w"][a:b] @ h + p["c"][a:b])
+                i = head.index.get(w)
+                own = i is not None and head.learnt[i]
+                out[w] *= inner[head.slots[i] - a if own else 0] / inner.sum()
+                out[w] *= 1 if own else counts[w] / other[k] * (1 - (ones[k] + 0.5) / (other[k] + 1))
+        for k in range(language_model.OWN, language_model.CLASSES):
+            a, b = head.first[k - language_model.OWN], head.first[k - language_model.OWN + 1]
+            inner = np.exp(p["w"][a:b] @ h + p["c"][a:b])
+            out[k] = z[k] * inner[0] / inner.sum() * ((ones[k] + 0.5) / (other[k] + 1) if other[k] else 1.0)
+        return out
+
+    for k, text in rows:
+        h, last, score = np.zeros((1, language_model.HIDDEN)), 0, 0.0
+        for t in language_model.tokens(text):
+            h = language_model.step(p, np.array([last]), h)[0]
+            last, share = head.class_of(t), shares(h[0])
+            assert abs(sum(share.values()) - 1) < 1e-4
+            score += math.log10(share[t] if t in counts else share[last])
+        assert abs(got[k].score - score) < 1e-3 * max(1, abs(score)), (k, got[k].score, score)
+        assert got[k].n_known == sum(t in counts for t in language_model.tokens(text))
