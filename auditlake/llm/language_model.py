@@ -95,14 +95,17 @@ def unflat(w: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def sigmoid(a: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-a))
+    out = np.exp(-a)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def step(p: dict[str, np.ndarray], previous: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One GRU step; a document's first token follows an end, which clears the state."""
     h = np.where(previous[:, None] == 0, np.float32(0), h)
     x, g = p["x"][previous], h @ p["u"]
-    z, r = sigmoid(x[:, :HIDDEN] + g[:, :HIDDEN]), sigmoid(x[:, HIDDEN : 2 * HIDDEN] + g[:, HIDDEN : 2 * HIDDEN])
+    zr = sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
+    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     n = np.tanh(x[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
     return n + z * (h - n), h, g, z, r, n
 
@@ -113,14 +116,16 @@ def inside(p: dict[str, np.ndarray], hs: np.ndarray, slots: np.ndarray, first: n
     ``first`` has each shared class's first slot and, at last, the number of slots; a slot of -1 is none.
     """
     rows = np.flatnonzero(slots >= 0)
-    of = np.searchsorted(first, slots[rows], "right") - 1
-    order = np.argsort(of, kind="stable")
-    rows, of = rows[order], of[order]
-    cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
-    for start, stop in zip(cuts, [*cuts[1:], len(of)]):
-        part, at = rows[start:stop], slice(first[of[start]], first[of[start] + 1])
-        logits = hs[part] @ p["w"][at].T + p["c"][at]
-        yield part, slots[part] - at.start, at, logits - logits.max(axis=1, keepdims=True)
+    rows = rows[np.argsort(slots[rows], kind="stable")]  # slots of a class lie together
+    slots, sorted_hs = slots[rows], hs[rows]
+    cuts = np.searchsorted(slots, first).tolist()
+    for start, stop, low, high in zip(cuts, cuts[1:], first.tolist(), first[1:].tolist()):
+        if start < stop:
+            at = slice(low, high)
+            logits = sorted_hs[start:stop] @ p["w"][at].T
+            logits += p["c"][at]
+            logits -= logits.max(axis=1, keepdims=True)
+            yield rows[start:stop], slots[start:stop] - low, at, logits
 
 
 def gradients(
@@ -136,23 +141,23 @@ def gradients(
         kept.append(rest)
         states.append(h)
     hs = np.concatenate(states)
-    logits = hs @ p["v"] + p["b"]
-    logits -= logits.max(axis=1, keepdims=True)
-    d = np.exp(logits)
-    d /= d.sum(axis=1, keepdims=True)
+    d = hs @ p["v"]
+    d += p["b"]
+    d -= d.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
     wanted = target.T.ravel()
-    d[np.arange(len(d)), wanted] -= 1
-    d[wanted < 0] = 0
     n_wanted = max(1, int((wanted >= 0).sum()))
-    d /= n_wanted
+    d *= 1 / (d.sum(axis=1, keepdims=True) * n_wanted)
+    d[np.arange(len(d)), wanted] -= d.dtype.type(1 / n_wanted)
+    if n_wanted < len(wanted):
+        d[wanted < 0] = 0
     grad = {"v": hs.T @ d, "b": d.sum(axis=0)} | {k: np.zeros_like(p[k]) for k in ("u", "x", "w", "c")}
     dhs, dh = d @ p["v"].T, np.zeros_like(h)
     if slots is not None:
         for rows, wanted, at, logits in inside(p, hs, slots.T.ravel(), first):
-            d = np.exp(logits)
-            d /= d.sum(axis=1, keepdims=True)
-            d[np.arange(len(d)), wanted] -= 1
-            d /= n_wanted
+            d = np.exp(logits, out=logits)
+            d *= 1 / (d.sum(axis=1, keepdims=True) * n_wanted)
+            d[np.arange(len(d)), wanted] -= d.dtype.type(1 / n_wanted)
             grad["w"][at], grad["c"][at] = d.T @ hs[rows], d.sum(axis=0)
             dhs[rows] += d @ p["w"][at]
     dhs = dhs.reshape(previous.shape[1], len(h), HIDDEN)
@@ -223,13 +228,15 @@ def class_scores(p: dict[str, np.ndarray], docs: list[np.ndarray], slots: list[n
                 rows.append(np.arange(on))
                 previous = target[:, t]
             hs = np.concatenate(states)
-            logits = hs @ p["v"] + p["b"]
-            top = logits.max(axis=1)
-            norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-            picked = logits[np.arange(len(logits)), np.concatenate(targets)] - norm
+            logits = hs @ p["v"]
+            logits += p["b"]
+            logits -= logits.max(axis=1, keepdims=True)
+            picked = logits[np.arange(len(logits)), np.concatenate(targets)]
+            picked -= np.log(np.exp(logits, out=logits).sum(axis=1))
             if slots is not None:
                 for met, wanted, _, logits in inside(p, hs, np.concatenate(inners), first):
-                    picked[met] += logits[np.arange(len(met)), wanted] - np.log(np.exp(logits).sum(axis=1))
+                    own = logits[np.arange(len(met)), wanted]
+                    picked[met] += own - np.log(np.exp(logits, out=logits).sum(axis=1))
             total += np.bincount(np.concatenate(rows), picked.astype(np.float64), minlength=len(part))
             last[:live] = previous
         out[part] = total
