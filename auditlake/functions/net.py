@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from auditlake.functions.text import SPACE, trim_space
 
@@ -64,17 +66,29 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def reject_reason(url: Column) -> Column:
-    """The first rule an absolute URL breaks, null if none. IPv6 literals count as blocked."""
+    """The first rule an absolute URL breaks, null if none.
+
+    A host whose last label is a number is an IPv4 address in any of its forms, one in brackets an IPv6 address; where it
+    can't be read as one the URL is invalid, where it isn't global the host is blocked.
+    """
 
     def judged(x: Column) -> Column:
+        literal = F.regexp_extract(x["host"], r"^\[(.*)\]\z", 1)
+        numeric = x["host"].rlike(r"(?:^|\.)(?:0x[0-9a-f]*|[0-9]+)\.?\z")
+        address = F.when(F.startswith(x["host"], F.lit("[")), F.when(expand_ipv6(literal).isNotNull(), literal)).when(numeric, ipv4_normalise(x["host"]))
+        about = F.struct(x["url"].alias("url"), x["scheme"].alias("scheme"), x["authority"].alias("authority"), x["host"].alias("host"), x["port"].alias("port"),
+                         (F.startswith(x["host"], F.lit("[")) | numeric).alias("literal"), address.alias("address"))
+        return bind(about, ruled)
+
+    def ruled(x: Column) -> Column:
         h, web = x["host"], x["scheme"].isin("http", "https")
         ending = F.lit(False)
         for e in BLOCKED_ENDINGS:
             ending = ending | F.endswith(h, F.lit(e))
         name = ~h.rlike("^[a-z0-9.-]+$") | F.contains(h, F.lit("..")) | ~F.contains(h, F.lit("."))
-        blocked = F.when(h.rlike(IPV4), classify_ipv4(h) == "blocked").otherwise(h.isin(*BLOCKED_HOSTS) | ending | name)
+        blocked = F.when(x["literal"], classify_address(x["address"]) == "blocked").otherwise(h.isin(*BLOCKED_HOSTS) | ending | name)
         return (
-            F.when(~x["url"].rlike(URL) | (web & (x["authority"] == "")), "invalid-url")
+            F.when(~x["url"].rlike(URL) | (web & ((x["authority"] == "") | (x["literal"] & x["address"].isNull()))), "invalid-url")
             .when(~web, "scheme")
             .when(F.contains(x["authority"], F.lit("@")), "userinfo")
             .when(~x["port"].isin("", "80", "443"), "port")
@@ -119,6 +133,36 @@ def charset(header: Column) -> Column:
     return F.when(media_type(header).isNotNull(), F.nullif(F.lower(trim_space(F.regexp_replace(raw, r"^['\"]|['\"]$", ""))), F.lit("")))
 
 
+#: Labels by which browsers know encodings other than UTF-8, as Python has them.
+ENCODINGS = r"^(?:windows-125[0-8]|windows-874|cp125[0-8]|iso-?8859-(?:[1-8]|1[013456])|latin1|l1|ascii|us-ascii|koi8-[ru]|ibm866|macintosh|gbk|gb2312|gb18030|big5|euc-jp|euc-kr|shift[_-]jis|sjis|iso-2022-jp|utf-16(?:le|be)?)$"
+#: Labels that mean another encoding than Python's of that name.
+RENAMED = {"iso-8859-1": "cp1252", "iso8859-1": "cp1252", "latin1": "cp1252", "l1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-9": "cp1254", "windows-874": "cp874", "gb2312": "gbk", "macintosh": "mac-roman", "utf-16": "utf-16-le"}
+
+
+def meta_charset(body: Column) -> Column:
+    """The charset that a meta element names within the first 1024 bytes, in lower case; null if none."""
+    head = F.decode(F.substring(body, 1, 1024), "ISO-8859-1")
+    at = r"(?i)<meta(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])charset\s*=\s*(?:[\"']([^\"']+)[\"']|([^\s/>]+))"
+    return F.nullif(F.lower(trim_space(F.coalesce(F.nullif(F.regexp_extract(head, at, 1), F.lit("")), F.regexp_extract(head, at, 2)))), F.lit(""))
+
+
+@F.pandas_udf(StringType())
+def decoded(body: pd.Series, label: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else bytes(b).decode(RENAMED.get(x, x), "replace") for b, x in zip(body, label)], dtype=object)
+
+
+def decode_body(body: Column, content_type: Column) -> Column:
+    """The text of a binary body: by the header's charset, else the one a meta element names, else UTF-8, as for unknown labels.
+
+    Bytes that the encoding lacks become U+FFFD, a mark of byte order at the start goes; null bodies give null. UTF-8
+    stays out of Python.
+    """
+    label = F.coalesce(charset(content_type), meta_charset(body), F.lit("utf-8"))
+    other = label.rlike(ENCODINGS)
+    read = F.coalesce(decoded(F.when(other, body), F.when(other, label)), F.make_valid_utf8(F.when(~other, body).cast("string")))
+    return F.regexp_replace(read, r"^\x{FEFF}", "")
+
+
 def content_type_allowed(header: Column, rules: list[str]) -> Column:
     """Exact type, or ``family/*``; without rules everything passes, malformed types never do."""
     if not rules:

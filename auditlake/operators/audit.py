@@ -59,6 +59,17 @@ def audit_rows(results: DataFrame) -> DataFrame:
     return scoring.summarize(results).join(top_finding(results), "page_id", "left")
 
 
+def reports(results: DataFrame) -> DataFrame:
+    """(page_id, report): a JSON text of each page's score, grade and opportunity, with each check's outcome and findings by category.
+
+    ``write.text`` or ``write.json`` puts them into files; categories of a page are as many as there are checks.
+    """
+    checked = F.sort_array(F.collect_list(F.struct("category", "applicable", "score", "confidence", "findings"))).alias("categories")
+    got = scoring.summarize(results).join(results.groupBy("page_id").agg(checked), "page_id")
+    report = F.to_json(F.struct("overall", "grade", "opportunity", "categories"), {"ignoreNullFields": "false"})
+    return got.select("page_id", report.alias("report"))
+
+
 def cards(results: DataFrame) -> DataFrame:
     """What a score card shows: page_id, overall, grade, colour, a lamp for each step, label of the opportunity."""
     s = scoring.summarize(results)

@@ -74,6 +74,12 @@ def list_stats(nodes: DataFrame) -> DataFrame:
     return out.where("max_li > 0 or articles > 0")
 
 
+def samples(rows: DataFrame, most: int) -> DataFrame:
+    """(page_id, paths): the paths of each page's first ``most`` rows (page_id, pre, path) in document order, as evidence."""
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))).where(F.col("n") <= most)
+    return first.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pre", "path")))["path"].alias("paths"))
+
+
 def controls(nodes: DataFrame) -> DataFrame:
     """Form controls, each with its label's text, accessible name, owning form and whether that form has a submit.
 

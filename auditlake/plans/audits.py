@@ -149,6 +149,35 @@ def audit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("page_id", "category", "applicable", "score")
 
 
+@query(f"WITH {AUDIT_SUMMARY_SQL} SELECT page_id, overall, grade, cats, scores FROM s2 JOIN (SELECT page_id, count(*) AS cats, string_agg(coalesce(CAST(CAST(score AS INT) AS VARCHAR), 'none'), ',' ORDER BY category) AS scores FROM c GROUP BY page_id) USING (page_id)")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as JSON texts, read again."""
+    shape = "overall int, grade string, categories array<struct<category:string,score:int,findings:array<struct<id:string>>>>"
+    r = audit.reports(results(spark, sf_dir)).select("page_id", F.from_json("report", shape).alias("r"))
+    scores = F.array_join(F.transform("r.categories", lambda c: F.coalesce(c["score"].cast("string"), F.lit("none"))), ",")
+    return r.select("page_id", "r.overall", "r.grade", F.size("r.categories").cast("long").alias("cats"), scores.alias("scores"))
+
+
+#: Bodies in several encodings, named by a header, a meta element or by nothing known.
+ENCODED = """CASE page_id % 5 WHEN 0 THEN CAST(html AS BINARY) WHEN 1 THEN CAST('caf' AS BINARY) || unhex('E980') WHEN 2 THEN CAST('<meta charset=windows-1251>' AS BINARY) || unhex('CFF0')
+WHEN 3 THEN CAST('a' AS BINARY) || unhex('FF') || CAST('b' AS BINARY) ELSE unhex('FEFF0041') END"""
+ENCODED_TYPE = "CASE page_id % 5 WHEN 1 THEN 'text/html; charset=ISO-8859-1' WHEN 3 THEN 'text/html; charset=x-none' WHEN 4 THEN 'text/html; charset=\"utf-16be\"' END"
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN 'café€' WHEN 2 THEN '<meta charset=windows-1251>Пр' WHEN 3 THEN 'a' || chr(65533) || 'b' ELSE 'A' END AS body FROM pages")
+def decode_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", net.decode_body(F.expr(ENCODED), F.expr(ENCODED_TYPE)).alias("body"))
+
+
+@query("""SELECT page_id, CASE page_id % 7 WHEN 1 THEN CASE WHEN (page_id // 7 % 256) IN (0, 10, 127) OR page_id // 7 % 256 >= 224 THEN 'blocked-host' END WHEN 2 THEN 'invalid-url' WHEN 3 THEN 'blocked-host' WHEN 5 THEN 'blocked-host' WHEN 6 THEN 'invalid-url' END AS reason FROM pages""")
+def validate_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs whose hosts are addresses in their several forms."""
+    n = F.col("page_id")
+    host = F.when(n % 7 == 0, "[2606:4700::1]").when(n % 7 == 1, F.concat(F.lit("0x"), F.hex(F.floor(n / 7) % 256), F.lit(".200.1.1"))).when(n % 7 == 2, "[1::2::3]")
+    host = host.when(n % 7 == 3, "[::ffff:127.0.0.1]").when(n % 7 == 4, "[2002:808:808::]").when(n % 7 == 5, "2130706433").otherwise("1.2.3.256")
+    return table(spark, sf_dir, "pages").select("page_id", net.reject_reason(F.concat(F.lit("http://"), host, F.lit("/"))).alias("reason"))
+
+
 @query(f"""WITH {AUDIT_SUMMARY_SQL}, lamp AS (SELECT page_id, step, sum(weight * score) FILTER (known) * 1.0 / nullif(sum(weight) FILTER (known), 0) AS m FROM k GROUP BY page_id, step),
 l2 AS (SELECT page_id, step, CASE WHEN m IS NULL THEN 'off' WHEN m >= 75 THEN 'pass' WHEN m >= 40 THEN 'warn' ELSE 'fail' END AS state FROM lamp)
 SELECT page_id, overall, grade, CASE WHEN overall >= 75 THEN 'pass' WHEN overall >= 40 THEN 'warn' ELSE 'fail' END AS colour, max(state) FILTER (step = 'find') AS find, max(state) FILTER (step = 'understand') AS understand,

@@ -60,6 +60,15 @@ def form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("page_id", ord_.alias("ord"), "name", F.col("owned_by").isNotNull().alias("owned"), "submits")
 
 
+@query(f"SELECT page_id, CASE WHEN k = 2 THEN 'input:nth-of-type(1)|input:nth-of-type(2)' END AS ends FROM (WITH {V_SQL} SELECT * FROM v) WHERE k = 2")
+def evidence_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three controls without a name of each page, by the ends of their paths."""
+    nodes = elements.shred(variants(spark, sf_dir))
+    nameless = elements.controls(nodes).where("name IS NULL").select("page_id", "pre").join(nodes.select("page_id", "pre", "path"), ["page_id", "pre"])
+    ends = F.array_join(F.transform("paths", lambda p: F.trim(F.element_at(F.split(p, ">"), -1))), "|")
+    return elements.samples(nameless, 3).select("page_id", ends.alias("ends"))
+
+
 @query(f"""WITH {HEADS_SQL}, f AS (SELECT *, regexp_matches(html, '<title>[^<]*\\S[^<]*</title>') AS t, k = 6 AS d, html LIKE '%<main%' AS m, html LIKE '%<nav%' AS n,
 html LIKE '%<footer%' OR html LIKE '%<header%' AS e, regexp_matches(html, '<html[^>]* lang="[^"]') AS g FROM s)
 SELECT page_id, true AS applicable, CAST(CASE k WHEN 6 THEN 30 WHEN 7 THEN 10 ELSE 0 END + CASE WHEN t AND d THEN 10 WHEN t THEN 5 ELSE 0 END + CASE WHEN d THEN 10 ELSE 0 END
