@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -99,7 +100,12 @@ class Trie:
 FOLD = str.maketrans("013457@$", "oieastas")
 #: Runs of word characters and the two signs that FOLD reads as letters, with one of these at least.
 DISGUISED = re.compile(r"[\w@$]*[@$][\w@$]*")
-QUOTES = re.compile("[\"“”„«»‘’'][^\"“”„«»\n]{0,300}[\"“”„«»]")
+#: Quoted passages of a line; each alternative stops at the next opening mark, so that a scan is linear.
+QUOTES = re.compile("\"[^\"\n]*\"|“[^“”„\n]*”|„[^“”„\n]*[“”]|«[^«»\n]*»|»[^«»\n]*«|‘[^‘’\n]*’(?!\\w)")
+#: Signs outside ASCII that part words as its own do: spaces, dashes, quotes, dots, inverted marks.
+SIGNS = re.compile("[\u00a0-\u00bf\u2010-\u205e]")
+#: What is left of a hit's weight inside quotes, and near a word of reporting.
+QUOTED_SHARE, REPORTED_SHARE = 0.2, 0.5
 FEATURES = 9
 
 
@@ -155,31 +161,49 @@ def lacking(word: str) -> list[str]:
     return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
+def quoted_places(text: str) -> list[tuple[int, int]]:
+    """Ranges of word places inside quotes; ``text`` is cut at the quotes, which part words."""
+    out, at, n = [], 0, 0
+    for q in QUOTES.finditer(text):
+        n += len(words_of(SIGNS.sub(" ", text[at : q.start()])))
+        inside = len(words_of(SIGNS.sub(" ", q[0])))
+        out.append((n, n + inside))
+        at, n = q.end(), n + inside
+    return out
+
+
 def features(text: str | None, m: Matcher) -> list[float]:
-    """Counts and sums over a whole text's hits; all 0 where none is."""
+    """Counts and sums over a whole text's hits, each by its context; all 0 where none is.
+
+    A hit counts whole, but QUOTED_SHARE of it inside quotes, REPORTED_SHARE where a word of reporting is within CONTEXT
+    words, and both of these for both.
+    """
     text = text and m.unmasked(text)
-    words = words_of(text)
+    words = words_of(text if not text or text.isascii() else SIGNS.sub(" ", text))
     found = m.hits(words)
     if not found:
         return [0.0] * FEATURES
     hits = [(i, found[w]) for i, w in enumerate(words) if w in found]
-    quoted: set[bytes] = set()
-    for q in QUOTES.findall(text):
-        quoted.update(words_of(q))
+    quotes = quoted_places(text)
+    starts = [a for a, _ in quotes]
     plain = near = said = aimed = inside = 0
-    best = total = 0.0
+    most = best = total = whole = 0.0
     for i, h in hits:
         around = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
-        is_said, is_in = any(w in REPORTED for w in around), words[i] in quoted
+        at = bisect_right(starts, i) - 1
+        is_said, is_in = any(w in REPORTED for w in around), at >= 0 and i < quotes[at][1]
+        share = (REPORTED_SHARE if is_said else 1.0) * (QUOTED_SHARE if is_in else 1.0)
         said += is_said
         inside += is_in
-        aimed += any(w in AIMED for w in around)
-        near += h.distance > 0
-        plain += not is_said and not is_in and h.distance == 0
-        best = max(best, h.weight)
-        total += h.weight
+        aimed += any(w in AIMED for w in around) and not is_in
+        near += share * (h.distance > 0)
+        plain += share * (h.distance == 0)
+        most = max(most, share)
+        best = max(best, h.weight * share)
+        total += h.weight * share
+        whole += share
     n = len(hits)
-    return [1.0, math.log1p(plain), math.log1p(near), said / n, inside / n, aimed / n, best / 10, math.log1p(total) / 3, min(1.0, 20 * n / len(words))]
+    return [most, math.log1p(plain), math.log1p(near), said / n, inside / n, aimed / n, best / 10, math.log1p(total) / 3, min(1.0, 20 * whole / len(words))]
 
 
 def held_out(keys: list) -> list[bool]:

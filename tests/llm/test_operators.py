@@ -526,3 +526,27 @@ def test_model_scores_by_plain_steps(spark, monkeypatch):
             score += math.log10(share[t] if t in counts else share[last])
         assert abs(got[k].score - score) < 1e-3 * max(1, abs(score)), (k, got[k].score, score)
         assert got[k].n_known == sum(t in counts for t in language_model.tokens(text))
+
+
+def test_quoted_and_reported_insults_score_below_aimed_ones(spark):
+    rng = random.Random(9)
+    bad = ["you are an idiot", "what a moron you are", "stupid liar", "you worthless scum"]
+    rows = [(i, " ".join([prose(rng, 10), *rng.choices(bad, k=2), prose(rng, 5)]) if i % 2 else prose(rng, 30)) for i in range(200)]
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    start, end = prose(rng, 10), prose(rng, 10)
+    forms = [f"{start} you are an idiot and a moron {end}", f"{start} he said: you are an idiot and a moron {end}"]
+    forms += [f"{start} the word {a}idiot and a moron{b} {end}" for a, b in ("“”", "„“", "«»", '""')]
+    forms += [f"{start} he wrote “{'very ' * 400}idiot” {end}", f"{start} don’t be an idiot… you moron— {end}", f"“{start} you are an idiot and a moron {end}"]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string"), m).collect()}
+    assert got[0].predicted == 1 and got[1].score < got[0].score
+    assert all(got[i].predicted == 0 and got[i].score < got[1].score for i in (2, 3, 4, 5, 6)), got
+    assert got[7].predicted == 1 and got[8].score == got[0].score  # signs part words; a quote that never ends is none
+
+
+def test_quoted_places_in_linear_time():
+    import time
+
+    assert toxicity.quoted_places('a "b c" d «e» f') == [(1, 3), (4, 5)]
+    began = time.time()
+    toxicity.quoted_places("“a " * 200_000 + "'x " * 100_000 + '"')
+    assert time.time() - began < 5
