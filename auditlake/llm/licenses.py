@@ -84,10 +84,117 @@ NOTICES = [
     ("proprietary", r"(?:confidential and proprietary|proprietary and confidential)", "proprietary"),
     ("no-derivatives", r"no derivative works?", "derivative"),
     ("copyright", r"copyright(?: c)? (?:19|20)\d\d", "copyright"),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", "substantial portions"),
+    ("mit-0", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is", "to do so the software"),
+    ("mit-modern", r"permission is hereby granted without written agreement and without license or royalty fees", "without written agreement"),
+    ("x11", r"except as contained in this notice the names? of (?:\w+ ){1,8}shall not be used in advertising", "except as contained in this notice"),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose", "and its documentation"),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", "appear in all copies"),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software", "hereby granted the software"),
+    ("bsd-2-clause", r"redistributions of source code must retain the above copyright notice this list of conditions", "redistributions of source"),
+    ("bsd-2-clause", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary"),
+    ("bsd-3-clause", r"neither the names? of (?:\w+ ){1,12}may be used to endorse or promote products", "endorse or promote"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", "all advertising materials"),
+    ("bsd-3-clause-clear", r"no express or implied licen[sc]es to any party s patent rights are granted", "patent rights are granted"),
+    ("bsd-1-clause", r"redistributions of source code must retain the above copyright notice this condition", "this condition"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original", "plainly marked"),
+    ("zlib", r"the origin of this software must not be misrepresented", "must not be misrepresented"),
+    ("libpng", r"the png reference library is supplied as is", "png reference library"),
+    ("apache-2", r"you may not use this file except in compliance with the license", "except in compliance"),
+    ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the license", "required by applicable law"),
+    ("apache-2", r"see the license for the specific language governing permissions and limitations under the license", "governing permissions"),
+    ("apache-1.1", r"the end user documentation included with the redistribution if any must include the following acknowledg", "end user documentation"),
+    ("apache-1.0", r"this software consists of voluntary contributions made by many individuals on behalf of the apache", "voluntary contributions"),
+    ("gpl", r"you should have received a copy of the gnu general public license along with", "received a copy of the gnu general"),
+    ("gpl", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", "see the gnu general"),
+    ("gpl-2", r"either version 2 of the license or at your option any later version", "either version 2 of the"),
+    ("gpl-3", r"either version 3 of the license or at your option any later version", "either version 3 of the"),
+    ("gpl-2", r"gnu general public license as published by the free software foundation either version 2", "foundation either version 2"),
+    ("gpl-2", r"gnu general public license version 2 as published by the free software foundation", "version 2 as published"),
+    ("gpl-3", r"gnu general public license version 3 as published by the free software foundation", "version 3 as published"),
+    ("gpl", r"this program comes with absolutely no warranty", "absolutely no warranty"),
+    ("lgpl", r"terms of the gnu (?:lesser|library) general public license", "gnu lesser general|gnu library general"),
+    ("lgpl-2.1", r"either version 2 1 of the license or at your option any later version", "either version 2 1"),
+    ("lgpl", r"the licenses for most software are designed to take away your freedom", "take away your freedom"),
+    ("agpl", r"terms of the gnu affero general public license", "gnu affero"),
+    ("agpl", r"interacting with it remotely through a computer network", "remotely through a computer network"),
+    ("gpl-classpath", r"linking this (?:library|code) statically or dynamically with other modules", "statically or dynamically"),
+    ("gcc-exception", r"gcc runtime library exception", "runtime library exception"),
+    ("bison-exception", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton", "parser skeleton"),
+    ("mpl-2", r"this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form"),
+    ("mpl-2", r"if a copy of the mpl was not distributed with this file", "copy of the mpl"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", "contents of this file"),
+    ("mpl-1.0", r"the contents of this file are subject to the mozilla public license version 1 0", "contents of this file"),
+    ("cddl-1.0", r"the contents of this file are subject to the terms of the common development and distribution license", "contents of this file"),
+    ("epl-1.0", r"the accompanying program is provided under the terms of this eclipse public license", "accompanying program"),
+    ("epl-2", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0", "accompanying materials"),
+    ("epl-1.0", r"this program and the accompanying materials are made available under the terms of the eclipse public license v ?1 0", "accompanying materials"),
+    ("cpl-1.0", r"the accompanying program is provided under the terms of this common public license", "accompanying program"),
+    ("ipl-1.0", r"the accompanying program is provided under the terms of this ibm public license", "accompanying program"),
+    ("boost-1.0", r"boost software license version 1 0 august 17th 2003", "august 17th 2003"),
+    ("artistic-1.0", r"the intent of this document is to state the conditions under which a package may be copied", "intent of this document"),
+    ("artistic-2", r"everyone is permitted to copy and distribute verbatim copies of this license document", "verbatim copies of this license"),
+    ("perl", r"this (?:library|program|module|package) is free software you can redistribute it and or modify it under the same terms as perl itself", "same terms as perl"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", "associated a work with this deed"),
+    ("cc0", r"to the extent possible under law (?:\w+ ){1,12}has waived all copyright and related or neighboring rights", "waived all copyright"),
+    ("public-domain", r"the authors? disclaims? copyright to this source code", "copyright to this source"),
+    ("public-domain", r"this (?:work|file|software|code) (?:is|was|has been) (?:placed )?in the public domain", "in the public domain"),
+    ("public-domain", r"no copyright is claimed", "no copyright is claimed"),
+    ("blessing", r"may you do good and not evil", "good and not evil"),
+    ("json", r"the software shall be used for good not evil", "for good not evil"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", "verbatim or modified copies"),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", "retain this notice"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license version 1 1", "this font software"),
+    ("ofl-1.1", r"with reserved font names?", "reserved font name"),
+    ("ofl-1.1", r"the font software may be sold as part of a larger software package", "font software"),
+    ("bitstream-vera", r"permission is hereby granted free of charge to any person obtaining a copy of the fonts accompanying this license", "fonts accompanying this license"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "free documentation license"),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts", "invariant sections"),
+    ("openssl", r"this product includes software developed by the openssl project", "openssl project"),
+    ("ssleay", r"this product includes cryptographic software written by eric young", "eric young"),
+    ("psf-2", r"this license agreement is between the python software foundation", "between the python software"),
+    ("cnri-python", r"this license agreement is between the corporation for national research initiatives", "national research initiatives"),
+    ("ruby", r"you may make and give away verbatim copies of the source form of the software without restriction", "give away verbatim copies"),
+    ("php-3.01", r"this product includes php software freely available from", "includes php software"),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "fee is hereby granted provided"),
+    ("ntp", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee", "documentation for any purpose with"),
+    ("icu", r"unicode inc license agreement data files and software", "unicode inc license"),
+    ("unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", "unicode data files"),
+    ("w3c", r"this work is being provided by the copyright holders under the following license", "being provided by the copyright holders"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", "without a written agreement"),
+    ("vim", r"there are no restrictions on distributing unmodified copies of vim", "copies of vim"),
+    ("tcl", r"the authors hereby grant permission to use copy modify distribute and license this software", "authors hereby grant permission"),
+    ("ncsa", r"developed by (?:\w+ ){1,8}university of illinois permission is hereby granted", "university of illinois"),
+    ("ecl-2", r"educational community license version 2 0", "educational community"),
+    ("afl-3.0", r"licensed under the academic free license version 3 0", "academic free"),
+    ("osl-3.0", r"licensed under the open software license version 3 0", "open software"),
+    ("ms-pl", r"this license governs use of the accompanying software if you use the software you accept this license", "accompanying software"),
+    ("eupl-1.2", r"licen[sc]ed under the eupl (?:version |v )?1 2", "eupl"),
+    ("cecill", r"ce logiciel est r(?:é|e)gi par la licence cecill", "licence cecill"),
+    ("cecill", r"this software is governed by the cecill (?:\w )?license under french law", "governed by the cecill"),
+    ("odbl-1.0", r"this (?:\w+ ){1,6}is made available under the open database license", "open database"),
+    ("odc-by-1.0", r"is made available under the open data commons attribution license", "open data commons attribution"),
+    ("pddl-1.0", r"is made available under the public domain dedication and license", "public domain dedication"),
+    ("ogl-uk", r"contains public sector information licensed under the open government licen[sc]e", "open government"),
+    ("ogl-wotc", r"open game license version 1 0a", "open game license"),
+    ("cdla", r"community data license agreement (?:permissive|sharing)", "community data license"),
+    ("openrail", r"use restrictions as referenced in paragraph 5", "use restrictions as referenced"),
+    ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
+    ("bsl-1.1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "non production use"),
+    ("commons-clause", r"the software is provided to you by the licensor under the license as defined below subject to the following condition", "defined below subject"),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter) license", "polyform"),
+    ("non-commercial", r"for non ?commercial (?:use|purposes) only", "commercial"),
+    ("non-commercial", r"may not be used for commercial purposes", "commercial purposes"),
+    ("research-only", r"licensed for (?:academic|research)(?: and (?:academic|research))? (?:use|purposes) only", "licensed for"),
+    ("proprietary", r"unauthorized copying of this file via any medium is strictly prohibited", "unauthorized copying"),
+    ("proprietary", r"may not be reproduced (?:distributed )?(?:or transmitted )?in any form (?:or by any means )?without (?:the )?(?:prior )?(?:written )?permission of the copyright", "may not be reproduced"),
+    ("proprietary", r"this software is the confidential and proprietary information of", "confidential and proprietary"),
+    ("eula", r"this end user license agreement is a legal agreement between you", "end user license"),
+    ("dual", r"dual licensed under (?:the )?(?:\w+ ){1,6}(?:and|or) (?:the )?\w+", "dual licensed"),
+    ("same-terms", r"licensed under the same terms as", "same terms as"),
+    ("third-party", r"this (?:product|software|file) (?:includes|contains) (?:software|code) (?:developed by|from|licensed under)", "includes|contains"),
 ]
-#: Every rule needs one of these in the text.
-GATE = ("licen", "spdx", " cc ", "cc0", "creative", "copyright", "public domain", "publicdomain", "all rights reserved", "hereby granted")
-GATE += ("permission to use", "redistribut", "proprietary", "derivative", "as is", "unencumbered", "opensource", " under ", " org ")
 PRIORITY = {"spdx": 6, "notice": 5, "url": 4, "versioned": 3, "licensed": 2, "named": 1}
 WEIGHT = {"spdx": 0.95, "notice": 0.9, "url": 0.85, "versioned": 0.9, "licensed": 0.7, "named": 0.5, "base": 0.9}
 
@@ -139,6 +246,16 @@ def rules() -> tuple[Rule, ...]:
     return tuple(out)
 
 
+@cache
+def by_keyword() -> tuple[tuple[str, ...], dict[str, list[int]]]:
+    """All keywords of all rules; the rules that each can open, that is, which have it in their first set."""
+    opened: dict[str, list[int]] = {}
+    for i, r in enumerate(rules()):
+        for k in r.keywords[0]:
+            opened.setdefault(k, []).append(i)
+    return tuple(sorted({k for r in rules() for ks in r.keywords for k in ks})), opened
+
+
 def suppress(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of (start, stop, priority, rule), those not inside a better one, of any label: higher priority, longer, or the earlier rule.
 
@@ -170,11 +287,11 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int,
         while at >= 0:
             base.append((at, label))
             at = line.find(f" {phrase} ", at + 1)
-    if not base and not any(k in line for k in GATE):
-        return len(words), base, [], 0.0
-    found = []
-    for i, r in enumerate(rules()):
-        if all(any(k in line for k in ks) for ks in r.keywords):
+    found, (keywords, opened) = [], by_keyword()
+    present = {k for k in keywords if k in line}
+    for i in sorted({i for k in present for i in opened.get(k, ())}):
+        r = rules()[i]
+        if not any(present.isdisjoint(ks) for ks in r.keywords):
             found += [(m.start(), m.end(), PRIORITY[r.kind], i) for m in r.pattern.finditer(line)]
     spans, miss = [], 1.0
     spaces = list(accumulate((c == " " for c in line), initial=0)) if base or found else []

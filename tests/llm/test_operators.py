@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -550,3 +551,23 @@ def test_quoted_places_in_linear_time():
     began = time.time()
     toxicity.quoted_places("“a " * 200_000 + "'x " * 100_000 + '"')
     assert time.time() - began < 5
+
+
+def spoken(pattern):
+    """A text that a notice's pattern matches: the first of alternatives, without what is optional."""
+    text = re.sub(r"\(\?:\\w\+ \)\{1,\d+\}", "some words ", pattern)
+    for _ in range(4):
+        text = re.sub(r"\(\?:[^()]*\)\?", "", text)
+        text = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)*\)(?!\?)", r"\1", text)
+    text = text.replace("[sc]", "s").replace(r"\w+", "other").replace(r"\d\d", "99")
+    return re.sub(r"[\w ]\?", "", text)
+
+
+def test_every_written_notice_is_met():
+    assert len(licenses.NOTICES) > 100
+    for label, pattern, _ in licenses.NOTICES:
+        text = spoken(pattern)
+        _, _, spans, score = licenses.scan(f"A text. {re.sub('[a-z]', lambda m: m[0].upper(), text)}, and more")  # A-Z alone are lower-cased
+        assert any(s[2] == label and s[3] == "notice" for s in spans) and score > 0, (label, pattern, text, spans)
+    prose_only = "The committee met under the bridge to discuss open questions; no harm was intended by the commercial."
+    assert licenses.scan(prose_only)[2] == []
