@@ -15,6 +15,7 @@ from auditlake.llm.licenses import op10_licenses
 from auditlake.llm.lines import op5_lines
 from auditlake.llm.sharding import op3_shards
 from auditlake.llm.token_file import op9_token_file
+from auditlake.llm.token_counts import op13_token_counts
 from auditlake.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_token_file": op9_token_file,
     "op10_licenses": op10_licenses,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL}
