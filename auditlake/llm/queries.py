@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm.bpe import op2_bpe
 from auditlake.llm.decontaminate import OP6_SQL, op6_decontaminate
 from auditlake.llm.embeddings import op4_embeddings
+from auditlake.llm.filter_audit import OP11_SQL, op11_filter_audit
+from auditlake.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from auditlake.llm.jaccard import op1_jaccard
 from auditlake.llm.language_model import op8_language_model
 from auditlake.llm.licenses import op10_licenses
@@ -29,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_token_file": op9_token_file,
     "op10_licenses": op10_licenses,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_counts": op13_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op11_filter_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
