@@ -26,8 +26,8 @@ ENDS = {t: frozenset(ends.split()) for t, ends in {
 WALLS = {"li": frozenset("ul ol menu table".split()), "dt": frozenset(["dl", "table"]), "dd": frozenset(["dl", "table"])}
 OTHER_WALLS = frozenset("table select button".split())
 #: Elements whose text is kept, beside those with one of these attributes.
-WITH_TEXT = frozenset("a button h1 h2 h3 h4 h5 h6 label script summary title".split())
-TEXT_ATTRIBUTES = ("id", "onclick", "role", "tabindex")
+WITH_TEXT = frozenset("a button h1 h2 h3 h4 h5 h6 label legend noscript option script summary textarea title".split())
+TEXT_ATTRIBUTES = ("data-reactroot", "id", "onclick", "role", "tabindex")
 #: Elements whose content is no text of the body.
 UNSEEN = frozenset("head noscript script style svg template title".split())
 PATH_PARTS = 6

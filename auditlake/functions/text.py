@@ -30,9 +30,9 @@ def excerpt(c: Column, most: int = 300) -> Column:
     return F.when(F.char_length(t) > most, F.concat(F.left(t, F.lit(most - 1)), F.lit("…"))).otherwise(t)
 
 
-def escape_attr(c: Column, most: int = 60) -> Column:
-    """Collapsed text, cut before it is escaped for an attribute."""
-    out = F.left(collapse(beginning(c, most)), F.lit(most))
+def escape_attr(c: Column, most: int | None = 60) -> Column:
+    """Collapsed text, cut before it is escaped for an attribute; None cuts nothing."""
+    out = collapse(c) if most is None else F.left(collapse(beginning(c, most)), F.lit(most))
     for raw, safe in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
     return out

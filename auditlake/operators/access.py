@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.operators.checks import finding, found, has, points
 from auditlake.operators.elements import attr
+from auditlake.operators.rules import Context, Facts, Outcome, Rule, alone, any_of, finding, first_of, has, points
 
 # Marks of challenges, of pages that need scripts, of mount points and of pagers.
 CHALLENGE_SOURCE = "recaptcha|hcaptcha|turnstile|challenges\\.cloudflare\\.com"
@@ -26,30 +26,78 @@ def marked(rule: str) -> Column:
     return says(attr("class"), rule) | says(attr("id"), rule)
 
 
-def access_facts(nodes: DataFrame) -> DataFrame:
-    """One row a page, by one aggregation over its elements and one over its lists.
+def access_marks() -> dict[str, Column]:
+    """A challenge is a script or frame of a known source, or an element marked as one; mounts are numbered."""
+    mount = F.coalesce(*[F.when(attr("id") == m, i + 1) for i, m in enumerate(MOUNTS)])
+    return {
+        "challenge": (F.col("tag").isin("script", "iframe") & says(attr("src"), CHALLENGE_SOURCE)) | marked(CHALLENGE_MARK),
+        "noscript": (F.col("tag") == "noscript") & says(F.col("text"), NEEDS_SCRIPT), "mount": mount, "root": attr("data-reactroot").isNotNull(),
+    }
 
-    A challenge stands on a form where it is the form or inside it; the first element of each mount point counts.
-    """
+
+def access_facts(m: Facts) -> dict[str, Column]:
+    """A challenge stands on a form where it is the form or inside it; the first element of each mount point counts."""
     tag, src, href = F.col("tag"), attr("src"), attr("href")
-    challenge = (tag.isin("script", "iframe") & says(src, CHALLENGE_SOURCE)) | marked(CHALLENGE_MARK)
     words = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))
     rel = F.split(F.lower(F.coalesce(attr("rel"), F.lit(""))), r"[ \t\n\f\r]+")
-    mount = [F.when(attr("id") == m, m) for m in MOUNTS]
-    first = lambda when: F.coalesce(F.min(F.when(when, F.struct("pre", "text")))["text"] == "", F.lit(False))
-    empty_mount = first(attr("data-reactroot").isNotNull())
-    for m in mount:
-        empty_mount = empty_mount | first(m.isNotNull())
-    per_list = nodes.where("tag = 'li'").groupBy("page_id", "parent").agg(F.count("*").alias("li")).groupBy("page_id").agg(F.max("li").alias("max_li"))
-    facts = nodes.groupBy("page_id").agg(
-        has(challenge).alias("challenge"), has(challenge & (F.col("form").isNotNull() | (tag == "form"))).alias("on_form"),
-        F.max(F.when(tag == "#page", words)).alias("words"), has((tag == "script") & src.isNotNull()).alias("scripted"), empty_mount.alias("empty_mount"),
-        has((tag == "noscript") & says(F.col("text"), NEEDS_SCRIPT)).alias("noscript"), has(((tag == "a") & href.isNotNull()) | (tag == "form")).alias("links"),
-        has((tag == "script") & says(F.col("text"), "__NEXT_DATA__|window\\.__NUXT__") | (attr("id") == "__NEXT_DATA__")).alias("framework"),
-        F.count_if(tag == "article").alias("articles"),
-        has((tag.isin("a", "link") & F.array_contains(rel, "next")) | ((tag == "a") & F.contains(href, F.lit("page="))) | marked(PAGER)).alias("paged"),
+    mounts = [m("root"), *[m("mount") == i + 1 for i in range(len(MOUNTS))]]
+    return {
+        "challenge": has(m("challenge")), "on_form": has(m("challenge") & (F.col("form").isNotNull() | (tag == "form"))), "words": F.max(F.when(tag == "#page", words)),
+        "scripted": has((tag == "script") & src.isNotNull()), **{f"mount{i}": first_of(mount, F.coalesce("text", F.lit(""))) for i, mount in enumerate(mounts)},
+        "noscript": has(m("noscript")), "links": has(((tag == "a") & href.isNotNull()) | (tag == "form")), "framework": has((tag == "#page") & attr("framework").isNotNull()),
+        "articles": F.count_if(tag == "article"), "max_li": F.max("items"),
+        "paged": has((tag.isin("a", "link") & F.array_contains(rel, "next")) | ((tag == "a") & F.contains(href, F.lit("page="))) | marked(PAGER)),
+    }
+
+
+def access_evidence(m: Facts) -> dict[str, tuple[Column, int]]:
+    return {
+        "challenge_paths": (m("challenge"), 3), "script_paths": (m("noscript") | m("root") | F.coalesce(m("mount") > 0, F.lit(False)), 3),
+        "list_paths": (F.coalesce(F.col("items") >= LONG_LIST, F.lit(False)), 1),
+    }
+
+
+def access_steps(f: Facts) -> dict[str, Column]:
+    headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
+    robots = F.lower(F.coalesce(headers["x-robots-tag"], F.lit("")))
+    noai = robots.rlike(r"(?<![a-z0-9_])(noai|noimageai)(?![a-z0-9_])")
+    bots = F.filter(F.map_keys(headers), lambda k: (k == "cf-mitigated") | any_of([k.startswith(h) for h in BOT_HEADERS]))
+    thin = (f.n("words") < FEW_WORDS) & f.yes("scripted")
+    empty = any_of([F.coalesce(f(f"mount{i}") == "", F.lit(False)) for i in range(1 + len(MOUNTS))])
+    fired = [thin, empty, f.yes("noscript"), ~f.yes("links"), thin & f.yes("framework")]
+    long_list = (f.n("max_li") >= LONG_LIST) | (f.n("articles") >= LONG_LIST)
+    return {
+        "noai": noai, "noindex": ~noai & robots.rlike(r"(?<![a-z0-9_])(noindex|none)(?![a-z0-9_])"), "bots": bots,
+        "js": sum((x.cast("int") for x in fired[1:]), fired[0].cast("int")), "unpaged": long_list & ~f.yes("paged"),
+    }
+
+
+def access_outcome(f: Facts) -> Outcome:
+    js, bots, challenge, on_form = f("js"), F.size(f("bots")) > 0, f.yes("challenge"), f.yes("on_form")
+    clear = ~f("noai") & ~f("noindex")
+    total = (
+        points(10, F.coalesce(F.col("status").between(200, 299), F.lit(False))) + points(10, clear) + points(10, ~bots)
+        + F.when(~challenge, 20).when(on_form, 0).otherwise(10)
+        + F.when(js == 0, 35).when(js == 1, 25).when(js == 2, 12).otherwise(0) + points(15, ~f("unpaged"))
     )
-    return facts.join(per_list, "page_id", "left").withColumn("max_li", F.coalesce("max_li", F.lit(0)))
+    score = F.when(js >= 3, F.least(total, F.lit(35))).when(js == 2, F.least(total, F.lit(60))).otherwise(total)
+    return Outcome(F.lit(True), score, F.when(js >= 2, "low").when((js == 1) | bots, "medium").otherwise("high"), [
+        finding(f("noai"), "access.headers.noai", "medium"),
+        finding(f("noindex"), "access.headers.noindex", "medium"),
+        finding(bots, "access.headers.bot-management", "low", headers=F.array_join(F.slice(f("bots"), 1, 3), ", ")),
+        finding(clear & ~bots, "access.headers.ok", "info", True),
+        finding(~challenge, "access.captcha.none", "info", True),
+        finding(on_form, "access.captcha.on-form", "high", evidence=f.paths("challenge_paths")),
+        finding(challenge & ~on_form, "access.captcha.present", "medium", evidence=f.paths("challenge_paths")),
+        finding(js == 0, "access.js.static", "info", True, words=f.n("words")),
+        finding(js == 1, "access.js.possible", "low", evidence=f.paths("script_paths"), n=js),
+        finding(js == 2, "access.js.likely", "medium", evidence=f.paths("script_paths"), n=js),
+        finding(js >= 3, "access.js.required", "high", evidence=f.paths("script_paths"), n=js),
+        finding(f("unpaged"), "access.scroll.no-pagination", "medium", evidence=f.paths("list_paths"), n=F.greatest(f.n("max_li"), f.n("articles"))),
+    ])
+
+
+ACCESS = Rule("access-renderability", access_facts, access_outcome, access_marks, access_evidence, (access_steps,))
 
 
 def check_access(pages: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -57,37 +105,4 @@ def check_access(pages: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Null headers are none, a null status is no success. Every page applies.
     """
-    p = pages.select("page_id", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")).join(access_facts(nodes), "page_id", "left")
-    robots = F.lower(F.coalesce(F.col("headers")["x-robots-tag"], F.lit("")))
-    noai = robots.rlike(r"(?<![a-z0-9_])(noai|noimageai)(?![a-z0-9_])")
-    noindex = ~noai & robots.rlike(r"(?<![a-z0-9_])(noindex|none)(?![a-z0-9_])")
-    bots = F.exists(F.map_keys("headers"), lambda k: (k == "cf-mitigated") | k.startswith(BOT_HEADERS[0]) | k.startswith(BOT_HEADERS[1]) | k.startswith(BOT_HEADERS[2]))
-    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
-    thin = (F.coalesce("words", F.lit(0)) < FEW_WORDS) & flag("scripted")
-    fired = [thin, flag("empty_mount"), flag("noscript"), ~flag("links"), thin & flag("framework")]
-    p = p.select("page_id", "status", noai.alias("noai"), noindex.alias("noindex"), bots.alias("bots"), flag("challenge").alias("challenge"), flag("on_form").alias("on_form"),
-                 sum((f.cast("int") for f in fired[1:]), fired[0].cast("int")).alias("js"),
-                 (((F.coalesce("max_li", F.lit(0)) >= LONG_LIST) | (F.coalesce("articles", F.lit(0)) >= LONG_LIST)) & ~flag("paged")).alias("unpaged"))
-    js, clear = F.col("js"), ~F.col("noai") & ~F.col("noindex")
-    total = (
-        points(10, F.coalesce(F.col("status").between(200, 299), F.lit(False))) + points(10, clear) + points(10, ~F.col("bots"))
-        + F.when(~F.col("challenge"), 20).when(F.col("on_form"), 0).otherwise(10)
-        + F.when(js == 0, 35).when(js == 1, 25).when(js == 2, 12).otherwise(0) + points(15, ~F.col("unpaged"))
-    )
-    score = F.when(js >= 3, F.least(total, F.lit(35))).when(js == 2, F.least(total, F.lit(60))).otherwise(total).cast("int")
-    findings = found(
-        finding(F.col("noai"), "access.headers.noai", "medium"),
-        finding(F.col("noindex"), "access.headers.noindex", "medium"),
-        finding(F.col("bots"), "access.headers.bot-management", "low"),
-        finding(clear & ~F.col("bots"), "access.headers.ok", "info", True),
-        finding(~F.col("challenge"), "access.captcha.none", "info", True),
-        finding(F.col("on_form"), "access.captcha.on-form", "high"),
-        finding(F.col("challenge") & ~F.col("on_form"), "access.captcha.present", "medium"),
-        finding(js == 0, "access.js.static", "info", True),
-        finding(js == 1, "access.js.possible", "low"),
-        finding(js == 2, "access.js.likely", "medium"),
-        finding(js >= 3, "access.js.required", "high"),
-        finding(F.col("unpaged"), "access.scroll.no-pagination", "medium"),
-    )
-    confidence = F.when(js >= 2, "low").when((js == 1) | F.col("bots"), "medium").otherwise("high").alias("confidence")
-    return p.select("page_id", F.lit(True).alias("applicable"), score.alias("score"), confidence, findings)
+    return alone(Context(pages, nodes), ACCESS)

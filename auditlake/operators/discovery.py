@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from auditlake.functions.net import origin, path_query, url_resolve
 from auditlake.functions.text import round_half_up
-from auditlake.operators.checks import finding, found, has, points, refuse
+from auditlake.functions.relations import refuse
 from auditlake.operators.elements import attr
-from auditlake.operators.robots import parse_robots, robots_allowed
+from auditlake.operators.rules import Context, Facts, Outcome, Rule, alone, finding, has, points
+from auditlake.operators.robots import parse_robots, verdicts
 
 #: What is asked for at every origin, and the crawlers that robots rules are tried for.
 TARGETS = [
@@ -75,93 +76,120 @@ def json_object(body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([json_facts(x) for x in body], columns=["object", "resource", "card"])
 
 
-def well_known_facts(sidecars: DataFrame) -> DataFrame:
-    """(page_id, resource, resource_ok, card, card_ok, other) of the well-known files that came and aren't markup."""
-    rows = sidecars.where("key = 'well-known' and status between 200 and 299").where(~soft_missing(F.col("body"))).withColumn("j", json_object("body"))
+def well_known() -> Column:
+    """An aggregate: the well-known files that came and aren't markup, in order, each with its kind and what it holds."""
     kind = F.when(F.contains("path", F.lit("oauth-protected-resource")), "resource").when(F.col("path").rlike(r"/mcp\.json$|server-card\.json$"), "card").otherwise("other")
-    first = lambda k, field: F.min_by(F.when(F.col("kind") == k, F.col(field)), F.when(F.col("kind") == k, F.col("ord")))
-    rows = rows.withColumn("kind", kind)
-    extra = Window.partitionBy("page_id", "kind").orderBy("ord")
-    rows = rows.withColumn("nth", F.row_number().over(extra))
-    return rows.groupBy("page_id").agg(
-        has(F.col("kind") == "resource").alias("resource"), F.coalesce(first("resource", "j.resource"), F.lit(False)).alias("resource_ok"),
-        has(F.col("kind") == "card").alias("card"), F.coalesce(first("card", "j.card"), F.lit(False)).alias("card_ok"),
-        has(((F.col("kind") == "other") | (F.col("nth") > 1)) & F.col("j.object")).alias("other"),
-    )
+    return F.array_sort(F.collect_list(F.when((F.col("key") == "well-known") & F.col("came") & ~soft_missing(F.col("body")), F.struct("ord", kind.alias("kind"), F.col("j").alias("j")))))
+
+
+def well_known_facts(files: Column) -> dict[str, Column]:
+    """What the first resource document and the first card hold, and whether another file is a JSON object."""
+    of = lambda kind: F.filter(files, lambda x: x["kind"] == kind)
+    first = lambda kind, field: F.coalesce(F.get(of(kind), F.lit(0))["j"][field], F.lit(False))
+    again = lambda x, i: F.exists(F.slice(files, F.lit(1), i), lambda y: y["kind"] == x["kind"])
+    other = F.filter(files, lambda x, i: x["j"]["object"] & ((x["kind"] == "other") | again(x, i)))
+    return {
+        "resource": F.size(of("resource")) > 0, "resource_ok": first("resource", "resource"), "card": F.size(of("card")) > 0, "card_ok": first("card", "card"), "other": F.size(other) > 0,
+    }
 
 
 def robots_facts(pages: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(page_id, blocks_all, n_blocked, sitemaps) of ``bodies`` (page_id, body): equal texts are parsed once, equal questions asked once."""
+    """(page_id, blocks_all, n_blocked, sitemaps) of ``bodies`` (page_id, body): equal texts are parsed once."""
     b = bodies.withColumn("site", F.sha2("body", 256))
     parsed = parse_robots(b.select("site", "body").dropDuplicates(["site"]))
-    asked = b.join(pages.select("page_id", path_query(F.col("url")).alias("path")), "page_id").select("page_id", "site", "path")
-    tokens = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.lit(r).alias("root")) for t, r in [("*", True), ("*", False), *[(c, False) for c in CRAWLERS]]])).alias("q")
-    asked = asked.select("page_id", "site", "path", tokens).select("page_id", "site", F.when(F.col("q.root"), "/").otherwise(F.col("path")).alias("path"), F.col("q.token").alias("token"), F.col("q.root").alias("root"))
-    allowed = robots_allowed(parsed, asked)
-    star = F.col("token") == "*"
-    out = asked.join(allowed, ["site", "token", "path"]).groupBy("page_id", "site").agg((~F.bool_or(F.when(star, F.col("allowed")))).alias("blocks_all"), F.count_if(~star & ~F.col("allowed")).alias("n_blocked"))
-    maps = parsed.where("kind = 'sitemap' and value <> ''").groupBy("site").agg(F.count("*").alias("sitemaps"))
-    return out.join(maps, "site", "left").select("page_id", "blocks_all", "n_blocked", F.coalesce("sitemaps", F.lit(0)).alias("sitemaps"))
+    tokens = F.array(*[F.lit(t) for t in ["*", *[c.lower() for c in CRAWLERS]]]).alias("tokens")
+    paths = F.explode(F.array_distinct(F.array(F.lit("/"), F.coalesce(path_query(F.col("url")), F.lit("/"))))).alias("path")
+    asked = b.join(pages.select("page_id", "url"), "page_id").select("page_id", "site", "url", paths, tokens)
+    got = verdicts(parsed, asked)
+    page = F.col("path") == F.coalesce(path_query(F.col("url")), F.lit("/"))
+    blocked = F.size(F.filter(F.slice("allowed", 2, len(CRAWLERS)), lambda x: ~x))
+    return got.groupBy("page_id").agg((~F.bool_or(F.col("allowed")[0])).alias("blocks_all"), F.max(F.when(page, blocked)).alias("n_blocked"), F.max("sitemaps").alias("sitemaps"))
 
 
-def check_discovery(pages: DataFrame, nodes: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Rows (page_id, applicable, score, confidence, findings) for ``pages`` (page_id, url) and ``sidecars``
-    (page_id, key, path, ord, observed, status, body); a page without rows there observed nothing.
+def discovery_marks() -> dict[str, Column]:
+    rel, kind, href = F.split(F.lower(F.coalesce(attr("rel"), F.lit(""))), r"[ \t\n\f\r]+"), F.coalesce(attr("type"), F.lit("")), F.coalesce(attr("href"), F.lit(""))
+    link, a = F.col("tag") == "link", F.col("tag") == "a"
+    api = link & (F.array_contains(rel, "openapi") | F.array_contains(rel, "service-desc") | kind.contains("openapi")) | (a & (href.contains("openapi.") | href.contains("swagger.")))
+    return {"api": api, "feed": link & kind.isin(*FEEDS)}
 
-    What wasn't observed leaves the score's denominator; what answered with an error counts as absent.
-    """
-    ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
-    seen = lambda key: has((F.col("key") == key) & (F.col("observed") | ok)).alias(f"saw_{key[:4].replace('.', '_')}")
-    body = lambda key: F.min_by(F.when((F.col("key") == key) & ok, F.col("body")), F.when((F.col("key") == key) & ok, F.col("ord")))
-    s = sidecars.groupBy("page_id").agg(
+
+def discovery_facts(m: Facts) -> dict[str, Column]:
+    return {"api_link": has(m("api")), "feed": has(m("feed"))}
+
+
+def discovery_evidence(m: Facts) -> dict[str, tuple[Column, int]]:
+    return {"api_paths": (m("api"), 2), "feed_paths": (m("feed"), 2)}
+
+
+def sidecar_facts(context: Context) -> DataFrame:
+    """Per page what its sidecars say, by one aggregation over them: which were observed, their bodies, well-known files; and robots rules for the page."""
+    came = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    known = F.col("key") == "well-known"
+    rows = context.sidecars.withColumn("came", came).withColumn("j", json_object(F.when(known & came, F.col("body"))))
+    seen = lambda key: has((F.col("key") == key) & (F.col("observed") | F.col("came"))).alias(f"saw_{key[:4].replace('.', '_')}")
+    mine = lambda key: (F.col("key") == key) & F.col("came")
+    body = lambda key: F.min_by(F.when(mine(key), F.col("body")), F.when(mine(key), F.col("ord")))
+    s = rows.groupBy("page_id").agg(
         seen("robots.txt"), seen("sitemap.xml"), seen("llms.txt"), seen("well-known"), body("robots.txt").alias("robots"), body("sitemap.xml").alias("sitemap"),
-        body("llms.txt").alias("llms"), has((F.col("key") == "linked-openapi") & ok).alias("api_file"),
+        body("llms.txt").alias("llms"), has(mine("linked-openapi")).alias("api_file"), well_known().alias("files"),
     )
+    s = s.select("*", *[c.alias(n) for n, c in well_known_facts(F.col("files")).items()]).drop("files")
     rules = s.where(F.col("robots").isNotNull() & ~soft_missing(F.col("robots"))).select("page_id", F.col("robots").alias("body"))
-    rel, kind, href = F.split(F.lower(F.coalesce(attr("rel"), F.lit(""))), r"\s+"), F.coalesce(attr("type"), F.lit("")), F.coalesce(attr("href"), F.lit(""))
-    link, a = F.col("tag") == "link", F.col("tag") == "a"
-    links = nodes.groupBy("page_id").agg(
-        has(link & (F.array_contains(rel, "openapi") | F.array_contains(rel, "service-desc") | kind.contains("openapi")) | (a & (href.contains("openapi.") | href.contains("swagger.")))).alias("api_link"),
-        has(link & kind.isin(*FEEDS)).alias("feed"),
-    )
-    p = pages.select("page_id").join(s, "page_id", "left").join(robots_facts(pages, rules), "page_id", "left").join(links, "page_id", "left").join(well_known_facts(sidecars), "page_id", "left")
-    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
-    parsed, declared = F.col("blocks_all").isNotNull(), F.coalesce("sitemaps", F.lit(0)) > 0
-    map_ok = F.coalesce(F.col("sitemap").rlike("(?i)<urlset|<sitemapindex"), F.lit(False))
-    no_all = parsed & ~flag("blocks_all")
+    return s.drop("robots").join(robots_facts(context.pages, rules), "page_id", "left")
+
+
+def discovery_steps(f: Facts) -> dict[str, Column]:
+    flag, parsed, declared = f.yes, f("blocks_all").isNotNull(), f.n("sitemaps") > 0
+    map_ok = F.coalesce(f("sitemap").rlike("(?i)<urlset|<sitemapindex"), F.lit(False))
     # Robots that block everything end the parse there: their sitemaps still count
-    p = p.select(
-        "page_id", flag("saw_robo").alias("robots_seen"), parsed.alias("parsed"), flag("blocks_all").alias("blocks_all"), F.coalesce("n_blocked", F.lit(0)).alias("n_blocked"), no_all.alias("open"),
-        (flag("saw_site") | map_ok | declared).alias("map_seen"), (map_ok | declared).alias("map"), flag("saw_llms").alias("llms_seen"),
-        (F.col("llms").isNotNull() & ~soft_missing(F.col("llms"))).alias("has_llms"), F.coalesce(F.col("llms").rlike(r"(?m)^#\s+\S"), F.lit(False)).alias("titled"),
-        (flag("api_file") | flag("api_link")).alias("api"), flag("feed").alias("feed"), flag("saw_well").alias("wk_seen"), (flag("resource_ok") | flag("card_ok")).alias("mcp"),
-        (flag("resource") | flag("card")).alias("mcp_any"), flag("other").alias("other"),
-    )
-    c = F.col
+    return {
+        "rb": flag("saw_robo"), "parsed": parsed, "all": flag("blocks_all"), "open": parsed & ~flag("blocks_all"), "mp": flag("saw_site") | map_ok | declared, "map": map_ok | declared,
+        "ll": flag("saw_llms"), "has_llms": f("llms").isNotNull() & ~soft_missing(f("llms")), "titled": F.coalesce(f("llms").rlike(r"(?m)^#\s+\S"), F.lit(False)),
+        "api": flag("api_file") | flag("api_link"), "wk": flag("saw_well"), "mcp": flag("resource_ok") | flag("card_ok"), "mcp_any": flag("resource") | flag("card"),
+    }
+
+
+def discovery_points(f: Facts) -> dict[str, Column]:
     got = (
-        F.when(c("robots_seen"), F.when(~c("parsed"), 15).when(c("blocks_all"), 0).otherwise(25)).otherwise(0) + points(25, c("map_seen") & c("map"))
-        + F.when(c("llms_seen") & c("has_llms"), F.when(c("titled"), 15).otherwise(10)).otherwise(0) + F.when(c("api"), 15).when(c("feed"), 10).otherwise(0)
-        + F.when(~c("wk_seen"), 0).when(c("mcp"), 20).when(c("mcp_any"), 5).when(c("other"), 8).otherwise(0)
+        F.when(f("rb"), F.when(~f("parsed"), 15).when(f("all"), 0).otherwise(25)).otherwise(0) + points(25, f("mp") & f("map"))
+        + F.when(f("ll") & f("has_llms"), F.when(f("titled"), 15).otherwise(10)).otherwise(0) + F.when(f("api"), 15).when(f.yes("feed"), 10).otherwise(0)
+        + F.when(~f("wk"), 0).when(f("mcp"), 20).when(f("mcp_any"), 5).when(f.yes("other"), 8).otherwise(0)
     )
-    most = points(25, c("robots_seen")) + points(25, c("map_seen")) + points(15, c("llms_seen")) + 15 + points(20, c("wk_seen"))
-    wk, ll, rb, mp = c("wk_seen"), c("llms_seen"), c("robots_seen"), c("map_seen")
-    findings = found(
-        finding(rb & c("blocks_all"), "discovery.robots.blocks-all", "critical"),
-        finding(rb & c("open") & (c("n_blocked") > 0), "discovery.robots.blocks-ai-agents", F.when(c("n_blocked") >= MANY_BLOCKED, "high").otherwise("medium")),
-        finding(rb & c("open") & (c("n_blocked") == 0), "discovery.robots.present", "info", True),
-        finding(rb & ~c("parsed"), "discovery.robots.missing", "low"),
-        finding(mp & c("map"), "discovery.sitemap.present", "info", True),
-        finding(mp & ~c("map"), "discovery.sitemap.missing", "medium"),
-        F.when(ll & c("has_llms"), F.struct(F.lit("discovery.llms.present").alias("id"), F.lit("info").alias("severity"), F.lit(True).alias("positive"), (~c("titled")).alias("remediation"))),
-        finding(ll & ~c("has_llms"), "discovery.llms.missing", "low"),
-        finding(c("api"), "discovery.openapi.present", "info", True),
-        finding(~c("api") & c("feed"), "discovery.feed.present", "info", True),
-        finding(~c("api") & ~c("feed"), "discovery.machine-entry.missing", "low"),
-        finding(wk & c("mcp"), "discovery.mcp.present", "info", True),
-        finding(wk & ~c("mcp") & c("mcp_any"), "discovery.mcp.invalid", "medium"),
-        finding(wk & ~c("mcp_any") & c("other"), "discovery.wellknown.other", "info", True),
-        finding(wk & ~c("mcp_any") & ~c("other"), "discovery.mcp.missing", "low"),
-        finding(~(rb & mp & ll & wk), "discovery.unobserved", "info", False, False),
-    )
-    confidence = F.when(most == 100, "high").when(most >= 60, "medium").otherwise("low").alias("confidence")
-    return p.select("page_id", F.lit(True).alias("applicable"), round_half_up(100.0 * got / most).alias("score"), confidence, findings)
+    most = points(25, f("rb")) + points(25, f("mp")) + points(15, f("ll")) + 15 + points(20, f("wk"))
+    return {"got": got, "most": most}
+
+
+def discovery_outcome(f: Facts) -> Outcome:
+    wk, ll, rb, mp, feed, other, blocked = f("wk"), f("ll"), f("rb"), f("mp"), f.yes("feed"), f.yes("other"), f.n("n_blocked")
+    unseen = F.array_join(F.array_compact(F.array(*[F.when(~c, name) for c, name in ((rb, "robots"), (mp, "sitemap"), (ll, "llms"), (wk, "well-known"))])), ", ")
+    confidence = F.when(f("most") == 100, "high").when(f("most") >= 60, "medium").otherwise("low")
+    return Outcome(F.lit(True), round_half_up(100.0 * f("got") / f("most")), confidence, [
+        finding(rb & f("all"), "discovery.robots.blocks-all", "critical"),
+        finding(rb & f("open") & (blocked > 0), "discovery.robots.blocks-ai-agents", F.when(blocked >= MANY_BLOCKED, "high").otherwise("medium"), n=blocked),
+        finding(rb & f("open") & (blocked == 0), "discovery.robots.present", "info", True),
+        finding(rb & ~f("parsed"), "discovery.robots.missing", "low"),
+        finding(mp & f("map"), "discovery.sitemap.present", "info", True),
+        finding(mp & ~f("map"), "discovery.sitemap.missing", "medium"),
+        finding(ll & f("has_llms"), "discovery.llms.present", "info", True, ~f("titled")),
+        finding(ll & ~f("has_llms"), "discovery.llms.missing", "low"),
+        finding(f("api"), "discovery.openapi.present", "info", True, evidence=f.paths("api_paths")),
+        finding(~f("api") & feed, "discovery.feed.present", "info", True, evidence=f.paths("feed_paths")),
+        finding(~f("api") & ~feed, "discovery.machine-entry.missing", "low"),
+        finding(wk & f("mcp"), "discovery.mcp.present", "info", True),
+        finding(wk & ~f("mcp") & f("mcp_any"), "discovery.mcp.invalid", "medium"),
+        finding(wk & ~f("mcp_any") & other, "discovery.wellknown.other", "info", True),
+        finding(wk & ~f("mcp_any") & ~other, "discovery.mcp.missing", "low"),
+        finding(~(rb & mp & ll & wk), "discovery.unobserved", "info", False, False, which=unseen),
+    ])
+
+
+DISCOVERY = Rule("agent-discovery", discovery_facts, discovery_outcome, discovery_marks, discovery_evidence, (discovery_steps, discovery_points), sidecar_facts)
+
+
+def check_discovery(pages: DataFrame, nodes: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Rows (page_id, applicable, score, confidence, findings) for ``pages`` (page_id, url) and ``sidecars``
+    (page_id, key, path, ord, observed, status, body); a page without rows there observed nothing.
+
+    What wasn't observed leaves the score's denominator; what answered with an error counts as absent.
+    """
+    return alone(Context(pages, nodes, sidecars), DISCOVERY)

@@ -9,68 +9,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.html import Element, read
+from auditlake.functions.relations import EXCLUDED_TYPES, Related, related
+from auditlake.functions.text import trim_space
 from auditlake.sources.cuts import cut
 
-ROW = "pre int, last int, depth int, parent int, tag string, attrs map<string,string>, text string, form int, label int, alt_inside boolean, path string"
-ARROW = [pa.int32()] * 4 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+CONTROL = "struct<label:string,name:string,owner:int,submits:boolean,said:string>"
+FORM = "struct<index:int,heading:string,legend:string,submit:string,controls:int,searches:int,told:int,untold:int,nameless:int>"
+LD = "struct<valid:boolean,known:boolean,types:array<string>>"
+ROW = f"""pre int, last int, depth int, parent int, tag string, attrs map<string,string>, text string, form int, label int, alt_inside boolean, path string,
+items int, before int, control {CONTROL}, form_facts {FORM}, ld {LD}"""
+INT, TEXT, FLAG = pa.int32(), pa.string(), pa.bool_()
+ARROW = [
+    INT, INT, INT, INT, TEXT, pa.map_(TEXT, TEXT), TEXT, INT, INT, FLAG, TEXT, INT, INT,
+    pa.struct({"label": TEXT, "name": TEXT, "owner": INT, "submits": FLAG, "said": TEXT}),
+    pa.struct({"index": INT, "heading": TEXT, "legend": TEXT, "submit": TEXT} | dict.fromkeys(("controls", "searches", "told", "untold", "nameless"), INT)),
+    pa.struct({"valid": FLAG, "known": FLAG, "types": pa.list_(TEXT)}),
+]
+FIELDS = [*Element._fields, *Related._fields]
 PIECE = 20_000  # elements of one batch
-EXCLUDED_TYPES = ("hidden", "submit", "button", "reset", "image")
+#: Marks anywhere in a page's markup that its ``#page`` row names among its attributes.
+MARKS = {"framework": ("__NEXT_DATA__", "window.__NUXT__")}
 
 
-def shred(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row for each element: ``page_id`` and the fields of ``Element``; and one, of tag ``#page``, with the body's text.
+def shred(pages: DataFrame, key: str = "page_id", html: str = "html", kept: bool = True) -> DataFrame:
+    """One row for each element: ``page_id``, the fields of ``Element`` and of ``Related``; and one, of tag ``#page``, with the body's text.
 
-    Null and empty pages have that row alone, its text empty.
+    Null and empty pages have that row alone, its text empty. ``kept`` cuts the plan, for elements that are used more than once.
     """
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at: list[int] = []
-            rows: list[Element] = []
+            rows: list[tuple] = []
             for r, page in enumerate(b.column("html").to_pylist()):
                 found, body = read(page)
-                found.append(Element(len(found), len(found), 0, None, "#page", {}, body, None, None, False))
-                at += [r] * len(found)
-                rows += found
+                rows += [(*e, *more) for e, more in zip(found, related(found))]
+                marks = {name: "" for name, needles in MARKS.items() if page and any(n in page for n in needles)}
+                rows.append((*Element(len(found), len(found), 0, None, "#page", marks, body, None, None, False), *Related()))
+                at += [r] * (len(found) + 1)
                 if len(rows) >= PIECE:
                     yield batch(b, at, rows)
                     at, rows = [], []
             yield batch(b, at, rows)
 
-    def batch(b: pa.RecordBatch, at: list[int], rows: list[Element]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * len(Element._fields)
+    def batch(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(FIELDS)
         columns[5] = [list(a.items()) for a in columns[5]]
         made = [pa.array(c, t) for c, t in zip(columns, ARROW)]
-        return pa.RecordBatch.from_arrays([b.column("page_id").take(pa.array(at, pa.int64())), *made], ["page_id", *Element._fields])
+        return pa.RecordBatch.from_arrays([b.column("page_id").take(pa.array(at, pa.int64())), *made], ["page_id", *FIELDS])
 
     source = pages.select(pages[key].alias("page_id"), pages[html].alias("html"))
-    return cut(source.mapInArrow(run, f"page_id {kind}, {ROW}"))
+    found = source.mapInArrow(run, f"page_id {kind}, {ROW}")
+    return cut(found) if kept else found
 
 
 def attr(name: str) -> Column:
-    return F.col("attrs")[name]
+    return F.expr(f"attrs['{name}']")
 
 
 def filled(c: Column) -> Column:
     """The value without white space around it, or null where nothing is left."""
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(trim_space(c), F.lit(""))
 
 
 def heading_stats(nodes: DataFrame) -> DataFrame:
     """Per page with headings: headings, h1s, skips (a level more than one below the heading before; the first never)."""
-    level = F.substring("tag", 2, 1).cast("int")
-    heads = nodes.where(F.col("tag").rlike("^h[1-6]$")).select("page_id", "pre", level.alias("level"))
-    before = F.lag("level").over(Window.partitionBy("page_id").orderBy("pre"))
-    heads = heads.withColumn("skip", F.col("level") > before + 1)
-    return heads.groupBy("page_id").agg(F.count("*").alias("headings"), F.count_if(F.col("level") == 1).alias("h1s"), F.count_if("skip").alias("skips"))
+    level = heading_level()
+    facts = [F.count(level).alias("headings"), F.count_if(level == 1).alias("h1s"), F.count_if(level > F.col("before") + 1).alias("skips")]
+    return nodes.groupBy("page_id").agg(*facts).where("headings > 0")
+
+
+def heading_level() -> Column:
+    return F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
 
 
 def list_stats(nodes: DataFrame) -> DataFrame:
-    """Per page with lists or articles: max_li (most ``li`` right below one list) and articles."""
-    per_list = nodes.groupBy("page_id", F.when(F.col("tag") == "li", F.col("parent")).alias("list"))
-    per_list = per_list.agg(F.count_if(F.col("tag") == "li").alias("li"), F.count_if(F.col("tag") == "article").alias("articles"))
-    out = per_list.groupBy("page_id").agg(F.max("li").alias("max_li"), F.sum("articles").alias("articles"))
+    """Per page with lists or articles: max_li (most ``li`` right below one ``ul`` or ``ol``) and articles."""
+    out = nodes.groupBy("page_id").agg(F.coalesce(F.max("items"), F.lit(0)).alias("max_li"), F.count_if(F.col("tag") == "article").alias("articles"))
     return out.where("max_li > 0 or articles > 0")
 
 
@@ -81,42 +97,8 @@ def samples(rows: DataFrame, most: int) -> DataFrame:
 
 
 def controls(nodes: DataFrame) -> DataFrame:
-    """Form controls, each with its label's text, accessible name, owning form and whether that form has a submit.
-
-    A label that names the control's id comes before one around it; the first in document order counts. A ``form``
-    attribute decides alone; without it the outermost form around the control owns it. Containment is judged by place.
-    """
+    """Form controls, each with its label's text, accessible name, owning form and whether that form has a submit (see ``Related``)."""
     kind = F.lower(F.coalesce(attr("type"), F.lit("text")))
-    is_control = ((F.col("tag") == "input") & ~kind.isin(*EXCLUDED_TYPES)) | F.col("tag").isin("textarea", "select")
-    c = nodes.where(is_control).withColumn("kind", kind).withColumn("id", attr("id"))
-
-    def first(rows: DataFrame, by: Column, name: str, value: str) -> DataFrame:
-        got = F.min(F.struct(F.col("pre"), F.col(value).alias("v")))
-        return rows.groupBy("page_id", by.alias(name)).agg(got["v"].alias(f"{name}_{value}")).withColumnRenamed("page_id", f"{name}_page")
-
-    def on(left: DataFrame, right: DataFrame, name: str, value: Column) -> DataFrame:
-        return left.join(right, (left["page_id"] == right[f"{name}_page"]) & (value == right[name]), "left").drop(f"{name}_page")
-
-    labels = nodes.where("tag = 'label'")
-    c = on(c, first(labels.where(attr("for").isNotNull()), attr("for"), "named", "text"), "named", F.nullif(F.col("id"), F.lit("")))
-    c = on(c, first(labels, F.col("pre"), "around", "text"), "around", F.col("label"))
-    c = c.withColumn("label_text", F.coalesce(F.when(F.col("named").isNotNull(), F.coalesce("named_text", F.lit(""))), "around_text", F.lit("")))
-
-    ids = first(nodes.where(attr("id").isNotNull()), attr("id"), "ref", "text")
-    tokens = c.where(filled(attr("aria-labelledby")).isNotNull())
-    tokens = tokens.select("page_id", "pre", F.posexplode(F.split(filled(attr("aria-labelledby")), r"\s+")).alias("ord", "token"))
-    tokens = on(tokens, ids, "ref", F.col("token")).where("ref_text <> ''")
-    by = tokens.groupBy(F.col("page_id").alias("by_page"), F.col("pre").alias("by_pre")).agg(F.array_sort(F.collect_list(F.struct("ord", "ref_text"))).alias("refs"))
-    by = by.select("by_page", "by_pre", F.array_join(F.col("refs")["ref_text"], " ").alias("by_text"))
-    c = c.join(by, (c["page_id"] == by["by_page"]) & (c["pre"] == by["by_pre"]), "left").drop("by_page", "by_pre")
-    c = c.withColumn("name", F.coalesce(filled(attr("aria-label")), "by_text", F.nullif("label_text", F.lit("")), filled(attr("title"))))
-
-    forms = nodes.where("tag = 'form'")
-    c = on(c, first(forms.where(attr("id").isNotNull()), attr("id"), "owner", "pre"), "owner", F.nullif(attr("form"), F.lit("")))
-    c = c.withColumn("owned_by", F.when(F.nullif(attr("form"), F.lit("")).isNotNull(), F.col("owner_pre")).otherwise(F.col("form")))
-    sends = ((F.col("tag") == "button") & (F.lower(F.coalesce(attr("type"), F.lit("submit"))) == "submit")) | (
-        (F.col("tag") == "input") & F.lower(attr("type")).isin("submit", "image")
-    )
-    senders = nodes.where(sends & F.col("form").isNotNull()).select(F.col("page_id").alias("s_page"), F.col("form").alias("s_form")).distinct()
-    c = c.join(senders, (c["page_id"] == senders["s_page"]) & (c["owned_by"] == senders["s_form"]), "left")
-    return c.select("page_id", "pre", "tag", "kind", "attrs", "label_text", "name", "owned_by", F.col("s_form").isNotNull().alias("submits"))
+    c = nodes.where(F.col("control").isNotNull())
+    facts = [F.col("control.label").alias("label_text"), F.col("control.name").alias("name"), F.col("control.owner").alias("owned_by"), F.col("control.submits").alias("submits")]
+    return c.select("page_id", "pre", "tag", kind.alias("kind"), "attrs", *facts)

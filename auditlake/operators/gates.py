@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.net import content_type_allowed, looks_like_html, origin, url_resolve
-from auditlake.operators.checks import has
+from auditlake.operators.rules import has
 
 PAGE_TYPES = ["text/html", "application/xhtml+xml"]
 CHALLENGE_CHARS = 20_000

@@ -20,8 +20,16 @@ RUBRIC = [
 SEVERITY = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 
 
+#: Categories that were registered beside those above: weight, step, layer by category.
+MORE: dict[str, tuple[int, str, str]] = {}
+
+
+def rubric_rows() -> list[tuple[str, int, str, str]]:
+    return [*RUBRIC, *((category, *rest) for category, rest in MORE.items())]
+
+
 def rubric(spark: SparkSession) -> DataFrame:
-    rows = [(i, *r) for i, r in enumerate(RUBRIC)]
+    rows = [(i, *r) for i, r in enumerate(rubric_rows())]
     return spark.createDataFrame(rows, "ord int, category string, weight int, step string, layer string")
 
 
@@ -37,29 +45,41 @@ def with_rubric(results: DataFrame) -> DataFrame:
     return joined.withColumn("applicable", F.coalesce("applicable", F.lit(True)))
 
 
-def weighted_mean(weight: Column, score: Column, where: Column) -> Column:
-    """Of the rows where ``where`` holds and a score is known, rounded half up; null without weight."""
-    known = where & score.isNotNull()
-    return round_half_up(F.try_divide(F.sum(F.when(known, weight * score)), F.sum(F.when(known, weight))))
+def mean_of(weighted: Column, weight: Column) -> Column:
+    """Rounded half up; null without weight."""
+    return round_half_up(F.try_divide(weighted, F.nullif(weight, F.lit(0))))
+
+
+def looked_up(place: int) -> Column:
+    """A category's weight (1) or layer (3), null for one outside the rubric."""
+    return F.create_map(*[F.lit(x) for r in rubric_rows() for x in (r[0], r[place])])[F.col("category")]
 
 
 def summarize(results: DataFrame) -> DataFrame:
-    """One row a page from rows (page_id, category, applicable, score)."""
-    r = with_rubric(results)
-    w, s, on = F.col("weight"), F.col("score"), F.col("applicable")
-    power = F.col("layer") == "superpower"
-    full = F.when(power, F.lit(100)).otherwise(s)
-    coverage = F.try_divide(F.sum(F.when(on & s.isNotNull(), w)), F.sum(F.when(on, w)))
-    out = r.groupBy("page_id").agg(
-        weighted_mean(w, s, on).alias("overall"),
-        (F.floor(F.coalesce(coverage, F.lit(0.0)) * 100 + 0.5) / 100).alias("coverage"),
-        weighted_mean(w, s, on & ~power).alias("survival"),
-        F.max(F.when(power & on, s)).alias("superpower"),
-        weighted_mean(w, full, on).alias("with_full"),
-        F.bool_or(power & on & (F.coalesce(s, F.lit(0)) < 100)).alias("open"),
-    )
-    chance = F.when(F.col("overall").isNotNull() & F.col("open"), F.col("with_full"))
-    return out.select("page_id", "overall", letter_grade(F.col("overall")).alias("grade"), "coverage", "survival", "superpower", chance.alias("opportunity"))
+    """One row a page from rows (page_id, category, applicable, score); a category without a row applies, unscored.
+
+    One aggregation: the categories that are there are bits of a mask, and those that lack add what an unscored one would.
+    """
+    bits = F.create_map(*[F.lit(x) for i, r in enumerate(rubric_rows()) for x in (r[0], 1 << i)])[F.col("category")]
+    r = results.select("page_id", "category", F.coalesce("applicable", F.lit(True)).alias("on"), "score", looked_up(1).alias("weight"), looked_up(3).alias("layer"), bits.alias("bit")).where("weight is not null")
+    w, on, s, power = F.col("weight"), F.col("on"), F.col("score"), F.col("layer") == "superpower"
+    known = on & s.isNotNull()
+    total = lambda when, what: F.sum(F.when(when, what).otherwise(0))
+    g = r.groupBy("page_id").agg(
+        total(known, w * s).alias("ws"), total(known, w).alias("kw"), total(on, w).alias("ow"), total(known & ~power, w * s).alias("sws"), total(known & ~power, w).alias("skw"),
+        F.max(F.when(power & on, s)).alias("superpower"), total(power & on, w).alias("pw"), F.bool_or(power & on & (F.coalesce(s, F.lit(0)) < 100)).alias("open"), F.bit_or("bit").alias("seen"),
+    )
+    lacking = [(F.col("seen").bitwiseAND(F.lit(1 << i)) == 0, r[1], r[3] == "superpower") for i, r in enumerate(rubric_rows())]
+    more = sum((F.when(c, weight).otherwise(0) for c, weight, _ in lacking), F.lit(0))
+    more_power = sum((F.when(c, weight).otherwise(0) for c, weight, p in lacking if p), F.lit(0))
+    overall = mean_of(F.col("ws"), F.col("kw"))
+    coverage = F.coalesce(F.try_divide(F.col("kw").cast("double"), F.col("ow") + more), F.lit(0.0))
+    full = mean_of(F.col("sws") + 100 * (F.col("pw") + more_power), F.col("skw") + F.col("pw") + more_power)
+    chance = F.when(overall.isNotNull() & (F.coalesce("open", F.lit(False)) | (more_power > 0)), full)
+    return g.select(
+        "page_id", overall.alias("overall"), letter_grade(overall).alias("grade"), (F.floor(coverage * 100 + 0.5) / 100).alias("coverage"),
+        mean_of(F.col("sws"), F.col("skw")).alias("survival"), "superpower", chance.alias("opportunity"),
+    )
 
 
 def category_weights(results: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ CASE WHEN bots THEN 'access.headers.bot-management' END, CASE WHEN noai THEN 'ac
 CASE js WHEN 0 THEN 'access.js.static' WHEN 1 THEN 'access.js.possible' WHEN 2 THEN 'access.js.likely' ELSE 'access.js.required' END, CASE WHEN unpaged THEN 'access.scroll.no-pagination' END) AS ids FROM access""")
 def check_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = site(spark, sf_dir)
-    return plain(access.check_access(pages, shred(pages)))
+    return plain(access.check_access(pages, shred(pages, kept=False)))
 
 
 WEBMCP_SQL = f"""{S_SQL}, w AS (SELECT *, coalesce("permissions-policy" LIKE '%tools=()%', false) AS off, coalesce("origin-agent-cluster" = '?0', false) AS alone, "origin-trial" IS NOT NULL AS trial,
@@ -94,7 +94,7 @@ CASE WHEN broken OR valid THEN 'webmcp.imperative.referenced' END, CASE WHEN NOT
 CASE WHEN trial THEN 'webmcp.origin-trial.present' END, CASE WHEN off THEN 'webmcp.policy.disabled' END, CASE WHEN NOT broken AND NOT valid AND NOT off THEN 'webmcp.stub.imperative' END) AS ids FROM tools""")
 def check_webmcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = site(spark, sf_dir)
-    return plain(tools.check_webmcp(pages, shred(pages)))
+    return plain(tools.check_webmcp(pages, shred(pages, kept=False)))
 
 
 DISCOVERY_SQL = f"""{S_SQL}, d AS (SELECT *, page_id % 5 AS r, page_id % 3 AS s, page_id % 4 AS l, page_id % 7 AS w, html LIKE '%service-desc%' OR html LIKE '%swagger.%' AS api FROM b),
@@ -110,7 +110,7 @@ CASE r WHEN 1 THEN 'discovery.robots.missing' WHEN 2 THEN 'discovery.robots.bloc
 CASE WHEN s = 0 OR r = 3 THEN 'discovery.sitemap.present' WHEN s = 1 THEN 'discovery.sitemap.missing' END, CASE WHEN most < 100 THEN 'discovery.unobserved' END, CASE WHEN w = 2 THEN 'discovery.wellknown.other' END) AS ids FROM disc""")
 def check_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = site(spark, sf_dir)
-    return plain(discovery.check_discovery(pages, shred(pages), sidecars(spark, sf_dir)))
+    return plain(discovery.check_discovery(pages, shred(pages, kept=False), sidecars(spark, sf_dir)))
 
 
 AUDIT_SQL = f"""{ACCESS_SQL}, {WEBMCP_SQL.removeprefix(S_SQL + ", ")}, {DISCOVERY_SQL.removeprefix(S_SQL + ", ")},
@@ -134,19 +134,21 @@ s2 AS (SELECT page_id, overall, CASE WHEN overall >= 90 THEN 'A' WHEN overall >=
   CASE WHEN superpower < 100 THEN full_marks END AS opportunity FROM s1)"""
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(audit.run_checks(site(spark, sf_dir), sidecars(spark, sf_dir)))
+def results(spark: SparkSession, sf_dir: str, kept: bool = True) -> DataFrame:
+    """Outcomes of all checks; ``kept`` where they are used more than once."""
+    out = audit.run_checks(site(spark, sf_dir), sidecars(spark, sf_dir))
+    return cut(out) if kept else out
 
 
 @query(f"WITH {AUDIT_SUMMARY_SQL} SELECT * FROM s2")
 def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From pages to scores: six checks over one element table, summed up to a row a page."""
-    return scoring.summarize(results(spark, sf_dir))
+    return scoring.summarize(results(spark, sf_dir, kept=False))
 
 
 @query(f"WITH {AUDIT_SQL} SELECT page_id, category, applicable, CAST(score AS INT) AS score FROM c")
 def audit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("page_id", "category", "applicable", "score")
+    return results(spark, sf_dir, kept=False).select("page_id", "category", "applicable", "score")
 
 
 @query(f"WITH {AUDIT_SUMMARY_SQL} SELECT page_id, overall, grade, cats, scores FROM s2 JOIN (SELECT page_id, count(*) AS cats, string_agg(coalesce(CAST(CAST(score AS INT) AS VARCHAR), 'none'), ',' ORDER BY category) AS scores FROM c GROUP BY page_id) USING (page_id)")
@@ -219,16 +221,34 @@ def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", F.col("params").isNull().alias("left"), (F.col("form_index") + 1).cast("int").alias("form_index_ok"), "params", "schema")
 
 
-@query("""WITH v AS (SELECT page_id, page_id % 8 AS k, regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '\\s+', ' ', 'g') AS h FROM pages)
-SELECT page_id, CASE WHEN k = 6 THEN 'book_table' WHEN k IN (1, 7) THEN regexp_replace(left(regexp_replace(regexp_replace(lower(CASE WHEN k = 7 THEN 'x' ELSE h END), '[^a-z0-9]+', '_', 'g'), '^_+', ''), 40), '_+$', '') ELSE 'search_site' END AS tool_name FROM v""")
+#: A form whose name comes from its id, its name, its submit's text, or the heading before it; pages without one get a search.
+NAMED_FORM = """CASE page_id % 5 WHEN 0 THEN html ELSE replace(html, '</article>', CASE page_id % 5 WHEN 1 THEN '<form id="Book-it' || page_id || '" action="/b?a=1&amp;b=2">' WHEN 2 THEN '<form name="n ' || page_id || '"><legend> Your
+ order </legend>' ELSE '<form>' END || '<label for="q"></label><label for="q">Second</label><label>Wrap &lt;b&gt; <input id="q" name="q' || (page_id % 3) || '" required></label><input type="file" name="f"><textarea name="notes" aria-label="Notes"></textarea>'
+ || CASE page_id % 5 WHEN 3 THEN '<button> Reserve a table </button>' ELSE '' END || '</form></article>') END"""
+
+
+@query(f"""WITH v AS (SELECT page_id, page_id % 5 AS k, list_last(list_filter(list_transform(regexp_extract_all(split_part(html, '</article>', 1), '<h[1-3][^>]*>([^<]*)</h', 1), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')) AS h, {{0}} AS o FROM pages),
+n AS (SELECT *, CASE k WHEN 1 THEN 'Book-it' || page_id WHEN 2 THEN 'n ' || page_id WHEN 3 THEN 'Reserve a table' ELSE h END AS raw, CASE k WHEN 2 THEN 'Your order' ELSE coalesce(h, CASE k WHEN 3 THEN 'Reserve a table' END) END AS told FROM v),
+m AS (SELECT *, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), '^_+', ''), 40), '_+$', ''), ''), 'submit_form') AS name FROM n),
+d AS (SELECT *, coalesce(left(told, 120), 'Submit the ' || name || ' form') AS about FROM m)
+SELECT page_id, CASE k WHEN 0 THEN 'search_site' ELSE name END AS tool_name, CASE k WHEN 0 THEN 'Search ' || o ELSE about END AS description,
+CASE WHEN k > 0 THEN '<form' || CASE k WHEN 1 THEN ' id="Book-it' || page_id || '" action="/b?a=1&amp;b=2"' WHEN 2 THEN ' name="n ' || page_id || '"' ELSE '' END || ' toolname="' || name || '" tooldescription="'
+ || replace(replace(replace(replace(about, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') || '">' || chr(10) || '  <input id="q" name="q' || (page_id % 3) || '" type="text" toolparamdescription="Wrap &lt;b&gt;">' || chr(10)
+ || '  <textarea name="notes" toolparamdescription="Notes"></textarea>' || chr(10) || '</form>' END AS form_markup FROM d""".replace("{0}", "lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"))
 def tool_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = site(spark, sf_dir)
-    return tools.tool_stubs(pages, shred(pages)).select("page_id", "tool_name")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(NAMED_FORM).alias("html"))
+    return tools.tool_stubs(pages, shred(pages)).select("page_id", "tool_name", "description", "form_markup")
+
+
+#: An inline frame alone, one beside text, one beside a form, a frameset.
+FRAMED = """CASE page_id % 6 WHEN 1 THEN '<body><p>See</p><iframe src="/a"></iframe></body>' WHEN 2 THEN replace(html, '</article>', '<iframe src="/a"></iframe></article>') WHEN 3 THEN '<body><iframe src="/a"></iframe><form></form></body>'
+WHEN 4 THEN '<html><frameset><frame src="/a"></frameset></html>' WHEN 5 THEN '<main></main><iframe></iframe>' ELSE html END"""
 
 
-@query(f"SELECT page_id, regexp_matches(html, '<(frameset)') OR (k = 9 AND words < 30) AS frame_shell FROM (SELECT page_id, html, words, k FROM (WITH {S_SQL} SELECT * FROM b))")
+@query(f"""SELECT page_id, html LIKE '%<frameset%' OR (html LIKE '%<iframe%' AND html NOT LIKE '%<form%' AND html NOT LIKE '%<main%' AND words < 30) AS frame_shell FROM (SELECT page_id, html, len(regexp_extract_all({TEXT_SQL}, '\\S+')) AS words FROM (SELECT page_id, {FRAMED} AS html FROM pages))""")
 def frame_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.frame_shells(shred(site(spark, sf_dir)))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(FRAMED).alias("html"))
+    return gates.frame_shells(shred(pages, kept=False))
 
 
 ANSWERS = """CASE page_id % 7 WHEN 1 THEN 'timeout' END AS failure, page_id % 11 <> 3 AS allowed, CASE page_id % 5 WHEN 1 THEN 'application/json' WHEN 2 THEN 'TEXT/HTML; charset=utf-8' ELSE 'text/html' END AS content_type,

@@ -37,18 +37,18 @@ s AS (SELECT *, len(l) AS headings, len(list_filter(l, lambda x: x = 1)) AS h1s,
 
 @query(f"WITH {HEADS_SQL} SELECT page_id, headings, h1s, skips FROM s WHERE headings > 0")
 def heading_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements.heading_stats(elements.shred(variants(spark, sf_dir)))
+    return elements.heading_stats(elements.shred(variants(spark, sf_dir), kept=False))
 
 
 @query("""WITH l AS (SELECT page_id, html, list_transform(regexp_extract_all(html, '<[uo]l[^>]*>.*?</[uo]l>', 0, 's'), lambda x: len(regexp_extract_all(x, '<li[ >]'))) AS n FROM pages)
 SELECT page_id, coalesce(list_max(n), 0) AS max_li, len(regexp_extract_all(html, '<article[ >]')) AS articles FROM l WHERE len(n) > 0 OR html LIKE '%<article%'""")
 def max_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements.list_stats(elements.shred(table(spark, sf_dir, "pages")))
+    return elements.list_stats(elements.shred(table(spark, sf_dir, "pages"), kept=False))
 
 
 @query(f"WITH {V_SQL} SELECT page_id, 1 AS blocks, CASE k WHEN 6 THEN 1 ELSE 0 END AS valid, CASE k WHEN 6 THEN 1 ELSE 0 END AS schema_org, CASE k WHEN 6 THEN 'A,B' ELSE '' END AS types FROM v WHERE k IN (6, 7)")
 def jsonld_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.jsonld_stats(elements.shred(variants(spark, sf_dir))).withColumn("types", F.array_join("types", ","))
+    return checks.jsonld_stats(elements.shred(variants(spark, sf_dir), kept=False)).withColumn("types", F.array_join("types", ","))
 
 
 
@@ -80,7 +80,7 @@ CASE WHEN m THEN 'structure.landmarks.present' ELSE 'structure.landmarks.no-main
 CASE WHEN NOT d THEN 'structure.og.missing' END) AS ids FROM f""")
 def check_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = variants(spark, sf_dir)
-    return plain(checks.check_structure(pages, elements.shred(pages)))
+    return plain(checks.check_structure(pages, elements.shred(pages, kept=False)))
 
 
 @query(f"""WITH c(k, score, ids) AS (VALUES (1, 100, 'forms.autocomplete.ok,forms.label.ok,forms.required.ok,forms.submit.ok,forms.type.ok'),
@@ -89,7 +89,7 @@ def check_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, score IS NOT NULL AS applicable, score, 'high' AS confidence, coalesce(ids, 'forms.none') AS ids FROM v LEFT JOIN c USING (k)""")
 def check_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = variants(spark, sf_dir)
-    return plain(checks.check_forms(pages, elements.shred(pages)))
+    return plain(checks.check_forms(pages, elements.shred(pages, kept=False)))
 
 
 @query(f"""WITH {V_SQL}, a AS (SELECT page_id, k, html, len(regexp_extract_all(html, '<a [^>]*href="[^"#]')) + CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS native,
@@ -100,4 +100,4 @@ CASE WHEN native + soup = 0 THEN 'actions.none' ELSE concat_ws(',', CASE WHEN so
 CASE WHEN soup > 0 THEN 'actions.soup.dead-links,actions.soup.handlers,actions.soup.role-only' END) END AS ids FROM a""")
 def check_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = variants(spark, sf_dir)
-    return plain(checks.check_actions(pages, elements.shred(pages)))
+    return plain(checks.check_actions(pages, elements.shred(pages, kept=False)))

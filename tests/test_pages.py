@@ -3,6 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from auditlake.functions import relations
 from auditlake.functions.html import elements
 from auditlake.operators import checks
 from auditlake.operators.elements import controls, shred
@@ -74,5 +75,5 @@ def test_kinds_of_soup(spark):
 
 
 def test_contexts_are_inherited_through_graphs_only():
-    assert checks.block_types('{"@context":{"x":["http://SCHEMA.org"]},"@type":" A ","child":{"@type":"B"},"@graph":[[{"@type":"C"}]]}') == (True, True, ["A", "C"])
-    assert checks.block_types('{"@type":"A"}') == (True, False, []) and checks.block_types("NaN") == (False, False, []) and checks.block_types("[") == (False, False, [])
+    assert relations.block_types('{"@context":{"x":["http://SCHEMA.org"]},"@type":" A ","child":{"@type":"B"},"@graph":[[{"@type":"C"}]]}') == (True, True, ["A", "C"])
+    assert relations.block_types('{"@type":"A"}') == (True, False, []) and relations.block_types("NaN") == (False, False, []) and relations.block_types("[") == (False, False, [])
