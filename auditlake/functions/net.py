@@ -7,8 +7,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from auditlake.functions import whatwg
 from auditlake.functions.text import SPACE, trim_space
 
 MAX_URL = 2048
@@ -17,6 +18,7 @@ BLOCKED_HOSTS = ("localhost", "metadata", "metadata.google.internal", "instance-
 BLOCKED_ENDINGS = (".localhost", ".internal", ".local", ".arpa")
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+#: Type and subtype as RFC 6838 restricts their names: a letter or digit, then letters, digits and some marks.
 MEDIA = r"^[a-z0-9][a-z0-9!#$&^_.+-]*/[a-z0-9][a-z0-9!#$&^_.+-]*$"
 
 
@@ -53,6 +55,7 @@ def path_query(url: Column) -> Column:
 def classify_ipv4(ip: Column) -> Column:
     """``global`` or ``blocked``; null for what is no dotted quad."""
     a, b = (F.split_part(ip, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2))
+    # The ranges that no public host has, by their first two bytes
     blocked = (
         a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
         | ((a == 192) & b.isin(0, 168)) | ((a == 198) & b.isin(18, 19, 51)) | ((a == 203) & (b == 0))
@@ -65,41 +68,69 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def reject_reason(url: Column) -> Column:
-    """The first rule an absolute URL breaks, null if none.
+PARTS = StructType([StructField(n, BooleanType() if n == "user" else StringType()) for n in ("scheme", "user", "host", "port", "path", "query")])
+#: URLs that are written as browsers would write them: no port, no address, no dot segments, nothing to escape.
+PLAIN = r"^(https?)://((?:[a-z0-9-]+\.)*[a-z][a-z0-9-]*)((?:/(?![.%])[A-Za-z0-9._~!$&'()*+,;=:@%-]*)*)(\?[A-Za-z0-9._~!$&()*+,;=:@%/?-]*)?(?:#.*)?\z"
+
+
+@F.pandas_udf(PARTS)
+def read_urls(raw: pd.Series, base: pd.Series) -> pd.DataFrame:
+    """Parts of references, absolute or against a base; all null where there is no URL."""
+    out = []
+    for r, b in zip(raw, base):
+        start = whatwg.parse(b) if b is not None else None
+        u = whatwg.parse(r, start) if r is not None and (b is None or start is not None) else None
+        out.append((None,) * 6 if u is None else u[:6])
+    return pd.DataFrame(out, columns=["scheme", "user", "host", "port", "path", "query"])
 
-    A host whose last label is a number is an IPv4 address in any of its forms, one in brackets an IPv6 address; where it
-    can't be read as one the URL is invalid, where it isn't global the host is blocked.
+
+def url_of(url: Column, base: Column | None = None) -> Column:
+    """A struct of the parts of a URL as browsers read it, its scheme null where there is none (see ``whatwg.Url``).
+
+    What is plain already stays out of Python: only other references, and those that hang on a base, are sent there.
     """
+    group = lambda n: F.regexp_extract(url, PLAIN, n)
+    plain = url.rlike(PLAIN) & ~F.contains(url, F.lit("xn--"))
+    none = F.lit(None).cast("string")
+    ready = F.struct(group(1).alias("scheme"), F.lit(False).alias("user"), group(2).alias("host"), F.lit("").alias("port"), F.when(group(3) == "", "/").otherwise(group(3)).alias("path"), group(4).alias("query"))
+    return F.when(plain, ready).otherwise(read_urls(F.when(~plain, url), none if base is None else F.when(~plain, base)))
+
+
+def site_of(u: Column) -> Column:
+    return F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"] == "", "").otherwise(F.concat(F.lit(":"), u["port"])))
+
+
+def written(u: Column) -> Column:
+    """A URL's text from its parts, without user and fragment."""
+    return F.concat(site_of(u), u["path"], u["query"])
 
-    def judged(x: Column) -> Column:
-        literal = F.regexp_extract(x["host"], r"^\[(.*)\]\z", 1)
-        numeric = x["host"].rlike(r"(?:^|\.)(?:0x[0-9a-f]*|[0-9]+)\.?\z")
-        address = F.when(F.startswith(x["host"], F.lit("[")), F.when(expand_ipv6(literal).isNotNull(), literal)).when(numeric, ipv4_normalise(x["host"]))
-        about = F.struct(x["url"].alias("url"), x["scheme"].alias("scheme"), x["authority"].alias("authority"), x["host"].alias("host"), x["port"].alias("port"),
-                         (F.startswith(x["host"], F.lit("[")) | numeric).alias("literal"), address.alias("address"))
-        return bind(about, ruled)
-
-    def ruled(x: Column) -> Column:
-        h, web = x["host"], x["scheme"].isin("http", "https")
-        ending = F.lit(False)
-        for e in BLOCKED_ENDINGS:
-            ending = ending | F.endswith(h, F.lit(e))
-        name = ~h.rlike("^[a-z0-9.-]+$") | F.contains(h, F.lit("..")) | ~F.contains(h, F.lit("."))
-        blocked = F.when(x["literal"], classify_address(x["address"]) == "blocked").otherwise(h.isin(*BLOCKED_HOSTS) | ending | name)
-        return (
-            F.when(~x["url"].rlike(URL) | (web & ((x["authority"] == "") | (x["literal"] & x["address"].isNull()))), "invalid-url")
-            .when(~web, "scheme")
-            .when(F.contains(x["authority"], F.lit("@")), "userinfo")
-            .when(~x["port"].isin("", "80", "443"), "port")
-            .when(h == "", "empty-host")
-            .when(blocked, "blocked-host")
-        )
 
-    def parts(u: Column) -> Column:
-        return F.struct(u.alias("url"), scheme(u).alias("scheme"), authority(u).alias("authority"), host(u).alias("host"), port(u).alias("port"))
+def broken_rule(u: Column) -> Column:
+    """The first rule that a URL (``url_of``) breaks, null if none.
 
-    return bind(trim_space(url), lambda u: bind(parts(u), judged))
+    Addresses stand in hosts in their one form: one in brackets is an IPv6 address, one of four numbers an IPv4 address; where it isn't
+    global the host is blocked.
+    """
+    h = u["host"]
+    ending = F.lit(False)
+    for e in BLOCKED_ENDINGS:
+        ending = ending | F.endswith(h, F.lit(e))
+    name = ~h.rlike("^[a-z0-9.-]+$") | F.contains(h, F.lit("..")) | ~F.contains(h, F.lit("."))
+    v6 = F.startswith(h, F.lit("["))
+    blocked = F.when(v6, classify_ipv6(F.when(v6, F.regexp_replace(h, r"[\[\]]", ""))) != "global").when(h.rlike(IPV4), classify_ipv4(h) == "blocked").otherwise(h.isin(*BLOCKED_HOSTS) | ending | name)
+    return (
+        F.when(u["scheme"].isNull(), "invalid-url")
+        .when(~u["scheme"].isin("http", "https"), "scheme")
+        .when(u["user"], "userinfo")
+        .when(~u["port"].isin("", "80", "443"), "port")
+        .when(h == "", "empty-host")
+        .when(blocked, "blocked-host")
+    )
+
+
+def reject_reason(url: Column) -> Column:
+    """The first rule an absolute URL breaks, null if none."""
+    return broken_rule(url_of(trim_space(url)))
 
 
 def normalise_url(raw: Column) -> Column:
@@ -108,17 +139,17 @@ def normalise_url(raw: Column) -> Column:
     def outcome(ok: bool, value: Column) -> Column:
         return F.struct(F.lit(ok).alias("ok"), value.alias("value"))
 
-    def judged(s: Column) -> Column:
-        full = F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), s).otherwise(F.concat(F.lit("https://"), s))
-        checked = bind(full, lambda u: bind(reject_reason(u), lambda why: F.when(why.isNotNull(), outcome(False, why)).otherwise(outcome(True, F.concat(origin(u), path_query(u))))))
-        return (
-            F.when(s.isNull() | (s == ""), outcome(False, F.lit("empty")))
-            .when(F.char_length(s) > MAX_URL, outcome(False, F.lit("too-long")))
-            .when(s.rlike(SPACE), outcome(False, F.lit("spaces")))
-            .otherwise(checked)
-        )
-
-    return bind(trim_space(raw), judged)
+    s = trim_space(raw)
+    full = F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), s).otherwise(F.concat(F.lit("https://"), s))
+    u = url_of(full)
+    why = broken_rule(u)
+    return (
+        F.when(s.isNull() | (s == ""), outcome(False, F.lit("empty")))
+        .when(F.char_length(s) > MAX_URL, outcome(False, F.lit("too-long")))
+        .when(s.rlike(SPACE), outcome(False, F.lit("spaces")))
+        .when(why.isNotNull(), outcome(False, why))
+        .otherwise(outcome(True, written(u)))
+    )
 
 
 def media_type(header: Column) -> Column:
@@ -274,25 +305,6 @@ def capture_headers(headers: Column, dropped: tuple[str, ...] = ("set-cookie", "
 
 
 def url_resolve(href: Column, base: Column) -> Column:
-    """A reference against an http(s) base, without fragment; null where it is no http(s) URL.
-
-    Covers absolute, scheme-relative, absolute-path, query-only and relative-path references with dot segments.
-    """
-    h = F.regexp_replace(trim_space(href), "#.*$", "")
-    path = F.regexp_extract(base, URL, 3)
-    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
-    raw = F.when(h == "", path_query(base)).when(h.startswith("/"), h).when(h.startswith("?"), F.concat(F.when(path == "", "/").otherwise(path), h)).otherwise(F.concat(folder, h))
-
-    def clean(p: Column) -> Column:
-        only, query = F.regexp_extract(p, r"^([^?]*)", 1), F.regexp_extract(p, r"(\?.*)$", 1)
-        segments = F.split(F.substring(only, 2, 1 << 20), "/", -1)
-        none = F.array().cast("array<string>")
-        walked = F.aggregate(
-            segments, none, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
-        )
-        folderish = F.element_at(segments, -1).isin(".", "..")
-        return F.concat(F.lit("/"), F.array_join(F.when(folderish, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"), query)
-
-    absolute = F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
-    web = absolute.rlike(r"(?i)^https?://[^/?#]")
-    return F.when(absolute.isNotNull(), F.when(web, F.concat(origin(absolute), bind(path_query(absolute), clean)))).otherwise(F.concat(origin(base), bind(raw, clean)))
+    """A reference against an absolute base, as browsers resolve it, without fragment; null where it is no http(s) URL."""
+    u = url_of(href, base)
+    return F.when(u["scheme"].isin("http", "https") & ~u["user"], written(u))

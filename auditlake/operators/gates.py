@@ -9,7 +9,10 @@ from auditlake.functions.net import content_type_allowed, looks_like_html, origi
 from auditlake.operators.rules import has
 
 PAGE_TYPES = ["text/html", "application/xhtml+xml"]
-CHALLENGE_CHARS = 20_000
+CHALLENGE_CHARS, QUICK_REFRESH = 20_000, 5
+# Words of challenges, and of pages that only block.
+CHALLENGE_WORDS = ("captcha", "cf-challenge", "__cf_chl", "are you a human", "verify you are human", "attention required")
+BLOCK_WORDS = ("access denied", "request blocked", "akamai", "perimeterx", "datadome", "imperva")
 #: A report's title for each reason.
 TITLES = {
     "invalid-url": "Not a public web address", "blocked-address": "Address not publicly reachable", "dns-failure": "Host not found", "too-many-redirects": "Too many redirects",
@@ -23,23 +26,23 @@ def challenge(headers: Column, body: Column) -> Column:
     head = F.lower(F.left(body, F.lit(CHALLENGE_CHARS)))
     return (
         F.when(headers["cf-mitigated"] == "challenge", "header")
-        .when(head.rlike("captcha|cf-challenge|__cf_chl|are you a human|verify you are human|attention required"), "challenge")
-        .when(head.rlike("access denied|request blocked|akamai|perimeterx|datadome|imperva") & (F.char_length(head) < CHALLENGE_CHARS), "block-page")
+        .when(head.rlike("|".join(CHALLENGE_WORDS)), "challenge")
+        .when(head.rlike("|".join(BLOCK_WORDS)) & (F.char_length(head) < CHALLENGE_CHARS), "block-page")
     )
 
 
-def meta_refresh(body: Column, url: Column) -> Column:
-    """Where the first quick refresh to the page's own origin leads, null if there is none."""
-    tags = F.regexp_extract_all(body, F.lit(r"""(?i)(<meta(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])http-equiv\s*=\s*(?:"refresh"|'refresh'|refresh)[^>]*>)"""), 1)
-
-    def target(tag: Column) -> Column:
-        content = F.coalesce(F.nullif(F.regexp_extract(tag, r'(?is)\bcontent\s*=\s*"(.*?)"', 1), F.lit("")), F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*'(.*?)'", 1))
-        delay = F.regexp_extract(content, r"(?i)^\s*(\d+(?:\.\d+)?)\s*;\s*url\s*=", 1).try_cast("double")
-        to = F.regexp_replace(F.regexp_extract(content, r"(?is)^\s*\d+(?:\.\d+)?\s*;\s*url\s*=\s*(.*?)\s*$", 1), r"^['\"]|['\"]$", "")
-        return F.when(delay <= 5, url_resolve(to, url))
-
-    kept = F.filter(F.transform(tags, target), lambda t: t.isNotNull() & (origin(t) == origin(url)))
-    return F.get(kept, F.lit(0))
+def meta_refresh(pages: DataFrame) -> DataFrame:
+    """(page_id, target) of every page (page_id, url, body): where its first quick refresh to its own origin leads, null if there is none."""
+    tags = F.regexp_extract_all("body", F.lit(r"(?i)(<meta(?![A-Za-z0-9_])[^>]*>)"), 1)
+    value = lambda tag, name: F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*{form}""", 1), F.lit("")) for form in ('"([^"]*)"', "'([^']*)'", r"""([^\s>"']+)""")])
+    rows = pages.select("page_id", "url", F.posexplode_outer(tags).alias("pos", "tag")).where("pos is null or lower(tag) like '%refresh%' or pos = 0")
+    content = F.when(F.lower(F.trim(value(F.col("tag"), "http-equiv"))) == "refresh", value(F.col("tag"), "content"))
+    rows = rows.select("page_id", "url", "pos", content.alias("content"))
+    delay = F.regexp_extract("content", r"^\s*(\d+(?:\.\d+)?)\s*;", 1).try_cast("double")
+    to = F.regexp_replace(F.regexp_extract("content", r"(?is)^[^;]*;\s*url\s*=\s*(.*?)\s*\z", 1), r"^['\"]|['\"]$", "")
+    rows = rows.withColumn("target", url_resolve(F.when(delay <= QUICK_REFRESH, to), F.col("url")))
+    own = F.when(origin(F.col("target")) == origin(F.col("url")), F.col("pos"))
+    return rows.groupBy("page_id").agg(F.min_by("target", own).alias("target"))
 
 
 def frame_shells(nodes: DataFrame) -> DataFrame:

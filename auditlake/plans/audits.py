@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import net, text
-from auditlake.operators import access, audit, discovery, gates, scoring, tools
+from auditlake.operators import access, audit, discovery, gates, redirects, scoring, tools
 from auditlake.operators.elements import shred
 from auditlake.plans.catalog import RUBRIC_SQL, query, table
 from auditlake.plans.pages import plain
@@ -281,7 +281,7 @@ REFRESH = """'<meta http-equiv=' || chr(34) || 'refresh' || chr(34) || ' content
   || CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END || regexp_extract(url, '(\\?[^#]*)', 1) END AS target FROM pages""")
 def meta_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").withColumn("body", F.expr(f"{REFRESH} || html"))
-    return p.select("page_id", gates.meta_refresh(F.col("body"), F.col("url")).alias("target"))
+    return gates.meta_refresh(p)
 
 
 HEX = "printf('%x', {0})"
@@ -340,3 +340,42 @@ def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, turn, '"' || replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t'), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') || '"' AS json FROM conversations""")
 def json_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.json_string(F.col("text")).alias("json"))
+
+
+#: A page's URL in a form that browsers read as another text.
+SPELLED = """CASE page_id % 10 WHEN 0 THEN 'HTTP://H' || page_id || '.Example.COM' WHEN 1 THEN 'https:h' || page_id || '.example.com/a/./b/../c' WHEN 2 THEN 'http://h' || page_id || '.example.com:0080/?q=' || page_id || ' x'
+WHEN 3 THEN 'http://%68' || page_id || '.example.com/%7e' WHEN 4 THEN 'https:\\\\h' || page_id || '.example.com\\p\\..\\q' WHEN 5 THEN 'http://' || (134744072 + page_id) || '/x' WHEN 6 THEN 'http://0x0a.' || page_id || '/'
+WHEN 7 THEN 'https://bücher' || page_id || '.example/é' WHEN 8 THEN 'http://h' || page_id || '.example.com:99999/' ELSE 'https://[2606:4700:0:0:0:0:0:' || (page_id % 10) || ']:443/%2E%2e/z#f' END"""
+
+
+@query(f"""WITH v AS (SELECT page_id, page_id % 10 AS k, {SPELLED.replace(chr(92) * 2, chr(92))} AS url, 134744072 + page_id AS n FROM pages)
+SELECT page_id, CASE k WHEN 6 THEN 'blocked-host' WHEN 8 THEN 'invalid-url' END AS reason, CASE k WHEN 0 THEN 'http://h' || page_id || '.example.com/' WHEN 1 THEN 'https://h' || page_id || '.example.com/a/c' WHEN 2 THEN 'http://h' || page_id || '.example.com/?q=' || page_id || '%20x'
+WHEN 3 THEN 'http://h' || page_id || '.example.com/%7e' WHEN 4 THEN 'https://h' || page_id || '.example.com/q' WHEN 5 THEN 'http://' || concat_ws('.', n // 16777216, n // 65536 % 256, n // 256 % 256, n % 256) || '/x'
+WHEN 9 THEN 'https://[2606:4700::' || (page_id % 10) || ']/z' END AS value FROM v WHERE k <> 7
+UNION ALL SELECT page_id, NULL, NULL FROM v WHERE k = 7""")
+def browser_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs as browsers read them: spelled hosts, addresses, ports, dot segments and escapes; names beyond ASCII by reason alone."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.expr(SPELLED.replace("\\", "\\\\").replace("\\\\\\\\", "\\\\")).alias("url"))
+    p = p.select("page_id", net.url_of(F.col("url")).alias("u")).withColumn("reason", net.broken_rule(F.col("u")))
+    return p.select("page_id", "reason", F.when(F.col("reason").isNull() & (F.col("page_id") % 10 != 7), net.written(F.col("u"))).alias("value"))
+
+
+#: Recorded answers by page id: ends, chains of one to four hops, no location, a downgrade, a loop, another origin, and one page that many lead to.
+ANSWERED = """CASE WHEN page_id % 8 = 0 THEN 200 WHEN page_id % 8 = 2 THEN 302 WHEN page_id % 8 = 4 THEN 308 ELSE 301 END AS status,
+CASE page_id % 8 WHEN 1 THEN 'p' || (page_id - 1) WHEN 2 THEN '/x/../p' || (page_id - 1) WHEN 3 THEN 'https://h.example/p' || (page_id - 1) || '#f' WHEN 4 THEN '../p' || (page_id - 1) WHEN 6 THEN 'http://h.example/p0'
+WHEN 7 THEN CASE page_id % 3 WHEN 0 THEN 'p' || page_id WHEN 1 THEN 'https://o.example/' ELSE 'p0' END END AS location"""
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT page_id AS id, page_id % 8 AS k, {ANSWERED} FROM pages),
+e AS (SELECT id, k, CASE WHEN k BETWEEN 1 AND 4 THEN id - 1 WHEN k = 7 THEN CASE id % 3 WHEN 0 THEN id WHEN 2 THEN 0 END END AS next, k = 7 AND id % 3 = 1 AS away FROM a),
+w AS (SELECT id AS page_id, id AS place, 0 AS hops FROM e UNION ALL SELECT w.page_id, e.next, hops + 1 FROM w JOIN e ON e.id = w.place WHERE hops < 3 AND e.next IS NOT NULL),
+l AS (SELECT page_id, max_by(place, hops) AS place, max(hops) AS hops FROM w GROUP BY page_id)
+SELECT page_id, 'https://h.example/p' || place AS final_url, CAST(hops AS INT) AS hops, CASE WHEN k = 0 THEN 'ok' WHEN k = 5 THEN 'redirect-invalid' WHEN hops = 3 THEN 'too-many-redirects' WHEN k = 6 THEN 'redirect-downgrade' WHEN away THEN 'redirect-invalid' END AS code FROM l JOIN e ON e.id = l.place""")
+def redirect_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://h.example/p"), F.col("page_id").cast("string")).alias("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", url)
+    answers = table(spark, sf_dir, "pages").selectExpr("concat('https://h.example/p', page_id) AS url", *ANSWERED_COLUMNS)
+    return redirects.follow_redirects(pages, answers, same_origin=True).select("page_id", "final_url", "hops", "code")
+
+
+ANSWERED_COLUMNS = [f"{ANSWERED.partition(' AS status,')[0]} AS status", f"{ANSWERED.partition(' AS status,')[2].strip()}"]
