@@ -6,25 +6,17 @@ import re
 from html import unescape
 from typing import NamedTuple
 
+from auditlake.functions.htmltree import Builder, Node
+
 VALUE = r"""=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?"""
 #: A tag, or a comment, or another declaration; each runs to the end of the page where it isn't closed.
 TOKEN = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|{VALUE})*+)(>|\Z)|<!--(?:-?>|.*?(?:-->|\Z))|<[!?/][^>]*(?:>|\Z)", re.S)
+#: What makes a page one of the standard's mode; others let a table stand in a paragraph.
+DOCTYPE = re.compile(r"(?:\s|\ufeff|<!--(?:-?>|.*?-->))*<!doctype\s+html", re.I | re.S)
 ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-# Fixed values of HTML: elements without content, with raw text, with text and references, and those that end others.
-VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style iframe noembed noframes noscript xmp".split())
+# Fixed values of HTML: elements with raw text, and with text and references.
+RAW = frozenset("script style iframe noembed noframes noscript xmp plaintext".split())
 PLAIN = frozenset("title textarea".split())
-ENDS_P = frozenset(
-    """address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p
-    pre section table ul""".split()
-)
-ENDS = {t: frozenset(ends.split()) for t, ends in {
-    "li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "optgroup": "option optgroup", "tr": "tr td th", "td": "td th", "th": "td th",
-    "thead": "thead tbody tfoot tr td th", "tbody": "thead tbody tfoot tr td th", "tfoot": "thead tbody tfoot tr td th",
-}.items()}
-#: Elements that keep what is open around them open.
-WALLS = {"li": frozenset("ul ol menu table".split()), "dt": frozenset(["dl", "table"]), "dd": frozenset(["dl", "table"])}
-OTHER_WALLS = frozenset("table select button".split())
 #: Elements whose text is kept, beside those with one of these attributes.
 WITH_TEXT = frozenset("a button h1 h2 h3 h4 h5 h6 label legend noscript option script summary textarea title".split())
 TEXT_ATTRIBUTES = ("data-reactroot", "id", "onclick", "role", "tabindex")
@@ -62,18 +54,6 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-class Open:
-    """An element that has not ended."""
-
-    def __init__(self, pre: int, tag: str, attrs: dict[str, str], parent: Open | None, piece: int):
-        self.pre, self.tag, self.attrs, self.parent, self.piece = pre, tag, attrs, parent, piece
-        self.alt = False
-        self.unseen = tag in UNSEEN or (parent is not None and parent.unseen)
-        own = {t: pre if tag == t else None for t in ("form", "label")}
-        self.form = parent.form if parent and parent.form is not None else own["form"]
-        self.label = parent.label if parent and parent.label is not None else own["label"]
-
-
 def elements(page: str | None) -> list[Element]:
     """All elements in document order. Null and empty pages have none."""
     return read(page)[0]
@@ -97,80 +77,81 @@ def with_paths(found: list[Element]) -> list[Element]:
     return [e._replace(path=" > ".join(p)) for e, p in zip(found, parts)]
 
 
-def read(page: str | None) -> tuple[list[Element], str]:
-    """All elements in document order, and the body's text without scripts, styles and the like.
-
-    Elements that the text leaves out (html, head, body, tbody) aren't made up, and formatting isn't carried into the
-    next paragraph. Content of ``noscript`` is text. A form inside a form is ignored, as are end tags with no start.
-    """
-    page = page or ""
-    done: list[Element | None] = []
-    pieces: list[str] = []
-    body: list[str] = []
-    stack: list[Open] = []
-
-    def close() -> None:
-        e = stack.pop()
-        text = None
-        if e.tag in WITH_TEXT or any(a in e.attrs for a in TEXT_ATTRIBUTES):
-            text = " ".join("".join(pieces[e.piece :]).split())
-        if e.alt and stack:
-            stack[-1].alt = True
-        parent = e.parent
-        done[e.pre] = Element(e.pre, len(done) - 1, len(stack), parent.pre if parent else None, e.tag, e.attrs, text, e.form, e.label, e.alt)
-
-    def close_to(tags: frozenset[str], walls: frozenset[str]) -> None:
-        """End the outermost of ``tags`` that no wall shields."""
-        found = None
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                found = i
-            elif stack[i].tag in walls:
-                break
-        while found is not None and len(stack) > found:
-            close()
-
-    def shown(text: str) -> None:
-        if text:
-            pieces.append(unescape(text))
-            if not (stack and stack[-1].unseen):
-                body.append(pieces[-1])
-
+def tree(page: str) -> Node:
+    """The page's tree, under a root that is no element itself; tokens are read here, and placed by ``htmltree``."""
+    builder = Builder(quirks=DOCTYPE.match(page) is None)
     at = 0
     while m := TOKEN.search(page, at):
-        shown(page[at : m.start()])
+        if m.start() > at:
+            builder.text(unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None or not m[4]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(e.tag == tag for e in stack):
-                while stack[-1].tag != tag:
-                    close()
-                close()
-            continue
-        if tag == "form" and any(e.tag == "form" for e in stack):
+            builder.end(tag)
             continue
-        if tag in ENDS_P:
-            close_to(frozenset(["p"]), OTHER_WALLS)
-        if tag in ENDS:
-            close_to(ENDS[tag], WALLS.get(tag, OTHER_WALLS))
-        e = Open(len(done), tag, attributes(m[3]), stack[-1] if stack else None, len(pieces))
-        done.append(None)
-        stack.append(e)
-        if tag == "img" and e.attrs.get("alt", "").strip():
-            e.alt = True
-        if tag in VOID:
-            close()
-        elif tag in RAW or tag in PLAIN:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+        open_ = builder.start(tag, attributes(m[3]), m[3].endswith("/"))
+        if tag in ("pre", "listing", "textarea") and page[at : at + 1] == "\n":
+            at += 1
+        if open_ and (tag in RAW or tag in PLAIN) and builder.top.tag == tag and not builder.top.foreign:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at) if tag != "plaintext" else None
             stop = end.start() if end else len(page)
-            inner = page[at:stop] if tag in RAW else unescape(page[at:stop])
-            pieces.append(inner)
-            if not e.unseen:
-                body.append(inner)
+            if stop > at:
+                builder.top.children.append(page[at:stop] if tag in RAW else unescape(page[at:stop]))
             at = stop
-    shown(page[at:])
-    while stack:
-        close()
+    if at < len(page):
+        builder.text(unescape(page[at:]))
+    return builder.finish()
+
+
+def read(page: str | None) -> tuple[list[Element], str]:
+    """All elements in document order, and the body's text without scripts, styles and the like.
+
+    The tree is the one that browsers build: html, head, body and tbody are there where tags leave them out, misnested
+    formatting goes on in the next element, and a table puts what it can't hold before itself. Content of ``noscript`` is
+    text. Null and empty pages have no elements.
+    """
+    if not page:
+        return [], ""
+    done: list[Element | None] = []
+    pieces: list[str] = []
+    body: list[str] = []
+    #: Open elements: (node, next child, place, form, label, unseen, first piece, an image's text inside)
+    stack: list[list] = []
+
+    def enter(node: Node) -> None:
+        above = stack[-1] if stack else None
+        form = above[3] if above and above[3] is not None else len(done) if node.tag == "form" else None
+        label = above[4] if above and above[4] is not None else len(done) if node.tag == "label" else None
+        unseen = bool(above and above[5]) or node.tag in UNSEEN
+        stack.append([node, 0, len(done), form, label, unseen, len(pieces), node.tag == "img" and bool(node.attrs.get("alt", "").strip())])
+        done.append(None)
+
+    def leave() -> None:
+        node, _, pre, form, label, _, piece, alt = stack.pop()
+        text = None
+        if node.tag in WITH_TEXT or any(a in node.attrs for a in TEXT_ATTRIBUTES):
+            text = " ".join("".join(pieces[piece:]).split())
+        if alt and stack:
+            stack[-1][7] = True
+        done[pre] = Element(pre, len(done) - 1, len(stack), stack[-1][2] if stack else None, node.tag, node.attrs, text, form, label, alt)
+
+    for top in tree(page).children:
+        if not isinstance(top, Node):
+            continue
+        enter(top)
+        while stack:
+            here = stack[-1]
+            if here[1] == len(here[0].children):
+                leave()
+                continue
+            child = here[0].children[here[1]]
+            here[1] += 1
+            if isinstance(child, Node):
+                enter(child)
+            else:
+                pieces.append(child)
+                if not here[5]:
+                    body.append(child)
     return with_paths([e for e in done if e is not None]), " ".join("".join(body).split())

@@ -11,18 +11,21 @@ from auditlake.plans.pages import plain
 
 
 def tags(html):
-    return [(e.tag, e.parent) for e in elements(html)]
+    """Tags and parents below the body, whose html, head and body every page has."""
+    found = elements(html)
+    first = next((e.pre for e in found if e.tag == "body"), -1) + 1
+    return [(e.tag, e.parent - first if e.parent is not None and e.parent >= first else None) for e in found[first:]]
 
 
 def test_what_ends_what():
-    assert tags("<p>a<p>b<div>c</div></p>") == [("p", None), ("p", None), ("div", None)]
+    assert tags("<p>a<p>b<div>c</div></p>") == [("p", None), ("p", None), ("div", None), ("p", None)]
     assert tags("<ul><li>1<ul><li>2</ul><li>3</ul>") == [("ul", None), ("li", 0), ("ul", 1), ("li", 2), ("li", 0)]
-    assert tags("<table><tr><td>1<td>2<tr><td>3</table>") == [("table", None), ("tr", 0), ("td", 1), ("td", 1), ("tr", 0), ("td", 4)]
+    assert tags("<table><tr><td>1<td>2<tr><td>3</table>") == [("table", None), ("tbody", 0), ("tr", 1), ("td", 2), ("td", 2), ("tr", 1), ("td", 5)]
     assert tags("<form><form><input></form>") == [("form", None), ("input", 0)]
 
 
 def test_text_attributes_and_raw_content():
-    title, script, a = elements("<TITLE>a <b>\n&amp; c</TITLE><script>if (a<b) '</p>'</script><a HREF='x>y' href=z Id>t</a>")
+    _, _, title, script, _, a = elements("<TITLE>a <b>\n&amp; c</TITLE><script>if (a<b) '</p>'</script><a HREF='x>y' href=z Id>t</a>")
     assert title.text == "a <b> & c" and script.text == "if (a<b) '</p>'"
     assert a.attrs == {"href": "x>y", "id": ""} and a.text == "t"
 
