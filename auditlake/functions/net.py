@@ -211,6 +211,12 @@ def looks_like_html(body: Column) -> Column:
     return head.rlike(start) | head.rlike(r"(?i)<html|<!doctype html|<body|<head|<div|<p[\s>]")
 
 
+def cut_body(body: Column, most: int) -> Column:
+    """(body, n_bytes, truncated): a binary body's first ``most`` bytes, never rejected; null stays null."""
+    n = F.octet_length(body)
+    return F.when(body.isNotNull(), F.struct(F.substring(body, 1, most).alias("body"), n.cast("long").alias("n_bytes"), (n > most).alias("truncated")))
+
+
 def hex_int(c: Column) -> Column:
     return F.conv(c, 16, 10).cast("long")
 

@@ -70,6 +70,35 @@ def allowed_fields(sent: Column, names: tuple[str, ...], most: int) -> Column:
     return F.transform_values(kept, lambda _, v: F.left(F.coalesce(v, F.lit("")), F.lit(most)))
 
 
+# The fields of a reservation, and what a body and a value may hold.
+RESERVATION_FIELDS = ("name", "email", "phone", "date", "time", "party_size", "notes")
+MOST_BODY_BYTES, MOST_VALUE_CHARS = 8192, 200
+
+
+def form_entries(body: Column) -> Column:
+    """An urlencoded body as an array of (key, value), decoded; what can't be decoded stays as it is."""
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    pairs = F.filter(F.split(body, "&", -1), lambda x: x != "")
+    return F.transform(pairs, lambda x: F.struct(decoded(F.regexp_extract(x, r"^([^=]*)", 1)).alias("key"), decoded(F.regexp_extract(x, r"(?s)^[^=]*=?(.*)\z", 1)).alias("value")))
+
+
+def last_of_each(entries: Column) -> Column:
+    """A map of (key, value) entries; a repeated key keeps its last value."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])))
+
+
+def reservation(body: Column, content_type: Column, names: tuple[str, ...] = RESERVATION_FIELDS, most_bytes: int = MOST_BODY_BYTES, most: int = MOST_VALUE_CHARS) -> Column:
+    """(status, fields) of a posted body: 413 over ``most_bytes``, 400 where it is neither a JSON object nor urlencoded, else 200 with the
+    fields of these names, cut. A null body is empty, a null type none; values that are no strings are their JSON text, null is empty."""
+    text, kind = F.coalesce(body, F.lit("")), F.coalesce(content_type, F.lit(""))
+    parsed = F.map_entries(F.from_json(text, "map<string,string>"))
+    sent = F.when(kind.contains("application/json"), parsed).when(kind.contains("application/x-www-form-urlencoded"), form_entries(text))
+    sent = F.filter(sent, lambda e: e["key"].isin(*names))
+    small = F.octet_length(text) <= most_bytes
+    fields = F.when(small, allowed_fields(last_of_each(sent), names, most))
+    return F.struct(F.when(~small, 413).when(sent.isNull(), 400).otherwise(200).alias("status"), fields.alias("fields"))
+
+
 def client_key(forwarded: Column) -> Column:
     """The first address of a forwarding header, else ``anon``."""
     return F.coalesce(F.nullif(F.trim(F.split_part(forwarded, F.lit(","), F.lit(1))), F.lit("")), F.lit("anon"))

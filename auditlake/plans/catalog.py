@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import net, text
-from auditlake.operators import limiter, robots, scoring
+from auditlake.operators import limiter, robots, rollups, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,9 +155,9 @@ def schema_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.schema_type(F.expr(TAG), F.expr(KIND)).alias("schema_type"))
 
 
-@query("SELECT doc_id, regexp_extract(lower(trim(left(text, 40))), '^[^\\s/]*', 0) AS token FROM documents")
+@query(f"SELECT doc_id, regexp_extract(lower(regexp_replace(text, '^{SPACE}+', '')), '^[^\\s/]*', 0) AS token FROM documents")
 def product_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.product_token(F.left("text", F.lit(40))).alias("token"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.product_token(F.col("text")).alias("token"))
 
 
 FORWARDED = "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' 10.0.' || (user_id % 256) || '.1 , 5.6.7.8' ELSE '10.1.' || (user_id % 256) || '.2' END"
@@ -180,10 +180,21 @@ def reserve_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) > 2048 AS truncated, CAST(least(strlen(text), 2048) AS BIGINT) AS kept FROM documents")
 def truncate_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("body"))
-    n = F.octet_length("body")
-    kept = F.octet_length(F.substring("body", 1, 2048))
-    return body.select("doc_id", n.cast("long").alias("n_bytes"), (n > 2048).alias("truncated"), kept.cast("long").alias("kept"))
+    b = table(spark, sf_dir, "documents").select("doc_id", net.cut_body(F.col("text").cast("binary"), 2048).alias("b"))
+    return b.select("doc_id", "b.n_bytes", "b.truncated", F.octet_length("b.body").cast("long").alias("kept"))
+
+
+#: Posted bodies: JSON, urlencoded, one too large, one that is no object, one of another type.
+POSTED = """CASE turn % 5 WHEN 0 THEN '{"name":"' || role || '","admin":true,"party_size":' || conv_id || ',"notes":null}' WHEN 1 THEN 'name=' || role || '+%26' || conv_id || '&admin=1&notes=' || repeat('x', 300) || '&name=last%2'
+WHEN 2 THEN '{"name":"' || repeat('y', 9000) || '"}' WHEN 3 THEN '[' || conv_id || ']' ELSE 'name=' || role END"""
+POSTED_TYPE = "CASE turn % 5 WHEN 1 THEN 'application/x-www-form-urlencoded; charset=utf-8' WHEN 4 THEN 'multipart/form-data' ELSE 'application/json' END"
+
+
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 2 THEN 413 WHEN 3 THEN 400 WHEN 4 THEN 400 ELSE 200 END AS status, CASE turn % 5 WHEN 0 THEN role || '|' || conv_id || '|' WHEN 1 THEN 'last%2||' || repeat('x', 200) END AS kept FROM conversations""")
+def reserve_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.reservation(F.expr(POSTED), F.expr(POSTED_TYPE)).alias("r"))
+    field = lambda name: F.coalesce(F.col("r.fields")[name], F.lit(""))
+    return c.select("conv_id", "turn", "r.status", F.when(F.col("r.status") == 200, F.concat_ws("|", field("name"), field("party_size"), field("notes"))).alias("kept"))
 
 
 # ---- network ----------------------------------------------------------------------------------------------------
@@ -299,3 +310,16 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = F.concat((17 + F.col("page_id") % 5).cast("string"), F.lit(":"), F.when(F.col("page_id") % 2 == 0, "00").otherwise("30"))
     p = table(spark, sf_dir, "pages").select("page_id", slot.alias("slot"), (F.col("page_id") % 12).alias("size"))
     return p.select("*", (F.col("slot").isin(*SLOTS) & (F.col("size") <= 8)).alias("available"))
+
+
+# ---- rollups ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {RESULTS_SQL}, m AS (SELECT page_id, step, sum(weight * score) FILTER (known) * 1.0 / nullif(sum(weight) FILTER (known), 0) AS mean FROM k GROUP BY page_id, step),
+x AS (SELECT grade, overall, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '[0-9]+', '') AS host, step, coalesce(mean >= 75, false) AS pass FROM m JOIN summary USING (page_id) JOIN pages USING (page_id))
+SELECT grade, host, step, CAST(grouping(grade, host, step) AS INT) AS level, CAST(CASE WHEN grouping(step) = 1 THEN count(*) // 3 ELSE count(*) END AS BIGINT) AS pages, count(*) FILTER (pass) AS passed,
+floor(sum(overall) * 1.0 / count(overall) * 10 + 0.5) / 10 AS mean FROM x GROUP BY CUBE (grade, host, step)""")
+def audit_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades by host and step with all totals; numbers in hosts are left out, so that hosts have several pages."""
+    plain = table(spark, sf_dir, "pages").select("page_id", F.concat(net.scheme(F.col("url")), F.lit("://"), F.regexp_replace(net.host(F.col("url")), "[0-9]+", "")).alias("url"))
+    return rollups.audit_cube(plain, results(spark, sf_dir))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.operators import checks, elements
+from auditlake.operators import checks, elements, snippets
 from auditlake.plans.catalog import query, table
+from auditlake.sources.tables import register_functions
 
 GOOD = '<form id="f"><label for="e">Email</label><input id="e" name="email" type="email" autocomplete="email" required><button type="submit">Send</button></form>'
 BAD = '<form><input placeholder="Your email"><input placeholder="Phone"></form>'
@@ -101,3 +102,29 @@ CASE WHEN soup > 0 THEN 'actions.soup.dead-links,actions.soup.handlers,actions.s
 def check_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = variants(spark, sf_dir)
     return plain(checks.check_actions(pages, elements.shred(pages, kept=False)))
+
+
+@query("""WITH l AS (SELECT page_id, html FROM pages), a AS (SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=')) AS links, len(regexp_extract_all(html, '<h[1-6][ >]')) AS heads, len(regexp_extract_all(html, '<p[ >]')) AS paras FROM l)
+SELECT page_id, links, heads, paras FROM a""")
+def sql_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements counted in SQL alone, over the table function that reads pages."""
+    register_functions(spark)
+    return spark.sql(
+        """SELECT page_id, count_if(tag = 'a' AND attrs['href'] IS NOT NULL) AS links, count_if(tag RLIKE '^h[1-6]$') AS heads, count_if(tag = 'p') AS paras
+        FROM page_elements(TABLE(SELECT page_id, html FROM {pages})) GROUP BY page_id""", pages=table(spark, sf_dir, "pages"),
+    )
+
+
+#: A form of a page's own: a select with options, a mistyped input, a text area, each with what its name suggests.
+TO_WRITE = """replace(html, '</article>', '<form><label for="c' || page_id || '">Country &amp; "region"</label><select id="c' || page_id || '" name="country" required><option value="a' || page_id || '">A &lt;1&gt;</option><option selected> Second
+ one</option></select><input name="user_email" placeholder="Your e-mail"><textarea name="street" autocomplete="off">1 Way</textarea></form></article>')"""
+
+
+@query("""SELECT page_id, ord, CASE ord WHEN 1 THEN '<label for="c' || page_id || '">Country &amp; &quot;region&quot;</label>' || chr(10) || '<select id="c' || page_id || '" name="country" autocomplete="country" required>' || chr(10)
+|| '  <option value="a' || page_id || '">A &lt;1&gt;</option>' || chr(10) || '  <option value="Second one" selected>Second one</option>' || chr(10) || '</select>'
+WHEN 2 THEN '<label for="user_email">Your e-mail</label>' || chr(10) || '<input id="user_email" name="user_email" type="email" autocomplete="email">'
+ELSE '<label for="street">street</label>' || chr(10) || '<textarea id="street" name="street" autocomplete="street-address">1 Way</textarea>' END AS markup FROM pages, (SELECT unnest(range(1, 4)) AS ord) WHERE html LIKE '%</article>%'""")
+def form_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(TO_WRITE).alias("html"))
+    rows = snippets.form_snippets(elements.shred(pages))
+    return rows.select("page_id", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY pre)").cast("long").alias("ord"), "markup")

@@ -170,3 +170,34 @@ def test_well_known_files_of_one_kind(spark):
     p = pages(spark, "", "")
     ids = {r.page_id: r.ids for r in plain(discovery.check_discovery(p, shred(p), side)).collect()}
     assert "discovery.mcp.invalid" in ids[0] and "discovery.mcp.missing" in ids[1]
+
+
+def test_written_controls_read_back_as_meant(spark):
+    from auditlake.functions.html import elements
+    from auditlake.operators import snippets
+
+    page = '<form><input name="e-mail" required><input id="phone" placeholder="&quot;&gt;<script>"><select name="x"><option>1</select><select name="nothing"></select><textarea aria-label="N &amp; M">a\n b</textarea><input autocomplete="NAME"></form>'
+    nodes = shred(pages(spark, page, "<p>none"))
+    found = snippets.form_snippets(nodes).orderBy("pre").collect()
+    back = [[e for e in elements(r.markup) if e.tag in ("label", "input", "select", "textarea", "option")] for r in found]
+    assert [[e.tag for e in b] for b in back] == [["label", "input"], ["label", "input"], ["label", "select", "option"], ["label", "select"], ["label", "textarea"], ["label", "input"]]
+    assert all(b[0].attrs["for"] == b[1].attrs["id"] for b in back)
+    assert (back[0][1].attrs["type"], back[0][1].attrs["autocomplete"], "required" in back[0][1].attrs) == ("email", "email", True)
+    assert (back[1][1].attrs["type"], back[1][0].text) == ("tel", '"><script>') and back[4][1].text == "a b" and back[4][0].text == "N & M" and back[5][1].attrs["autocomplete"] == "name"
+    every = snippets.audit_snippets(pages(spark, page, "<p>none"), nodes)
+    ids = {(r.page_id, r.id) for r in every.collect()}
+    assert every.count() == len(ids) and (0, "forms.label.missing") in ids and (0, "webmcp.none") in ids and (1, "webmcp.stub.imperative") in ids and (1, "forms.label.missing") not in ids
+    report = json.loads(audit.reports(audit.run_checks(pages(spark, page, "<p>none"), nothing(spark)), every).where("page_id = 0").first().report)
+    label = next(f for c in report["categories"] for f in c["findings"] if f["id"] == "forms.label.missing")
+    assert label["remediation"]["snippet"].startswith("<label for=")
+
+
+def test_views_and_table_function(spark):
+    from auditlake.sources.tables import register_views
+
+    register_views(spark, pages(spark, "<h1>a</h1><form><input></form>", None, ""), nothing(spark))
+    assert spark.sql("SELECT count(*) FROM page_elements(TABLE(SELECT page_id, html, 1 AS page FROM VALUES (1L, '<p>a<p>b'), (2L, NULL) AS t(page_id, html)))").first()[0] == 5
+    rows = spark.sql("SELECT s.overall, f.severity, n.tag FROM scores s JOIN findings f USING (page_id) JOIN nodes n ON n.page_id = f.page_id AND n.path = f.evidence[0] WHERE f.id = 'forms.label.missing'").collect()
+    assert [(r.severity, r.tag) for r in rows] == [("high", "input")] and spark.sql("SELECT count(*) FROM results").first()[0] == 18
+    for view in ("nodes", "results", "findings", "scores"):
+        spark.catalog.dropTempView(view)
