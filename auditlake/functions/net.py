@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
@@ -133,23 +133,19 @@ def reject_reason(url: Column) -> Column:
     return broken_rule(url_of(trim_space(url)))
 
 
-def normalise_url(raw: Column) -> Column:
-    """(ok, value): the absolute URL without fragment, or why it is none."""
+def normalise_urls(rows: DataFrame, raw: str = "url") -> DataFrame:
+    """``rows`` with ``ok`` and ``value``: the absolute URL without fragment, or why it is none.
 
-    def outcome(ok: bool, value: Column) -> Column:
-        return F.struct(F.lit(ok).alias("ok"), value.alias("value"))
-
-    s = trim_space(raw)
-    full = F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), s).otherwise(F.concat(F.lit("https://"), s))
-    u = url_of(full)
-    why = broken_rule(u)
-    return (
-        F.when(s.isNull() | (s == ""), outcome(False, F.lit("empty")))
-        .when(F.char_length(s) > MAX_URL, outcome(False, F.lit("too-long")))
-        .when(s.rlike(SPACE), outcome(False, F.lit("spaces")))
-        .when(why.isNotNull(), outcome(False, why))
-        .otherwise(outcome(True, written(u)))
+    White space around goes, a missing scheme is https. Parts are columns of their own between the steps, so that each is worked out once.
+    """
+    s = rows.withColumn("_s", trim_space(F.col(raw)))
+    full = F.when(F.col("_s").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("_s")).otherwise(F.concat(F.lit("https://"), F.col("_s")))
+    s = s.withColumn("_full", full).withColumn("_u", url_of(F.col("_full"))).withColumn("_why", broken_rule(F.col("_u")))
+    why = (
+        F.when(F.col("_s").isNull() | (F.col("_s") == ""), "empty").when(F.char_length("_s") > MAX_URL, "too-long").when(F.col("_s").rlike(SPACE), "spaces").otherwise(F.col("_why"))
     )
+    s = s.withColumn("_why", why)
+    return s.select(*rows.columns, F.col("_why").isNull().alias("ok"), F.coalesce("_why", written(F.col("_u"))).alias("value"))
 
 
 def media_type(header: Column) -> Column:

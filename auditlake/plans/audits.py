@@ -228,8 +228,8 @@ NAMED_FORM = """CASE page_id % 5 WHEN 0 THEN html ELSE replace(html, '</article>
 
 
 @query(f"""WITH v AS (SELECT page_id, page_id % 5 AS k, list_last(list_filter(list_transform(regexp_extract_all(split_part(html, '</article>', 1), '<h[1-3][^>]*>([^<]*)</h', 1), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')) AS h, {{0}} AS o FROM pages),
-n AS (SELECT *, CASE k WHEN 1 THEN 'Book-it' || page_id WHEN 2 THEN 'n ' || page_id WHEN 3 THEN 'Reserve a table' ELSE h END AS raw, CASE k WHEN 2 THEN 'Your order' ELSE coalesce(h, CASE k WHEN 3 THEN 'Reserve a table' END) END AS told FROM v),
-m AS (SELECT *, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), '^_+', ''), 40), '_+$', ''), ''), 'submit_form') AS name FROM n),
+n AS (SELECT * REPLACE (replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS h) FROM v), n2 AS (SELECT *, CASE k WHEN 1 THEN 'Book-it' || page_id WHEN 2 THEN 'n ' || page_id WHEN 3 THEN 'Reserve a table' ELSE h END AS raw, CASE k WHEN 2 THEN 'Your order' ELSE coalesce(h, CASE k WHEN 3 THEN 'Reserve a table' END) END AS told FROM n),
+m AS (SELECT *, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), '^_+', ''), 40), '_+$', ''), ''), 'submit_form') AS name FROM n2),
 d AS (SELECT *, coalesce(left(told, 120), 'Submit the ' || name || ' form') AS about FROM m)
 SELECT page_id, CASE k WHEN 0 THEN 'search_site' ELSE name END AS tool_name, CASE k WHEN 0 THEN 'Search ' || o ELSE about END AS description,
 CASE WHEN k > 0 THEN '<form' || CASE k WHEN 1 THEN ' id="Book-it' || page_id || '" action="/b?a=1&amp;b=2"' WHEN 2 THEN ' name="n ' || page_id || '"' ELSE '' END || ' toolname="' || name || '" tooldescription="'

@@ -223,7 +223,7 @@ SELECT page_id, u AS url, CASE WHEN scheme = '' OR (scheme IN ('http', 'https')
  WHEN NOT quad AND (host IN ('localhost', 'metadata') OR host LIKE '%.internal' OR host LIKE '%.local' OR host LIKE '%.localhost' OR host LIKE '%.arpa' OR host LIKE '%..%' OR host NOT LIKE '%.%') THEN 'blocked-host' END AS reason FROM x""")
 def validate_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "pages").select("page_id", F.expr(ASKED_URL).alias("url"))
-    return u.select("page_id", "url", net.reject_reason(F.col("url")).alias("reason"))
+    return u.withColumn("u", net.url_of(text.trim_space(F.col("url")))).select("page_id", "url", net.broken_rule(F.col("u")).alias("reason"))
 
 
 @query("""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS origin,
@@ -239,7 +239,7 @@ SELECT page_id, page_id % 5 <= 1 AS ok, CASE page_id % 5 WHEN 2 THEN 'empty' WHE
 def normalise_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, url = F.col("page_id") % 5, F.col("url")
     raw = F.when(v == 0, F.concat(F.lit("  "), url, F.lit(" "))).when(v == 1, F.regexp_replace(url, "^https?://", "")).when(v == 2, F.lit("")).when(v == 3, F.concat(url, F.lit(" x"))).otherwise("ftp://h.example.com")
-    return table(spark, sf_dir, "pages").select("page_id", net.normalise_url(raw).alias("n")).select("page_id", "n.ok", "n.value")
+    return net.normalise_urls(table(spark, sf_dir, "pages").select("page_id", raw.alias("url"))).select("page_id", "ok", "value")
 
 
 TYPE = """CASE page_id % 7 WHEN 0 THEN 'text/html; charset=UTF-8' WHEN 1 THEN 'TEXT/HTML' WHEN 2 THEN 'application/xhtml+xml;charset=' || chr(34) || 'iso-8859-' || (page_id % 9) || chr(34) WHEN 3 THEN 'application/v' || page_id || '+json'

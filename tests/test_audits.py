@@ -117,3 +117,48 @@ def test_streaming_limiter_equals_the_batch_form(spark, tmp_path):
     out = spark.read.parquet(f"file://{tmp_path}/out").collect()
     want = {r.event_id: (r.ok, r.retry_after_s) for r in limiter.rate_limit(e, window_ms=86_400_000, most=2).collect()}
     assert {r.event_id: (r.ok, r.retry_after_s) for r in out} == want
+
+
+def test_list_state_limiter_equals_the_batch_form(spark, tmp_path):
+    """Null keys, a hot key, late batches and a restart; then state that expires by the clock."""
+    import time
+
+    from auditlake.streaming.limiter import STATE_STORE, rate_limit_state
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, STATE_STORE)
+    try:
+        rows = [(None if i % 5 == 0 else 7 if i % 2 else i % 11, i, 1_700_000_000 + i * 7) for i in range(600)]
+        e = spark.createDataFrame(rows, "user_id long, event_id long, s long").select("user_id", "event_id", F.timestamp_seconds("s").alias("ts"))
+        e.where("event_id < 203").repartition(3).write.parquet(f"file://{tmp_path}/in/a")
+
+        def run(out, **more):
+            stream = spark.readStream.schema(e.schema).parquet(f"file://{tmp_path}/in/*")
+            w = rate_limit_state(stream, most=3, **more).writeStream.format("parquet").option("path", f"file://{tmp_path}/{out}").option("checkpointLocation", f"file://{tmp_path}/{out}-cp")
+            if not more:
+                assert w.trigger(availableNow=True).start().awaitTermination(120)
+                return
+            q = w.start()  # a query whose state expires runs on
+            try:
+                until = time.time() + 60
+                while time.time() < until and not any(p["numInputRows"] for p in q.recentProgress):
+                    time.sleep(1)
+            finally:
+                q.stop()
+
+        run("all")
+        run("brief", ttl_ms=1000)
+        time.sleep(2)
+        e.where("event_id >= 203").write.parquet(f"file://{tmp_path}/in/b")
+        run("all")  # goes on from what the first run left
+        run("brief", ttl_ms=1000)
+        want = {r.event_id: (r.user_id, r.ok, r.retry_after_s) for r in limiter.rate_limit(e, most=3).collect()}
+        got = {r.event_id: (r.user_id, r.ok, r.retry_after_s) for r in spark.read.parquet(f"file://{tmp_path}/all").collect()}
+        assert got == want and {k for k, _, _ in got.values()} >= {None, 7} and not all(ok for _, ok, _ in got.values())
+        # What the first run kept is gone: the second part is judged as if it came alone
+        fresh = {r.event_id: r.ok for r in limiter.rate_limit(e.where("event_id >= 203"), most=3).collect()}
+        brief = {r.event_id: r.ok for r in spark.read.parquet(f"file://{tmp_path}/brief").where("event_id >= 203").collect()}
+        assert brief == fresh and brief != {k: v[1] for k, v in want.items() if k >= 203}
+    finally:
+        spark.conf.set(provider, before)

@@ -61,8 +61,8 @@ def test_reasons(spark):
     }
     got = spark.createDataFrame([(k,) for k in why], "u string").select("u", net.reject_reason(F.col("u")).alias("r")).collect()
     assert {r.u: r.r for r in got} == why
-    n = spark.createDataFrame([("Bücher.example/a b",), ("  Bücher.example/é ",), ("http://a.example/%2e%2e/x#y",), ("",), ("x" * 3000,)], "u string").select(net.normalise_url(F.col("u")).alias("n")).collect()
-    assert [tuple(r.n) for r in n] == [(False, "spaces"), (True, "https://xn--bcher-kva.example/%C3%A9"), (True, "http://a.example/x"), (False, "empty"), (False, "too-long")]
+    n = net.normalise_urls(spark.createDataFrame([("Bücher.example/a b",), ("  Bücher.example/é ",), ("http://a.example/%2e%2e/x#y",), ("",), ("x" * 3000,)], "u string"), "u").select("ok", "value").collect()
+    assert [tuple(r) for r in n] == [(False, "spaces"), (True, "https://xn--bcher-kva.example/%C3%A9"), (True, "http://a.example/x"), (False, "empty"), (False, "too-long")]
 
 
 def test_redirect_chains(spark):
