@@ -27,9 +27,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a fresh local one only where none is set (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; a fresh local one only where none is set and all is one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(spark, "_auditlake_scratch", None) or "file://" + tempfile.mkdtemp(prefix="auditlake-")
         spark._auditlake_scratch = where
     return where.rstrip("/")
