@@ -139,6 +139,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` that windows of ``benchmark`` hit, one row each (see ``decontaminate`` for nulls, empty texts and repeats)."""
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_h")
 
 

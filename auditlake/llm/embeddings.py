@@ -165,4 +165,5 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of ``embeddings`` of equal labels, one row each (see ``near_vectors`` for what links with nothing, and for repeats)."""
     return near_vectors(read_table(spark, sf_dir, "embeddings"))

@@ -242,4 +242,5 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, links and groups of near copies of ``documents``, one row each (see ``near_texts`` for nulls, empty texts, ties and repeats)."""
     return near_texts(read_table(spark, sf_dir, "documents")).drop("text_h")

@@ -424,4 +424,5 @@ def fit_network(training: DataFrame, n: int, sent, weights: dict[str, np.ndarray
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of ``documents`` by the base and the model, one row each (see ``score_documents`` for nulls, empty texts and repeats)."""
     return score_documents(read_table(spark, sf_dir, "documents"))

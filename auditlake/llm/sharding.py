@@ -68,6 +68,7 @@ def write_shards(docs: DataFrame, where: str, shards: int = SHARDS, seed: int =
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes ``documents`` into 24 shards of near equal row counts, and each row's shard and slot as read back (see ``write_shards`` for nulls and repeats)."""
     docs, where = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     write_shards(docs, where)
     layout = T.StructType([T.StructField("record", docs.schema), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
