@@ -34,7 +34,7 @@ MARKS = {"framework": ("__NEXT_DATA__", "window.__NUXT__")}
 def shred(pages: DataFrame, key: str = "page_id", html: str = "html", kept: bool = True) -> DataFrame:
     """One row for each element: ``page_id``, the fields of ``Element`` and of ``Related``; and one, of tag ``#page``, with the body's text.
 
-    Null and empty pages have that row alone, its text empty. ``kept`` cuts the plan, for elements that are used more than once.
+    Null and empty pages have that row alone, its text empty. A table in fewer partitions than cores is dealt out first. ``kept`` cuts the plan, for elements that are used more than once.
     """
     kind = dict(pages.dtypes)[key]
 
@@ -59,11 +59,17 @@ def shred(pages: DataFrame, key: str = "page_id", html: str = "html", kept: bool
         made = [pa.array(c, t) for c, t in zip(columns, ARROW)]
         return pa.RecordBatch.from_arrays([b.column("page_id").take(pa.array(at, pa.int64())), *made], ["page_id", *FIELDS])
 
-    source = pages.select(pages[key].alias("page_id"), pages[html].alias("html"))
+    source = spread(pages.select(pages[key].alias("page_id"), pages[html].alias("html")))
     found = source.mapInArrow(run, f"page_id {kind}, {ROW}")
     return cut(found) if kept else found
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages dealt to all cores where they lie in fewer partitions, as reading them takes far longer than moving them; large tables stay as they lie."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def attr(name: str) -> Column:
     return F.expr(f"attrs['{name}']")
 
