@@ -60,6 +60,10 @@ FAMILIES = {
     "openrail": (r"(?:creativeml )?open ?rail m?", "rail", ()),
     "llama": (r"llama(?: \d)? community", "llama", ()),
 }
+#: Families whose short name means nothing but the license, so that it and a version need no word for license by them.
+ACRONYMS = ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "odbl", "gfdl", "sspl")
+#: Short names of licenses as two of them are offered together.
+OFFERED = r"(?:mit|expat|isc|zlib|apache|bsd|gpl|lgpl|agpl|mpl|epl|cddl|eupl|artistic|unlicense|gnu|mozilla|eclipse|boost|ruby|commercial|proprietary|\w*gplv?\d)"
 CREATIVE = {
     "by": ("by", "attribution"),
     "by-sa": ("by sa", "attribution sharealike"),
@@ -191,7 +195,7 @@ NOTICES = [
     ("proprietary", r"may not be reproduced (?:distributed )?(?:or transmitted )?in any form (?:or by any means )?without (?:the )?(?:prior )?(?:written )?permission of the copyright", "may not be reproduced"),
     ("proprietary", r"this software is the confidential and proprietary information of", "confidential and proprietary"),
     ("eula", r"this end user license agreement is a legal agreement between you", "end user license"),
-    ("dual", r"dual licensed under (?:the )?(?:\w+ ){1,6}(?:and|or) (?:the )?\w+", "dual licensed"),
+    ("dual", rf"dual licensed under (?:(?:the|a|either|both) )*{OFFERED} (?:\w+ ){{0,6}}(?:and|or) (?:(?:the|a) )?{OFFERED}", "dual licensed"),
     ("same-terms", r"licensed under the same terms as", "same terms as"),
     ("third-party", r"this (?:product|software|file) (?:includes|contains) (?:software|code) (?:developed by|from|licensed under)", "includes|contains"),
 ]
@@ -226,6 +230,9 @@ def rules() -> tuple[Rule, ...]:
             add(label, "versioned", rf"(?:{name})(?: licen[sc]e)? (?:version |v ?)?{spoken}(?: licen[sc]e)?", keyword, "licen")
             add(label, "versioned", rf"(?:{name})(?: licen[sc]e)? v{spoken}", keyword, "licen")
             add(label, "licensed", rf"licensed under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)? (?:version |v ?)?{spoken}", "licensed", keyword)
+            if stem in ACRONYMS:
+                add(label, "versioned", rf"(?:gnu )?{stem}(?: version | ?v ?|){spoken}(?: only| or later)?", stem)
+                add(label, "versioned", rf"(?:gnu )?{stem} {spoken} (?:only|or later)", stem)
             first = short.split()[0]
             add(label, "url", rf"{first} org licen[sc]es? (?:licen[sc]e )?{spoken}(?: txt| html)?", first, " org ")
             add(label, "url", rf"(?:gnu|opensource|spdx|eclipse|mozilla) org licen[sc]es? (?:old licen[sc]es )?{short} {spoken}(?: txt| html)?", first, " org ")
