@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from auditlake.functions import relations
-from auditlake.functions.html import elements
+from auditlake.functions.html import elements, read
 from auditlake.operators import checks
 from auditlake.operators.elements import controls, shred
 from auditlake.plans.pages import plain
@@ -80,3 +80,8 @@ def test_kinds_of_soup(spark):
 def test_contexts_are_inherited_through_graphs_only():
     assert relations.block_types('{"@context":{"x":["http://SCHEMA.org"]},"@type":" A ","child":{"@type":"B"},"@graph":[[{"@type":"C"}]]}') == (True, True, ["A", "C"])
     assert relations.block_types('{"@type":"A"}') == (True, False, []) and relations.block_types("NaN") == (False, False, []) and relations.block_types("[") == (False, False, [])
+
+
+def test_parts_left_out_part_the_words_around_them():
+    assert read("<p>a b</p><script src=x></script><footer>&copy; c")[1] == "a b © c"
+    assert read("<p>a<style>s</style><noscript><p>n</p></noscript>b<i>c</i><svg><title>t</title></svg></p>")[1] == "a bc"
