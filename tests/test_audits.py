@@ -162,3 +162,9 @@ def test_list_state_limiter_equals_the_batch_form(spark, tmp_path):
         assert brief == fresh and brief != {k: v[1] for k, v in want.items() if k >= 203}
     finally:
         spark.conf.set(provider, before)
+
+
+def test_carried_addresses_and_cut_references(spark):
+    ips = spark.createDataFrame([("2002:70ee::1",), ("2002:7f00:1::1",)], "ip string")
+    assert [r[0] for r in ips.select(net.classify_ipv6(F.col("ip"))).collect()] == ["global", "blocked"]
+    assert next(e for e in elements("<h1>and&amp;&amp</h1>") if e.tag == "h1").text == "and&&"
