@@ -32,6 +32,8 @@ PART_TOKENS = 1_000_000  # of a part on average, whatever the number of shuffle
 STREAMS, WINDOW = 256, 16
 RATE = 0.02
 BATCH_DOCS, SCORE_WINDOW = 1024, 32
+CACHED_ROWS = 256  # whose logits lie in a core's cache
+SAFE_LOGIT = 60  # e to its power and to its negative are floats
 FLUSH_WORDS = 300_000
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 END = b""  # no token of a text is empty
@@ -87,45 +89,88 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([a.ravel() for a in p.values()])
 
 
-def unflat(w: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def parts_of(w: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Views of a flat array of weights."""
     out, at = {}, 0
     for k, a in like.items():
-        out[k], at = w[at : at + a.size].reshape(a.shape).astype(np.float32), at + a.size
+        out[k], at = w[at : at + a.size].reshape(a.shape), at + a.size
     return out
 
 
+def unflat(w: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: a.astype(np.float32) for k, a in parts_of(w, like).items()}
+
+
 def sigmoid(a: np.ndarray) -> np.ndarray:
     out = np.exp(-a)
     out += 1
     return np.reciprocal(out, out=out)
 
 
-def step(p: dict[str, np.ndarray], previous: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One GRU step; a document's first token follows an end, which clears the state."""
-    h = np.where(previous[:, None] == 0, np.float32(0), h)
-    x, g = p["x"][previous], h @ p["u"]
+def cell(u: np.ndarray, x: np.ndarray, keeps: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One GRU step from the inputs' part ``x``; where ``keeps`` is 0 the state is cleared before."""
+    h = h * keeps
+    g = h @ u
     zr = sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     n = np.tanh(x[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
     return n + z * (h - n), h, g, z, r, n
 
 
-def inside(p: dict[str, np.ndarray], hs: np.ndarray, slots: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, slice, np.ndarray]]:
-    """For each shared class met: the rows of ``hs`` whose slot is in it, the slots in the class, its slots, their logits.
+def step(p: dict[str, np.ndarray], previous: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One GRU step; a document's first token follows an end, which clears the state."""
+    return cell(p["u"], p["x"][previous], (previous != 0)[:, None], h)
+
+
+def joined(weights: np.ndarray, constants: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Output weights (one row each) with their constants as last column, for states that end in a 1; whether exponentials of
+    all logits are far from a float's limits, as states lie between -1 and 1."""
+    out = np.concatenate([weights, constants[:, None]], axis=1)
+    return out, not len(out) or float(np.abs(out).sum(axis=1).max()) < SAFE_LOGIT
+
+
+def exponentials(hs: np.ndarray, out: np.ndarray, safe: bool, place: np.ndarray | None = None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """Of the logits of ``hs``: those at ``place`` (of the flat array), the exponentials of all, and their sums by row."""
+    e = np.dot(hs, out.T)
+    if not safe:
+        e -= e.max(axis=1, keepdims=True)
+    picked = None if place is None else e.reshape(-1)[place]
+    np.exp(e, out=e)
+    return picked, e, np.dot(e, np.ones(len(out), e.dtype))
 
-    ``first`` has each shared class's first slot and, at last, the number of slots; a slot of -1 is none.
+
+class Inside:
+    """Logits of states inside the shared classes that their slots are in, class after class in one flat array.
+
+    ``first`` has each shared class's first slot and, at last, the number of slots; a slot of -1 is none. ``rows`` are the
+    states with one, by slot; ``place`` is where each one's own logit lies.
     """
-    rows = np.flatnonzero(slots >= 0)
-    rows = rows[np.argsort(slots[rows], kind="stable")]  # slots of a class lie together
-    slots, sorted_hs = slots[rows], hs[rows]
-    cuts = np.searchsorted(slots, first).tolist()
-    for start, stop, low, high in zip(cuts, cuts[1:], first.tolist(), first[1:].tolist()):
-        if start < stop:
-            at = slice(low, high)
-            logits = sorted_hs[start:stop] @ p["w"][at].T
-            logits += p["c"][at]
-            logits -= logits.max(axis=1, keepdims=True)
-            yield rows[start:stop], slots[start:stop] - low, at, logits
+
+    def __init__(self, hs: np.ndarray, slots: np.ndarray, first: np.ndarray, out: np.ndarray, safe: bool):
+        rows = np.flatnonzero(slots >= 0)
+        kind = np.int16 if first[-1] < 1 << 15 else np.int64  # short numbers sort faster
+        self.rows = rows = rows[np.argsort(slots[rows].astype(kind), kind="stable")]  # slots of a class lie together
+        slots, self.x, self.out = slots[rows], hs[rows], out
+        cuts, sizes = np.searchsorted(slots, first), np.diff(first)
+        of = np.repeat(np.arange(len(sizes)), np.diff(cuts))
+        ends = np.cumsum(sizes[of])
+        self.starts = ends - sizes[of]
+        self.place = self.starts + slots - first[of]
+        self.e, self.met = np.empty(ends[-1] if len(ends) else 0, hs.dtype), []
+        at = 0
+        for a, b, low, high in zip(cuts.tolist(), cuts[1:].tolist(), first.tolist(), first[1:].tolist()):
+            if a < b:
+                e = self.e[at : at + (b - a) * (high - low)].reshape(b - a, high - low)
+                at += e.size
+                np.dot(self.x[a:b], out[low:high].T, out=e)
+                if not safe:
+                    e -= e.max(axis=1, keepdims=True)
+                self.met.append((e, slice(a, b), slice(low, high)))
+
+    def exponentials(self) -> np.ndarray:
+        """Makes all logits their exponentials; the sum of each row."""
+        np.exp(self.e, out=self.e)
+        return np.add.reduceat(self.e, self.starts) if len(self.starts) else self.e
 
 
 def gradients(
@@ -135,55 +180,76 @@ def gradients(
 
     A target of -1 is filling and teaches nothing. ``slots`` are the targets' slots inside their classes, -1: none.
     """
-    kept, states = [], []
-    for t in range(previous.shape[1]):
-        h, *rest = step(p, previous[:, t], h)
-        kept.append(rest)
-        states.append(h)
-    hs = np.concatenate(states)
-    d = hs @ p["v"]
-    d += p["b"]
-    d -= d.max(axis=1, keepdims=True)
-    np.exp(d, out=d)
+    streams, steps = previous.shape
+    before, after = (np.empty((steps, streams, HIDDEN), h.dtype) for _ in "ba")
+    zs, rs, ns, gs = (np.empty_like(after) for _ in "zrng")
+    xs, keeps = p["x"][previous.T], (previous.T != 0).astype(h.dtype)[:, :, None]
+    for t in range(steps):
+        h, before[t], g, zs[t], rs[t], ns[t] = cell(p["u"], xs[t], keeps[t], h)
+        after[t], gs[t] = h, g[:, 2 * HIDDEN :]
+    hs = np.ones((steps * streams, HIDDEN + 1), h.dtype)
+    hs[:, :HIDDEN] = after.reshape(-1, HIDDEN)
     wanted = target.T.ravel()
     n_wanted = max(1, int((wanted >= 0).sum()))
-    d *= 1 / (d.sum(axis=1, keepdims=True) * n_wanted)
-    d[np.arange(len(d)), wanted] -= d.dtype.type(1 / n_wanted)
-    if n_wanted < len(wanted):
-        d[wanted < 0] = 0
-    grad = {"v": hs.T @ d, "b": d.sum(axis=0)} | {k: np.zeros_like(p[k]) for k in ("u", "x", "w", "c")}
-    dhs, dh = d @ p["v"].T, np.zeros_like(h)
+    taught = (wanted >= 0).astype(h.dtype) / n_wanted
+    dhs, grad = np.empty_like(hs), {}
+    out, safe = joined(p["v"].T, p["b"])
+    d_out = np.zeros_like(out)
+    for at in range(0, len(hs), CACHED_ROWS):
+        here = slice(at, at + CACHED_ROWS)
+        own = np.maximum(wanted[here], 0)
+        place = np.arange(len(own)) * len(out) + own
+        _, e, total = exponentials(hs[here], out, safe)
+        e.reshape(-1)[place] -= total
+        scale = (taught[here] / total)[:, None]
+        d_out += e.T @ (hs[here] * scale)
+        dhs[here] = (e @ out) * scale
+    grad["v"], grad["b"] = d_out[:, :HIDDEN].T, d_out[:, HIDDEN]
+    out, safe = joined(p["w"], p["c"])
+    d_out = np.zeros_like(out)
     if slots is not None:
-        for rows, wanted, at, logits in inside(p, hs, slots.T.ravel(), first):
-            d = np.exp(logits, out=logits)
-            d *= 1 / (d.sum(axis=1, keepdims=True) * n_wanted)
-            d[np.arange(len(d)), wanted] -= d.dtype.type(1 / n_wanted)
-            grad["w"][at], grad["c"][at] = d.T @ hs[rows], d.sum(axis=0)
-            dhs[rows] += d @ p["w"][at]
-    dhs = dhs.reshape(previous.shape[1], len(h), HIDDEN)
-    inputs = np.empty((previous.shape[1], len(h), 3 * HIDDEN), hs.dtype)
-    for t in range(previous.shape[1] - 1, -1, -1):
-        before, g, z, r, n = kept[t]
-        dh = dh + dhs[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * g[:, 2 * HIDDEN :] * r * (1 - r)
-        dx, dg = np.concatenate([dz, dr, dn], axis=1), np.concatenate([dz, dr, dn * r], axis=1)
-        inputs[t] = dx
-        grad["u"] += before.T @ dg
-        dh = np.where(previous[:, t, None] == 0, np.float32(0), dh * z + dg @ p["u"].T)
+        own = Inside(hs, slots.T.ravel(), first, out, safe)
+        total = own.exponentials()
+        own.e[own.place] -= total
+        scale = (1 / (total * n_wanted))[:, None]
+        x, dx = own.x * scale, np.empty_like(own.x)
+        for e, here, at in own.met:
+            np.dot(e.T, x[here], out=d_out[at])
+            np.dot(e, out[at], out=dx[here])
+        dx *= scale
+        dhs[own.rows] += dx
+    grad["w"], grad["c"] = d_out[:, :HIDDEN], d_out[:, HIDDEN]
+    dhs = np.ascontiguousarray(dhs[:, :HIDDEN]).reshape(steps, streams, HIDDEN)
+    to_n, to_z, to_r = (1 - zs) * (1 - ns * ns), (before - ns) * zs * (1 - zs), gs * rs * (1 - rs)
+    inputs, inner = (np.empty((steps, streams, 3 * HIDDEN), hs.dtype) for _ in "ix")
+    back, dh = np.ascontiguousarray(p["u"].T), np.zeros_like(h)
+    zs *= keeps
+    for t in range(steps - 1, -1, -1):
+        dh += dhs[t]
+        dn, dx = inputs[t, :, 2 * HIDDEN :], inner[t]
+        np.multiply(dh, to_n[t], out=dn)
+        np.multiply(dh, to_z[t], out=dx[:, :HIDDEN])
+        np.multiply(dn, to_r[t], out=dx[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, rs[t], out=dx[:, 2 * HIDDEN :])
+        dh *= zs[t]
+        dh += (dx @ back) * keeps[t]
+    inputs[:, :, : 2 * HIDDEN] = inner[:, :, : 2 * HIDDEN]
+    grad["u"] = before.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
     seen = previous.T.ravel()
     order = np.argsort(seen, kind="stable")
     starts = np.flatnonzero(np.diff(seen[order], prepend=-1))
+    grad["x"] = np.zeros_like(p["x"])
     grad["x"][seen[order][starts]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], starts)
-    return grad, h
+    return {k: grad[k] for k in p}, h
 
 
 def train(p: dict[str, np.ndarray], classes: np.ndarray, slots: np.ndarray | None = None, first: np.ndarray | None = None, rate: float = RATE) -> dict[str, np.ndarray]:
     """One pass over a sequence of classes (documents with their ends), as parallel streams, the last filled up, by Adam."""
     n = -(-(len(classes) - 1) // STREAMS)
-    filling = np.full(STREAMS * n + 1 - len(classes), -1, classes.dtype)
-    m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
+    filling = np.full(STREAMS * n + 1 - len(classes), -1, np.int16)
+    classes = classes.astype(np.int16)
+    w = flat(p)
+    m, v, g, new, p = *(np.zeros_like(w) for _ in range(4)), parts_of(w, p)
     h, at = np.zeros((STREAMS, HIDDEN), np.float32), 0
     target = np.concatenate([classes[1:], filling]).reshape(STREAMS, n)
     previous = np.concatenate([classes[:-1], filling * 0]).reshape(STREAMS, n)
@@ -192,19 +258,28 @@ def train(p: dict[str, np.ndarray], classes: np.ndarray, slots: np.ndarray | Non
         here = slice(t, t + WINDOW)
         grad, h = gradients(p, previous[:, here], target[:, here], h, None if inner is None else inner[:, here], first)
         at += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        for k, g in grad.items():
-            g = g / np.float32(max(1.0, norm))
-            m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * g
-            v[k] = np.float32(0.999) * v[k] + np.float32(0.001) * g * g
-            p[k] = p[k] - np.float32(rate) * (m[k] / np.float32(1 - 0.9**at)) / (np.sqrt(v[k] / np.float32(1 - 0.999**at)) + np.float32(1e-8))
+        g = np.concatenate([x.ravel() for x in grad.values()], out=g)
+        np.divide(g, np.float32(max(1.0, float(np.sqrt(g @ g)))), out=g)
+        m *= np.float32(0.9)
+        m += np.multiply(g, np.float32(0.1), out=new)
+        v *= np.float32(0.999)
+        np.multiply(g, np.float32(0.001), out=new)
+        v += np.multiply(new, g, out=new)
+        np.divide(v, np.float32(1 - 0.999**at), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(m, np.float32(1 - 0.9**at), out=new)
+        new *= np.float32(rate)
+        new /= g
+        w -= new
     return p
 
 
 def class_scores(p: dict[str, np.ndarray], docs: list[np.ndarray], slots: list[np.ndarray] | None = None, first: np.ndarray | None = None) -> np.ndarray:
     """Natural log-probability of each document's classes and slots, its state carried from window to window."""
-    out = np.zeros(len(docs))
+    scores = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+    (out, safe), (inner_out, inner_safe) = joined(p["v"].T, p["b"]), joined(p["w"], p["c"])
     for at in range(0, len(order), BATCH_DOCS):
         part = order[at : at + BATCH_DOCS]
         lengths = np.array([len(docs[i]) for i in part])
@@ -212,35 +287,37 @@ def class_scores(p: dict[str, np.ndarray], docs: list[np.ndarray], slots: list[n
         for start in range(0, int(lengths[0]), SCORE_WINDOW):
             live = int((lengths > start).sum())
             width = min(SCORE_WINDOW, int(lengths[0]) - start)
-            target, inner = np.zeros((live, width), np.int64), np.full((live, width), -1)
+            target, inner = np.zeros((live, width), np.int16), np.full((live, width), -1, np.int32)
             for r in range(live):
                 piece = docs[part[r]][start : start + width]
                 target[r, : len(piece)] = piece
                 if slots is not None:
                     inner[r, : len(piece)] = slots[part[r]][start : start + width]
-            states, targets, inners, rows, previous = [], [], [], [], last[:live]
-            for t in range(width):
-                on = int((lengths[:live] > start + t).sum())
-                h[:on] = step(p, previous[:on], h[:on])[0]
-                states.append(h[:on].copy())
-                targets.append(target[:on, t])
-                inners.append(inner[:on, t])
-                rows.append(np.arange(on))
-                previous = target[:, t]
-            hs = np.concatenate(states)
-            logits = hs @ p["v"]
-            logits += p["b"]
-            logits -= logits.max(axis=1, keepdims=True)
-            picked = logits[np.arange(len(logits)), np.concatenate(targets)]
-            picked -= np.log(np.exp(logits, out=logits).sum(axis=1))
+            target, inner = np.ascontiguousarray(target.T), np.ascontiguousarray(inner.T)
+            previous = np.concatenate([last[None, :live], target[:-1]])
+            keeps = (previous != 0).astype(np.float32)[:, :, None]
+            states = np.ones((width, live, HIDDEN + 1), np.float32)
+            on = (lengths[:live] > start + np.arange(width)[:, None]).sum(axis=1).tolist()
+            for t, k in enumerate(on):
+                h[:k] = cell(p["u"], p["x"][previous[t, :k]], keeps[t, :k], h[:k])[0]
+                states[t, :k, :HIDDEN] = h[:k]
+            there = np.flatnonzero(np.arange(live) < np.array(on)[:, None])
+            hs = states.reshape(-1, HIDDEN + 1)
+            hs, wanted, rows = hs if len(there) == len(hs) else hs[there], target.ravel()[there].astype(np.int64), there % live
+            picked, sums = np.empty(len(hs), hs.dtype), np.empty(len(hs), hs.dtype)
+            for i in range(0, len(hs), CACHED_ROWS):
+                here = slice(i, i + CACHED_ROWS)
+                own = wanted[here]
+                picked[here], _, sums[here] = exponentials(hs[here], out, safe, np.arange(len(own)) * len(out) + own)
+            picked -= np.log(sums)
             if slots is not None:
-                for met, wanted, _, logits in inside(p, hs, np.concatenate(inners), first):
-                    own = logits[np.arange(len(met)), wanted]
-                    picked[met] += own - np.log(np.exp(logits, out=logits).sum(axis=1))
-            total += np.bincount(np.concatenate(rows), picked.astype(np.float64), minlength=len(part))
-            last[:live] = previous
-        out[part] = total
-    return out
+                met = Inside(hs, inner.ravel()[there], first, inner_out, inner_safe)
+                own = met.e[met.place]
+                picked[met.rows] += own - np.log(met.exponentials())
+            total += np.bincount(rows, picked.astype(np.float64), minlength=len(part))
+            last[:live] = target[-1]
+        scores[part] = total
+    return scores
 
 
 # ---- Spark ----------------------------------------------------------------------------------------------------
