@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ PAIRS = 0x5555555555555555  # the low bit of each two
 #: Lines up to which their places are broadcast (some 60 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 LINES_A_TASK = 50_000
-FEW_TRIED = 4  # comparisons of a line that fail before lower bounds are worked out for the rest
 SEEN_LINES = 500_000  # digests a task remembers
 
 
@@ -144,9 +144,9 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         bands: list[bytes | None] = [None] * len(at)
         marks, chars = bands.copy(), bands.copy()
-        for i in range(0, len(norms), 500):
-            sig = signatures(norms[i : i + 500])
-            for x, k, m, n in zip(new[i : i + 500], narrow_keys(keys_of(sig)), sketches(sig), norms[i : i + 500]):
+        for i in range(0, len(norms), 120):
+            sig = signatures(norms[i : i + 120])
+            for x, k, m, n in zip(new[i : i + 120], narrow_keys(keys_of(sig)), sketches(sig), norms[i : i + 120]):
                 bands[x], marks[x], chars[x] = k, m.tobytes(), len(n)
         where = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -171,10 +171,12 @@ def packed_entries(parts: int):
     differences, and the members they belong to."""
 
     def dealt_out(members: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
-        key, member = np.concatenate(keys), np.repeat(np.concatenate(members), BANDS)
-        part, rest = key % np.uint64(parts), key // np.uint64(parts)
-        order = np.lexsort((rest, part))
-        part, rest, member = part[order].astype(np.int64), rest[order], member[order]
+        own = np.concatenate(members)
+        low = np.uint64(64 - 8 * KEY_BYTES)  # bits left for a line's number
+        both = np.concatenate(keys) << low | np.repeat(np.arange(len(own), dtype=np.uint64), BANDS)
+        both.sort()
+        rest, member = both >> low, own[(both & ((np.uint64(1) << low) - np.uint64(1))).view(np.int64)]
+        part = ((rest >> np.uint64(8)) * np.uint64(parts) >> np.uint64(8 * KEY_BYTES - 8)).astype(np.int64)  # ranges of keys
         cut = np.flatnonzero(np.diff(part, prepend=-1))
         ends = [*cut[1:].tolist(), len(part)]
         made = [[planes(x[i:j]) for i, j in zip(cut.tolist(), ends)] for x in (member, np.diff(rest, prepend=np.uint64(0)))]
@@ -214,6 +216,12 @@ def repeated_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         members, keys = np.concatenate(m), np.concatenate(k)
         m.clear()
         k.clear()
+        order = np.argsort(keys, kind="stable")  # runs that are sorted already
+        members, keys = members[order], keys[order]
+        again = np.zeros(len(keys), bool)
+        again[1:] = keys[1:] == keys[:-1]
+        again[:-1] |= again[1:].copy()
+        members, keys = members[again], keys[again]
         order = np.lexsort((members, keys))
         members, keys = members[order], keys[order]
         once = np.ones(len(keys), bool)  # tasks that met the same line give the same entries
@@ -239,20 +247,57 @@ def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def close_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning edges of the pairs whose sketches agree enough and whose lengths allow EDIT_SIMILARITY."""
-    out: list[tuple[int, int, int, int]] = []
-    for (_, i, j), g in groups(batches):
-        sketch, size, own = sketched(g["sketch"]), np.array(g["chars"]), np.array(g["own"])
-        members, union = g["member"], Union(len(size))
-        for x in range(len(size) - 1):
-            fits = differing(sketch[x + 1 :], sketch[x]) <= APART
-            fits &= np.minimum(size[x + 1 :], size[x]) >= EDIT_SIMILARITY * np.maximum(size[x + 1 :], size[x]) - 1e-6
-            if i != j:
-                fits &= own[x + 1 :] != own[x]
-            out += [(1, members[x], members[x + 1 + y], 0) for y in np.flatnonzero(fits).tolist() if union.join(x, x + 1 + y)]
-        if len(out) > 5000:
-            yield result(out)
-            out = []
-    yield result(out)
+    for bounds, across, columns in runs(batches):
+        size, own, member = (columns[c].to_numpy() for c in ("chars", "own", "member"))
+        sketch = sketched(columns["sketch"].to_pylist())
+        count = np.diff(bounds)
+        met = []
+        for m in np.unique(count).tolist():  # cells of one size together
+            cell = np.flatnonzero(count == m)
+            step = max(1, 50_000 // (m * m))
+            for i in range(0, len(cell), step):
+                at = cell[i : i + step]
+                if m > 200:
+                    here = slice(bounds[at[0]], bounds[at[0]] + m)
+                    x, y, _ = near_pairs(sketch[here], size[here], own[here] if across[at[0]] else None)
+                    met.append((x + bounds[at[0]], y + bounds[at[0]]))
+                    continue
+                x, y = (np.add.outer(bounds[at], z).reshape(-1) for z in np.triu_indices(m, 1))
+                fits = np.minimum(size[x], size[y]) >= EDIT_SIMILARITY * np.maximum(size[x], size[y]) - 1e-6
+                fits &= ~np.repeat(across[at], m * (m - 1) // 2) | (own[x] != own[y])
+                x, y = x[fits], y[fits]
+                fits = differing(sketch[x], sketch[y]) <= APART
+                met.append((x[fits], y[fits]))
+        a, b = (np.concatenate(c) for c in zip(*met)) if met else (np.zeros(0, np.int64),) * 2
+        union = Union(len(member))
+        new = np.array([union.join(x, y) for x, y in zip(a.tolist(), b.tolist())], bool)
+        a, b = member[a[new]], member[b[new]]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]]:
+    """Whole cells of sorted batches: the bounds of their rows, whether a cell lies across two blocks, and the columns."""
+    held: pa.Table | None = None
+
+    def cut(table: pa.Table, last: bool):
+        keys = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        bounds = np.append(np.flatnonzero(new), table.num_rows)
+        bounds = bounds if last else bounds[:-1]
+        first = bounds[:-1]
+        columns = {c: table.column(c).slice(0, int(bounds[-1])).combine_chunks() for c in table.column_names}
+        return (bounds, keys[1][first] != keys[2][first], columns), table.slice(int(bounds[-1]))
+
+    for b in batches:
+        if b.num_rows:
+            table = pa.Table.from_batches([b])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            out, held = cut(held, False)
+            if len(out[0]) > 1:
+                yield out
+    if held is not None and held.num_rows:
+        yield cut(held, True)[0]
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -277,97 +322,188 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def similar(a: str, b: str) -> bool:
-    return edit_distance(a, b) <= (1 - EDIT_SIMILARITY) * max(len(a), len(b)) + 1e-9
-
-
-PIECE = 64  # characters of one machine word
-LANES = 1 << 22  # characters searched at once
-
-
-def letters_of(line: str) -> np.ndarray:
-    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
-
+    most = (1 - EDIT_SIMILARITY) * max(len(a), len(b)) + 1e-9
+    if abs(len(a) - len(b)) > most:
+        return False
+    start = len(commonprefix([a, b]))
+    a, b = a[start:], b[start:]
+    end = len(commonprefix([a[::-1], b[::-1]]))
+    return edit_distance(a[: len(a) - end], b[: len(b) - end]) <= most
+
+
+BAND_WORDS = 8  # machine words of a band; pairs that need more are compared one by one
+FEW_LANES = 6  # pairs up to which one by one is faster
+LANES = 512  # pairs compared side by side
+HELD_CHARS, HELD_PAIRS = 4_000_000, 200_000  # of cells whose pairs are compared together
+FORESTS = 3  # comparisons along spanning forests before all that is left is compared
+
+
+def matches(windows: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Bits of where each character of ``text`` (lanes x columns) equals those of its window of the other line, as words."""
+    lanes, columns, width = windows.shape
+    out = np.empty((lanes, columns, width // 64), np.uint64)
+    step = max(1, (1 << 21) // (columns * width))
+    for at in range(0, lanes, step):
+        same = windows[at : at + step] == text[at : at + step, :, None]
+        out[at : at + step] = np.packbits(same.reshape(-1), bitorder="little").view("<u8").reshape(-1, columns, width // 64)
+    return np.ascontiguousarray(out.transpose(1, 2, 0))
+
+
+def band_distances(pairs: list[tuple[np.ndarray, np.ndarray]], bounds: np.ndarray, words: int) -> np.ndarray:
+    """Edit distances of pairs (the shorter line first), side by side; sharp where they are within ``bounds``, else no less.
+
+    An alignment within k edits of lines whose lengths differ by d stays on k + 1 diagonals at most: (k - d) / 2 to either
+    side of those between both ends. Bit vectors hold these alone (Hyyrö 2003), one row further with every column; a
+    diagonal keeps its bit, so the distance is counted along the one that ends in the last cell.
+    """
+    short, long = (np.array([len(p[i]) for p in pairs]) for i in (0, 1))
+    apart = long - short
+    before = apart + (bounds - apart) // 2  # diagonals from the window's first to that of the first cells
+    lanes, columns, width = len(pairs), int(long.max()), 64 * words
+    kind = pairs[0][0].dtype
+    top = np.iinfo(kind).max  # no character
+    rows, text = np.full((lanes, columns + width), top, kind), np.full((lanes, columns), top, kind)
+    for r, ((a, b), at) in enumerate(zip(pairs, before.tolist())):
+        rows[r, at : at + len(a)] = a
+        text[r, : len(b)] = b
+    eq = matches(np.lib.stride_tricks.sliding_window_view(rows, width, axis=1)[:, :columns], text)
+    ended = np.arange(columns)[:, None] >= long
+    row = np.arange(width).reshape(words, 64, 1) >= before
+    one = np.uint64(1)
+    up = np.where(row, one << np.arange(64, dtype=np.uint64)[None, :, None], np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    down, at = np.zeros_like(up), (before - apart).astype(np.uint64)
+    held, shift, met = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63), np.zeros(lanes, np.uint64)
+    lane = np.arange(lanes)
+    first_end = int(long.min())
+    for c in range(columns):
+        x = eq[c]
+        if c >= first_end:
+            x = np.where(ended[c], ~np.uint64(0), x)  # past the last column all match
+        diagonal = x & up
+        if words == 1:
+            diagonal += up
+        else:
+            carry = np.zeros(lanes, np.uint64)
+            for w in range(words):
+                low = diagonal[w] + up[w]
+                over = low < up[w]
+                diagonal[w] = low + carry
+                carry = (over | (diagonal[w] < low)).astype(np.uint64)
+        diagonal ^= up
+        diagonal |= x
+        diagonal |= down
+        met += ((diagonal[0] if words == 1 else diagonal[held, lane]) >> shift) & one
+        rise = diagonal | up
+        np.invert(rise, out=rise)
+        rise |= down
+        fall = diagonal & up
+        diagonal, kept = diagonal >> one, diagonal
+        if words > 1:
+            diagonal[:-1] |= kept[1:] << np.uint64(63)
+        up = diagonal | rise
+        np.invert(up, out=up)
+        up |= fall
+        down = diagonal & rise
+    return columns - met.astype(np.int64)
+
+
+def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``similar`` of the lines at ``a`` and ``b``, many at once."""
+    size = np.array(list(map(len, lines)))
+    swap = size[a] > size[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    bounds = np.floor((1 - EDIT_SIMILARITY) * size[b] + 1e-9).astype(np.int64)
+    out = size[b] - size[a] <= bounds
+    words = bounds // 64 + 1  # of bounds + 1 diagonals
+    words[~out] = 0
+    fits, out = out, np.zeros(len(out), bool)
+    codes: dict[int, np.ndarray] = {}
+    used = np.unique(np.concatenate([a[fits], b[fits]]))
+    for i in used.tolist():
+        codes[i] = np.frombuffer(lines[i].encode("utf-32-le", "surrogatepass"), "<u4")
+    most = max((int(c.max()) for c in codes.values() if len(c)), default=0)
+    kind = np.uint8 if most < 255 else np.uint16 if most < 65535 else np.uint32
+    codes = {i: c.astype(kind) for i, c in codes.items()}
+    #: With few words first, which give no less than the distance: most similar lines are far nearer than they need be.
+    for n in range(1, int(words.max(initial=0)) + 1):
+        at = np.flatnonzero((words == n) | (words > 1) & (size[b] - size[a] < 64) if n == 1 else (words == n) & ~out)
+        at = at[np.argsort(size[b[at]], kind="stable")]
+        for i in range(0, len(at), LANES):
+            here = at[i : i + LANES]
+            if n > 1 and (n > BAND_WORDS or len(here) <= FEW_LANES) or len(here) == 1 and words[here[0]] == 1:
+                out[here] = [similar(lines[x], lines[y]) for x, y in zip(a[here].tolist(), b[here].tolist())]
+            else:
+                pairs = [(codes[x], codes[y]) for x, y in zip(a[here].tolist(), b[here].tolist())]
+                out[here] = band_distances(pairs, np.minimum(bounds[here], 64 * n - 1), n) <= bounds[here]
+    return out
 
-def least_edits(x: str, others: list[str], most: int) -> np.ndarray:
-    """For each other line a lower bound of its edit distance to ``x``, sharp where the distance is ``most`` or less.
 
-    ``x`` is cut into pieces of 64 characters. An alignment within ``most`` edits puts each piece at most so far from its
-    own place, so the piece's best match in that window (Myers' search, all pieces and lines side by side) costs no more
-    than its part of the alignment, and the sum no more than the whole.
-    """
-    alphabet, code = np.unique(letters_of(x), return_inverse=True)
-    pieces, n = -(-len(x) // PIECE), len(alphabet) + 1
-    place = np.arange(len(x))
-    masks = np.zeros((pieces, n), np.uint64)
-    np.bitwise_or.at(masks, (place // PIECE, code), np.uint64(1) << (place % PIECE).astype(np.uint64))
-    masks = masks.reshape(-1)
-    last = np.full(pieces, PIECE - 1, np.uint64)
-    last[-1] = (len(x) - 1) % PIECE
-    window = PIECE + 2 * most
-    out = np.zeros(len(others), np.int64)
-    step = max(1, LANES // (window * pieces))
-    for at in range(0, len(others), step):
-        part = [letters_of(y) for y in others[at : at + step]]
-        padded = np.full((len(part), pieces * PIECE + 2 * most), n - 1, np.int32)
-        for row, y in zip(padded, part):
-            found = np.minimum(np.searchsorted(alphabet, y), n - 2)
-            y = np.where(alphabet[found] == y, found, n - 1)[: len(row) - most]
-            row[most : most + len(y)] = y
-        text = np.lib.stride_tricks.sliding_window_view(padded, window, axis=1)[:, ::PIECE][:, :pieces]
-        text = np.ascontiguousarray((text + (np.arange(pieces, dtype=np.int32) * n)[None, :, None]).transpose(2, 0, 1)).reshape(window, -1)
-        shift = np.tile(last, len(part))
-        score = np.tile(last.astype(np.int64) + 1, len(part))
-        up, down, least, one = np.full(len(score), ~np.uint64(0)), np.zeros(len(score), np.uint64), score.copy(), np.uint64(1)
-        for column in text:
-            eq = masks[column]
-            diagonal = (((eq & up) + up) ^ up) | eq
-            eq |= down
-            rise, fall = down | ~(diagonal | up), up & diagonal
-            score += ((rise >> shift) & one).view(np.int64)
-            score -= ((fall >> shift) & one).view(np.int64)
-            np.minimum(least, score, out=least)
-            rise <<= one
-            up = (fall << one) | ~(eq | rise)
-            down = rise & eq
-        out[at : at + step] = least.reshape(len(part), pieces).sum(axis=1)
+def near_pairs(sketch: np.ndarray, size: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (x, y) of the lines whose sketches and lengths allow EDIT_SIMILARITY, and in how many values they differ; given
+    ``own``, only of lines of different blocks."""
+    met = []
+    step = max(1, 20_000 // len(size))
+    for start in range(0, len(size) - 1, step):
+        x, y = np.nonzero(np.arange(start, min(start + step, len(size)))[:, None] < np.arange(len(size)))
+        x += start
+        if own is not None:
+            across = own[x] != own[y]
+            x, y = x[across], y[across]
+        edits = (1 - EDIT_SIMILARITY) * np.maximum(size[x], size[y]) + 1e-6
+        near = np.abs(size[x] - size[y]) <= edits
+        x, y = x[near], y[near]
+        apart = differing(sketch[x], sketch[y])
+        near = apart <= APART
+        met.append((x[near], y[near], apart[near]))
+    return tuple(np.concatenate(c) for c in zip(*met)) if met else (np.zeros(0, np.int64),) * 3
+
+
+def links(lines: list[str], a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning edges of the pairs that have EDIT_SIMILARITY. The nearest are compared first, along spanning forests: what
+    they connect needs no comparison."""
+    union, out = Union(len(lines)), []
+    order = np.argsort(apart, kind="stable")
+    a, b = a[order], b[order]
+    forests = 0
+    while len(a):
+        if forests < FORESTS:
+            tried = Union(len(lines))
+            tried.up = union.up.copy()
+            chosen = np.array([tried.join(x, y) for x, y in zip(a.tolist(), b.tolist())])
+        else:
+            chosen = np.arange(len(a)) < HELD_PAIRS
+        forests += 1
+        passed = similar_pairs(lines, a[chosen], b[chosen])
+        out += [(x, y) for x, y in zip(a[chosen][passed].tolist(), b[chosen][passed].tolist()) if union.join(x, y)]
+        a, b = a[~chosen], b[~chosen]
+        apart_still = np.array([union.root(x) != union.root(y) for x, y in zip(a.tolist(), b.tolist())], bool)
+        a, b = a[apart_still], b[apart_still]
     return out
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of the pairs whose sketches agree and that have EDIT_SIMILARITY; pairs already connected are skipped."""
-    out: list[tuple[int, int, int, int]] = []
+    """Spanning edges of each cell's pairs whose sketches agree and that have EDIT_SIMILARITY; many cells are worked on together."""
+    lines: list[str] = []
+    members: list[int] = []
+    met: list[tuple[np.ndarray, ...]] = []
+    chars = pairs = 0
+
+    def flushed() -> pa.RecordBatch:
+        a, b, apart = (np.concatenate(c) for c in zip(*met))
+        return result([(1, members[x], members[y], 0) for x, y in links(lines, a, b, apart)])
+
     for (_, i, j), g in groups(batches):
-        sketch, own, lines = sketched(g["sketch"]), np.array(g["own"]), g["norm"]
-        members, union, size = g["member"], Union(len(lines)), np.array(list(map(len, lines)))
-        for x in range(len(lines) - 1):
-            apart = differing(sketch[x + 1 :], sketch[x])
-            near = apart <= APART
-            edits = (1 - EDIT_SIMILARITY) * np.maximum(size[x + 1 :], size[x]) + 1e-6
-            near &= np.abs(size[x + 1 :] - size[x]) <= edits
-            if i != j:
-                near &= own[x + 1 :] != own[x]
-            at = np.flatnonzero(near)
-            at = at[np.argsort(apart[at], kind="stable")].tolist()  # the nearest first: what they connect needs no comparison
-            tried = 0
-            while at:
-                y = at.pop(0) + x + 1
-                if union.root(x) == union.root(y):
-                    continue
-                if similar(lines[x], lines[y]):
-                    union.join(x, y)
-                    out.append((1, members[x], members[y], 0))
-                    tried = 0
-                    continue
-                tried += 1
-                if tried == FEW_TRIED:  # many that may all be too far: most can be told apart together
-                    at = [z for z in at if union.root(x) != union.root(z + x + 1)]
-                    if len(at) > FEW_TRIED:
-                        bound = least_edits(lines[x], [lines[z + x + 1] for z in at], int(edits[at].max()))
-                        at = [z for z, n in zip(at, bound) if n <= edits[z]]
-        if len(out) > 5000:
-            yield result(out)
-            out = []
-    yield result(out)
+        size = np.array(list(map(len, g["norm"])))
+        x, y, apart = near_pairs(sketched(g["sketch"]), size, np.array(g["own"]) if i != j else None)
+        met.append((x + len(lines), y + len(lines), apart))
+        lines += g["norm"]
+        members += g["member"]
+        chars, pairs = chars + int(size.sum()), pairs + len(x)
+        if chars > HELD_CHARS or pairs > HELD_PAIRS:
+            yield flushed()
+            lines, members, met, chars, pairs = [], [], [], 0, 0
+    if met:
+        yield flushed()
 
 
 def norm_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +535,7 @@ def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     left, right = (marks.select(F.col("member").alias(m), F.col("sketch").alias(f"sketch_{m}"), F.col("chars").alias(f"chars_{m}")) for m in "ab")
     two = two.join(left, "a").join(right, "b").where(F.least("chars_a", "chars_b") >= EDIT_SIMILARITY * F.greatest("chars_a", "chars_b") - 1e-6)
     two = two.select("a", "b", "sketch_a", "sketch_b").mapInArrow(close_pairs, "a long, b long")
-    near = stored(dealt(more.join(marks, "member")).mapInArrow(close_lines, RESULT).select("a", "b").unionByName(two))
+    near = stored(dealt(more.join(marks, "member")).mapInArrow(close_lines, "a long, b long").unionByName(two))
     candidates = connected_components(None, near).select(F.col("component").alias("bucket"), F.col("node").alias("member"))
     wanted = candidates.join(marks.select("member", "sketch"), "member").join(lines, "member").drop("member", "n")
     wanted = stored(wanted.select("bucket", "sketch", "digest", "first.*").withColumn("member", F.monotonically_increasing_id()))
@@ -412,7 +548,8 @@ def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = connected_components(None, found)
     named = wanted.select("digest", "member").join(parts, F.col("member") == F.col("node")).select("digest", "component")
     info = stored(lines.join(named, "digest", "left").where("n > 1 or component is not null").select("digest", "first", "component"))
-    first = info.where("component is not null").groupBy("component").agg(F.min("first").alias("stays"))
+    first = stored(info.where("component is not null").groupBy("component").agg(F.min("first").alias("stays")))
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
     again = info.join(first, "component", "left").select("digest", F.coalesce("stays", "first").alias("stays"))
     gone = rows.select("key", "text_h", "line", "digest").join(again, "digest").where(~place.eqNullSafe(F.col("stays")))
     return stored(gone.groupBy(F.col("key").alias("dkey"), F.col("text_h").alias("dh")).agg(F.array_sort(F.collect_set("line")).alias("gone")))
