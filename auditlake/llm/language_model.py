@@ -11,12 +11,11 @@ weights, and the parts' weights are averaged. Scoring carries the state across w
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ RATE = 0.02
 BATCH_DOCS, SCORE_WINDOW = 1024, 32
 CACHED_ROWS = 256  # whose logits lie in a core's cache
 SAFE_LOGIT = 60  # e to its power and to its negative are floats
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 3_000_000  # of texts whose words are counted together
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 END = b""  # no token of a text is empty
 
@@ -53,19 +52,31 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
+def words_of_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens`` of all texts but for the ends, one after the other, and where each text's begin, then their number."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten().cast(pa.binary())
+    full = pc.binary_length(words).to_numpy() > 0  # white space at a text's start or end leaves an empty word there
+    return words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy()]
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[pa.Array] = []
+    ends = 0
 
     def flushed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-        counts.clear()
-        return out
+        counts = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        words, c = counts.field("values"), counts.field("counts")
+        if ends:
+            words, c = pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([c, pa.array([ends], pa.int64())])
+        return pa.RecordBatch.from_arrays([words, c], ["word", "c"])
 
     for b in batches:
-        for t in b.column("text").to_pylist():
-            counts.update(tokens(t))
-            if len(counts) > FLUSH_WORDS:
-                yield flushed()
+        held.append(words_of_texts(b.column("text"))[0])
+        ends += b.num_rows
+        if sum(map(len, held)) > FLUSH_WORDS:
+            yield flushed()
+            held, ends = [], 0
     yield flushed()
 
 
@@ -330,6 +341,7 @@ class Head:
         own = {w: i + 1 for i, w in enumerate([w for w in words if w != END][: OWN - 1])}
         self.own = own
         self.index = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.counts = np.array(counts, np.float64)
         self.classes = np.array([self.class_of(w) for w in words], np.int64)
         shared = np.flatnonzero(self.classes >= OWN)
@@ -359,15 +371,50 @@ class Head:
         return 0 if word == END else self.own.get(word) or shared_class(word)
 
 
-def sequence_of(text: str | None, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Classes of a text's tokens; slots in them (-1: none); indices into the head (-1: none); the tokens."""
-    words = tokens(text)
-    found = np.fromiter(map(head.index.get, words, repeat(-1)), np.int64, len(words))
-    classes, slots = (head.classes[found], head.slots[found]) if len(head.classes) else (np.zeros(len(words), np.int64), np.full(len(words), -1))
-    rare = np.flatnonzero(found < 0)
-    classes[rare] = [head.class_of(words[i]) for i in rare.tolist()]
-    slots[rare] = np.where(classes[rare] >= OWN, head.first[np.maximum(classes[rare] - OWN, 0)], -1)
-    return classes, slots, found, words
+class Sequences:
+    """A batch's texts as tokens with their ends: ``classes``; ``slots`` in them (-1: none); indices ``found`` into the head (-1:
+    none). ``offsets`` has each text's first token and, at last, their number; ``rare`` are the places of the ``rare_tokens``,
+    which are not in the head."""
+
+    def __init__(self, texts: pa.Array, head: Head):
+        words, starts = words_of_texts(texts)
+        self.offsets = starts + np.arange(len(starts))
+        ends = self.offsets[1:] - 1
+        inner = np.ones(self.offsets[-1], bool)
+        inner[ends] = False
+        looked_up = pc.index_in(words, value_set=head.words)
+        self.found = np.empty(len(inner), np.int64)
+        self.found[inner] = pc.fill_null(looked_up, -1).to_numpy()
+        self.found[ends] = head.index.get(END, -1)
+        self.rare_tokens = words.filter(looked_up.is_null())
+        ending = pc.binary_slice(self.rare_tokens, -3).dictionary_encode()  # words with classes of their own are in the head
+        kinds = np.array([shared_class(x) for x in ending.dictionary.to_pylist()], np.int64)[ending.indices.to_numpy()]
+        if len(head.classes):
+            self.classes, self.slots = head.classes[self.found], head.slots[self.found]
+        else:
+            self.classes, self.slots = np.zeros(len(inner), np.int64), np.full(len(inner), -1)
+        self.rare = np.flatnonzero(inner)[self.found[inner] < 0]
+        self.classes[self.rare] = kinds
+        self.slots[self.rare] = np.where(kinds >= OWN, head.first[np.maximum(kinds - OWN, 0)], -1)
+        self.classes[ends], self.slots[ends] = 0, -1
+
+    def sums(self, of_head: np.ndarray) -> np.ndarray:
+        """Of each text the sum of its tokens' values, those not in the head having none."""
+        values = np.append(of_head, 0)[self.found]
+        return np.add.reduceat(values, self.offsets[:-1]) if len(self.offsets) > 1 else values
+
+    def rare_words(self) -> pa.ListArray:
+        """Of each text its distinct rare words (word, times, class k)."""
+        words = self.rare_tokens.dictionary_encode()
+        n, which = max(1, len(words.dictionary)), words.indices.to_numpy()
+        kinds = np.zeros(n, np.int32)
+        kinds[which] = self.classes[self.rare]
+        text = np.searchsorted(self.offsets, self.rare, "right") - 1
+        pairs, times = np.unique(text * n + which, return_counts=True)
+        which = pairs % n
+        cols = [words.dictionary.take(pa.array(which)), pa.array(times, pa.int32()), pa.array(kinds[which])]
+        at = np.searchsorted(pairs // n, np.arange(len(self.offsets)))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(cols, ["word", "times", "k"]))
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -431,28 +478,19 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         common = (head.classes >= OWN) & ~head.learnt
         head_word = np.where(common, np.log10((1 - unseen[head.classes]) * head.counts / others[head.classes]), 0.0) if len(top) else head.counts
 
+    ones_of_head = np.ones(len(head_base), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, p = sent.value, unflat(weights, start)
         for b in batches:
-            sequences, slots, sums, offsets, words, times, classes = [], [], [], [0], [], [], []
-            for t in b.column("text").to_pylist():
-                k, slot, found, toks = sequence_of(t, h)
-                sequences.append(k.astype(np.int16))
-                slots.append(slot.astype(np.int32))
-                inside = found[found >= 0]
-                sums.append((len(toks), len(inside), float(head_base[inside].sum()), float(head_word[inside].sum())))
-                rare = Counter(toks[i] for i in np.flatnonzero(found < 0).tolist())
-                words += rare.keys()
-                times += rare.values()
-                classes += map(h.class_of, rare)
-                offsets.append(len(words))
-            logs = class_scores(p, sequences, slots, h.first) / np.log(10)
-            at = pa.array(offsets, pa.int32())
-            cols = list(zip(*sums)) or [(), (), (), ()]
-            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32()), pa.array(classes, pa.int32())], ["word", "times", "k"])
+            if not b.num_rows:
+                continue
+            met = Sequences(b.column("text"), h)
+            cuts = met.offsets[1:-1]
+            logs = class_scores(p, np.split(met.classes.astype(np.int16), cuts), np.split(met.slots.astype(np.int32), cuts), h.first) / np.log(10)
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
-                 pa.array(np.array(cols[3]) + logs, pa.float64()), pa.ListArray.from_arrays(at, rare)],
+                [b.column("key"), pa.array(np.diff(met.offsets)), pa.array(met.sums(ones_of_head)), pa.array(met.sums(head_base)),
+                 pa.array(met.sums(head_word) + logs), met.rare_words()],
                 ["key", "n_tokens", "known", "base", "score", "rare"],
             )
 
@@ -485,11 +523,11 @@ def fit_network(training: DataFrame, n: int, sent, weights: dict[str, np.ndarray
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = sent.value
-            texts = [sequence_of(t, head)[:2] for b in batches for t in b.column("text").to_pylist()]
+            texts = [Sequences(b.column("text"), head) for b in batches if b.num_rows]
             if not texts:
                 return
-            classes = np.concatenate([np.zeros(1, np.int64), *(k for k, _ in texts)])
-            slots = np.concatenate([np.full(1, -1), *(x for _, x in texts)])
+            classes = np.concatenate([np.zeros(1, np.int64), *(x.classes for x in texts)])
+            slots = np.concatenate([np.full(1, -1), *(x.slots for x in texts)])
             w = flat(train(unflat(start, weights), classes, slots, head.first, RATE / 2**number))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), float(len(classes))))], ["at", "w", "n"])
 
