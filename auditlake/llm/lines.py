@@ -321,6 +321,29 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def band_distance(a: str, b: str, most: int) -> int:
+    """``edit_distance`` where that is ``most`` or less, else no less: as ``band_distances``, the band in one integer."""
+    a, b = sorted((a, b), key=len)
+    apart = len(b) - len(a)
+    before = apart + (most - apart) // 2
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(a, before):
+        if c not in places:
+            places[c] = bytearray((len(a) + before) // 8 + 1)
+        places[c][i >> 3] |= 1 << (i & 7)
+    where = {c: int.from_bytes(x, "little") for c, x in places.items()}
+    mask, end, met = (1 << most + 1) - 1, before - apart, 0
+    up, down = mask >> before << before, 0
+    for i, c in enumerate(b):
+        x = (where.get(c, 0) >> i) & mask
+        diagonal = ((((x & up) + up) ^ up) | x | down) & mask
+        met += (diagonal >> end) & 1
+        rise, fall = down | (mask ^ (diagonal | up)), diagonal & up
+        diagonal >>= 1
+        up, down = fall | (mask ^ (diagonal | rise)), diagonal & rise
+    return len(b) - met
+
+
 def similar(a: str, b: str) -> bool:
     most = (1 - EDIT_SIMILARITY) * max(len(a), len(b)) + 1e-9
     if abs(len(a) - len(b)) > most:
@@ -328,11 +351,11 @@ def similar(a: str, b: str) -> bool:
     start = len(commonprefix([a, b]))
     a, b = a[start:], b[start:]
     end = len(commonprefix([a[::-1], b[::-1]]))
-    return edit_distance(a[: len(a) - end], b[: len(b) - end]) <= most
+    return band_distance(a[: len(a) - end], b[: len(b) - end], int(most)) <= most
 
 
 BAND_WORDS = 8  # machine words of a band; pairs that need more are compared one by one
-FEW_LANES = 6  # pairs up to which one by one is faster
+FEW_LANES = 10  # pairs up to which one by one is faster
 LANES = 512  # pairs compared side by side
 HELD_CHARS, HELD_PAIRS = 4_000_000, 200_000  # of cells whose pairs are compared together
 FORESTS = 3  # comparisons along spanning forests before all that is left is compared
@@ -430,7 +453,7 @@ def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = at[np.argsort(size[b[at]], kind="stable")]
         for i in range(0, len(at), LANES):
             here = at[i : i + LANES]
-            if n > 1 and (n > BAND_WORDS or len(here) <= FEW_LANES) or len(here) == 1 and words[here[0]] == 1:
+            if n > 1 and (n > BAND_WORDS or len(here) <= FEW_LANES * n) or len(here) <= FEW_LANES and (words[here] == 1).all():
                 out[here] = [similar(lines[x], lines[y]) for x, y in zip(a[here].tolist(), b[here].tolist())]
             else:
                 pairs = [(codes[x], codes[y]) for x, y in zip(a[here].tolist(), b[here].tolist())]
